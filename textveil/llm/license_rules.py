@@ -238,8 +238,11 @@ copyright | 0.3 | copyright c | copyright c (?:[12][0-9]{3})(?: [12][0-9]{3})*
 warranty | 0.3 | as is without warranty | (?:provided|distributed) as is without warrant(?:y|ies) of any kind
 """
 
-#: One of these stands in every keyword; texts with none of them skip all rules.
-ROOTS = ("licen", "gnu ", "spdx", "apache", "mit ", "copyright", "public domain", "creative", "cc by", "cc0", "mozilla org", "eclipse org", "all rights", "proprietary and", "unauthorized copying", "free of charge", "without restriction", "advertising materials", "neither the name", "redistribution and", "permission to use", "unencumbered", "good not evil", "plainly marked", "terms as perl", "university of illinois", "w3c ", "without warranty")
+#: Every match of a rule holds one of these words; texts with none of them skip all rules.
+GATE = (
+    "license licence licenses licences licensed licenced unlicense gnu spdx apache copyright domain creative creativecommons cc cc0 mozilla eclipse "
+    "rights proprietary unauthorized charge restriction advertising neither redistribution permission unencumbered evil plainly perl illinois w3c warranty warranties"
+).split()
 
 
 def rules() -> list[dict]:

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import ROOTS, rules
+from .license_rules import GATE, rules
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,13 +26,21 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def normalized(text: Column) -> Column:
-    """Blank, words apart by one blank, blank; one blank if there are no words. A-Z alone change case: the two
-    letters that lower() would turn into ASCII ones take the slower way."""
-    odd = F.contains(text, F.lit("İ")) | F.contains(text, F.lit("K"))
-    low = F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    bare = F.trim(F.regexp_replace(low, SEPARATORS, " "))
-    return F.when(bare == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+def pieces(text: Column) -> Column:
+    """The words, with an empty piece before or after them where the text begins or ends with a separator. A-Z
+    alone change case: texts with a letter that lower() would turn into an ASCII one take the slower way."""
+    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    return F.split(F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text)), SEPARATORS)
+
+
+def count_words(own: Column) -> Column:
+    ends = (F.get(own, F.lit(0)) == "").cast("int") + F.when(F.size(own) > 1, (F.get(own, F.size(own) - 1) == "").cast("int")).otherwise(0)
+    return (F.size(own) - ends).cast("long")
+
+
+def normalized(own: Column) -> Column:
+    """Blank, words apart by one blank, blank."""
+    return F.concat(F.lit(" "), F.trim(F.array_join(own, " ")), F.lit(" "))
 
 
 def blanks(text: Column) -> Column:
@@ -65,40 +73,42 @@ def detections(norm: Column, table: list[dict] | None = None) -> Column:
         return (e["s"] <= d["s"]) & (d["e"] <= e["e"]) & ((e["e"] - e["s"] > d["e"] - d["s"]) | (e["p"] < d["p"]))
 
     found = F.flatten(F.transform(F.filter(known, lambda r: F.contains(norm, r["keyword"])), one))
-    kept = let(found, lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: within(d, e))))
-    gate = F.lit(False)
-    for root in ROOTS:
-        gate = gate | F.contains(norm, F.lit(root))
-    return F.when(gate, F.array_sort(kept)).otherwise(F.lit([]).cast(SPAN))
+    return F.array_sort(let(found, lambda all_: F.filter(all_, lambda d: ~F.exists(all_, lambda e: within(d, e)))))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, norm, detections); spans in characters of norm. Null texts count as empty."""
-    norm = normalized(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select("doc_id", norm.alias("norm")).withColumn("detections", let(F.col("norm"), lambda n: detections(n)))
-
-
-def report(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    norm = F.col("norm")
+def base(norm: Column, n_words: Column) -> list[Column]:
+    """n_base, first_word, last_word and base_labels of the base phrases."""
     hits, firsts, lasts, labels = [], [], [], []
     for phrase, label in PHRASES.items():
         here = F.contains(norm, F.lit(f" {phrase} "))
         hits.append(F.when(here, F.regexp_count(norm, F.lit(f"(?<= ){phrase}(?= )"))).otherwise(0))
         firsts.append(F.when(here, blanks(F.substring_index(norm, f" {phrase} ", 1))))
-        lasts.append(F.when(here, F.col("n_words") - blanks(F.substring_index(norm, f" {phrase} ", -1)) - len(phrase.split())))
+        lasts.append(F.when(here, n_words - blanks(F.substring_index(norm, f" {phrase} ", -1)) - len(phrase.split())))
         labels.append(F.when(here, F.lit(label)))
-    base = F.array_sort(F.array_compact(F.array(*labels)))
-    found = scan(docs).withColumn("n_words", (blanks(norm) - 1).cast("long"))
-    own = F.array_sort(F.array_distinct(F.concat(base, F.transform("detections", lambda d: d["label"]))))
+    found = F.array_sort(F.array_compact(F.array(*labels)))
+    return [sum(hits[1:], hits[0]).cast("long").alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), found.alias("base_labels")]
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_words, n_base, first_word, last_word, base_labels and detections, a
+    row for each row of docs. Null texts count as empty. A detection's s and e are places in the text's words
+    joined by single blanks (with one more blank in front)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    nothing = [F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit([]).cast("array<string>").alias("base_labels"), F.lit([]).cast(SPAN).alias("detections")]
+
+    def judge(own: Column) -> Column:
+        n = count_words(own)
+        full = let(normalized(own), lambda norm: F.struct(n.alias("n_words"), *base(norm, n), detections(norm).alias("detections")))
+        gate = F.exists(own, lambda w: w.isin(GATE))
+        return F.when(gate, full).otherwise(F.struct(n.alias("n_words"), *nothing))
+
+    return docs.select("doc_id", let(pieces(text), judge).alias("x")).select("doc_id", "x.*")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the
+    greatest weight of a detection that stays; 0 if none)."""
+    found = scan(docs)
+    own = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("detections", lambda d: d["label"]))))
     best = F.coalesce(F.array_max(F.transform("detections", lambda d: d["weight"])), F.lit(0.0))
-    return found.select(
-        "doc_id",
-        "n_words",
-        sum(hits[1:], hits[0]).cast("long").alias("n_base"),
-        F.least(*firsts).cast("long").alias("first_word"),
-        F.greatest(*lasts).cast("long").alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"),
-        F.array_join(own, ",").alias("labels"),
-        best.alias("score"),
-    )
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(own, ",").alias("labels"), best.alias("score"))

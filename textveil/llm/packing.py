@@ -44,10 +44,22 @@ class WordIds(dict):
         new = list(words - self.keys())
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
             self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
 
 
+_KEPT: dict[int, WordIds] = {}
+
+
+def kept_ids(tokenizer_json: str) -> WordIds:
+    """The worker's memory of words: a worker process serves many tasks."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = WordIds(tokenizer_json)
+    return _KEPT[key]
+
+
 def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
@@ -55,7 +67,7 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = WordIds(tokenizer_json)
+        ids = kept_ids(tokenizer_json)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0

@@ -15,7 +15,7 @@ from .common import cut
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Least words; most repeated words in per cent; symbols and repeated lines allowed (per cent of words, of lines).
 MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES = 50, 50, 10, 30
 #: A host whose shrunk failure rate is above this goes as a whole.
@@ -72,12 +72,12 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one struct column ``_q``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (all long)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    counted = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
+    counted = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeated_words(w).alias("r")))
     by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
     q = F.struct(
         counted["n"].alias("n_words"),
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        counted["c"].alias("word_chars"),
+        F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         by_line["d"].alias("n_dup_lines"),
         counted["r"].alias("n_repeat_words"),
         by_line["n"].alias("n_lines"),
