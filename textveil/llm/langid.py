@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                     upto += 1
                 words = [split_words(t) if t and reader and any(map(str.isalpha, t)) else [] for t in texts[at:upto]]
                 if reader:
-                    reader.learn({w for own in words for w in own})
+                    reader.learn(set().union(*words))
                 said += [reader.label(own) if own else ("und", 0.0) for own in words]
                 at = upto
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["doc_id", "lang_pred", "score"])

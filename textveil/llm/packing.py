@@ -10,6 +10,7 @@ leave free is small against it.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -45,7 +46,7 @@ class WordIds(dict):
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            self.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
 
 
 _KEPT: dict[int, WordIds] = {}
@@ -77,7 +78,7 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool):
                     held += len(texts[upto] or "")
                     upto += 1
                 words = [(t or "").encode("utf-8").split() for t in texts[at:upto]]
-                ids.learn({w for own in words for w in own})
+                ids.learn(set().union(*words))
                 out = defaultdict(list)
                 for name, own in zip(names[at:upto], words):
                     data = b"".join(map(ids.__getitem__, own)) + end
