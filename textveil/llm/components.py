@@ -19,6 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select("a", "b").where("a <> b").distinct())
     labels = None
     while True:
+        # labels stay a plan over checkpointed tables until the end
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("to")))
         if labels is None:
@@ -26,8 +27,7 @@ def components(links: DataFrame) -> DataFrame:
         else:
             step = least.select(F.col("id").alias("component"), "to")
             labels = labels.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        labels = cut(labels)
         a, b = least.select(F.col("id").alias("a"), F.col("to").alias("x")), least.select(F.col("id").alias("b"), F.col("to").alias("y"))
         edges = cut(edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct())
         if edges.isEmpty():
-            return labels
+            return cut(labels)

@@ -6,9 +6,9 @@ permutations stand in for ``bands * rows`` of them. Equal bands propose candidat
 on the full shingle sets.
 
 Nothing is lost to skew: documents with equal shingle sets form one class and only one of them is compared.
-In a bucket of candidates no pair list is made. Each round tests every member against a few centres (those
-that share buckets with most others), links join components, and members of other components meet the next
-centres until no bucket holds an untested pair across components. So a group of m copies costs about m tests.
+In a bucket of candidates no pair list is made. First every member meets its bucket's centre (the member that
+shares buckets with most others), which joins a group of m copies in m tests. Buckets that still hold several
+components are cut into blocks, and each task holds one block against another: signatures first, then full sets.
 
 A pair at the threshold of 0.75 shares no band with probability (1 - 0.75^4)^36, about 1e-6; nearer ones
 far less (3e-10 at 0.82).
@@ -17,6 +17,7 @@ far less (3e-10 at 0.82).
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,6 +27,9 @@ from .common import cut, narrow, text_rows
 from .components import components
 
 BANDS, ROWS, WIDTH = 36, 4, 5
+#: Rows of a bucket that one task holds against as many others, and how far below the threshold a signature's estimate
+#: may be for the pair to be compared in full: 0.15 is four standard deviations of 144 coordinates.
+BLOCK, SLACK = 1024, 0.15
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Odd multipliers of the bijective mixers; any odd values do.
 SIGMA, PI, STEP, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B), 0x6C62272E, np.uint64(0x100000001B3)
@@ -55,22 +59,28 @@ def shingle_hashes(text: str | None, known: WordHashes, width: int = WIDTH) -> n
     return np.unique(out)
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """One row of ``bands`` 64-bit band keys for each non-empty set."""
+def minima(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """The signatures of non-empty sets: a row of ``size`` circulant minima each."""
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     z = np.concatenate(sets)
     z = ((z * SIGMA) >> np.uint64(32)).astype(np.uint32)  # sigma
-    keys = np.empty((len(sets), bands), np.uint64)
+    out = np.empty((len(sets), size), np.uint32)
+    for k in range(size):
+        x = z + np.uint32((k * STEP) & 0xFFFFFFFF)  # the circular shift
+        x ^= x >> np.uint32(16)
+        x *= PI  # pi
+        x ^= x >> np.uint32(13)
+        out[:, k] = np.minimum.reduceat(x, starts)
+    return out
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One row of ``bands`` 64-bit keys for each signature."""
+    keys = np.empty((len(least), bands), np.uint64)
     for band in range(bands):
-        key = np.full(len(sets), band + 1, np.uint64)
+        key = np.full(len(least), band + 1, np.uint64)
         for row in range(rows):
-            k = band * rows + row
-            x = z + np.uint32((k * STEP) & 0xFFFFFFFF)  # the circular shift
-            x ^= x >> np.uint32(16)
-            x *= PI  # pi
-            x ^= x >> np.uint32(13)
-            least = np.minimum.reduceat(x, starts).astype(np.uint64)
-            key = (key ^ least) * SIGMA
+            key = (key ^ least[:, band * rows + row].astype(np.uint64)) * SIGMA
             key ^= key >> np.uint64(31)
         keys[:, band] = key
     return keys
@@ -95,7 +105,7 @@ def _sign(bands: int, rows: int, width: int):
 
     def _emit(ids, block, schema):
         full = [s for s in block if len(s)]
-        keys = signatures(full, bands, rows).view(np.int64) if full else np.empty((0, bands), np.int64)
+        keys = band_keys(minima(full, bands * rows), bands, rows).view(np.int64) if full else np.empty((0, bands), np.int64)
         counts = np.cumsum([0] + [bands * bool(len(s)) for s in block])
         lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(keys.ravel()))
         cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in block]
@@ -105,7 +115,10 @@ def _sign(bands: int, rows: int, width: int):
 
 
 def _sets(width: int):
-    schema = pa.schema([("id", pa.int64()), ("hs", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("hs", pa.list_(pa.int64())), ("sk", pa.list_(pa.int16()))])
+
+    def lists(rows, kind):
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), pa.array(np.concatenate(rows), kind))
 
     def run(batches):
         known = WordHashes()
@@ -119,74 +132,123 @@ def _sets(width: int):
                         own.append(ids[i].as_py())
                         rows.append(hs.view(np.int64))
                 if own:
-                    ends = np.cumsum([0] + [len(r) for r in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))], schema=schema)
+                    short = [np.unique((r.view(np.uint64) >> np.uint64(48)).astype(np.uint16)).view(np.int16) for r in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), lists(rows, pa.int64()), lists(short, pa.int16())], schema=schema)
             if len(known) > 1_000_000:
                 known.clear()
 
     return run
 
 
-def _centres(members: DataFrame, k: int) -> DataFrame:
-    """(key, c): the k members of each bucket that share buckets with most others, ties to the smaller id.
-
-    Selected by partial aggregates alone (k times the best of what is left), so no bucket is gathered.
-    """
+def _centres(members: DataFrame) -> DataFrame:
+    """(key, c): the centre of each bucket, the member that shares buckets with most others, ties to the smaller id.
+    Partial aggregates alone, so no bucket is gathered."""
     mass = members.groupBy("id").agg(F.sum("m").alias("mass"))
     best = F.min(F.struct((-F.col("mass")).alias("less"), F.col("id").alias("id")))
-    left, out = members.join(mass, "id").select("key", "id", "mass"), None
-    if k == 1:
-        return left.groupBy("key").agg(best.alias("x")).select("key", F.col("x.id").alias("c"))
-    # k slots by hash: the best of each slot
-    slots = left.withColumn("slot", F.pmod(F.xxhash64("id", "key"), F.lit(k)))
-    out = slots.groupBy("key", "slot").agg(best.alias("x"))
-    return out.select("key", F.col("x.id").alias("c"))
+    return members.join(mass, "id").groupBy("key").agg(best.alias("x")).select("key", F.col("x.id").alias("c"))
 
 
-def link_components(sig: DataFrame, texts: DataFrame, threshold: int, width: int) -> DataFrame:
+def _meet(threshold: int, bands: int, rows: int):
+    """The links within one bucket's block, or between two blocks, of members of different components."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        key, i, j = own["key"].iloc[0], own["i"].iloc[0], own["j"].iloc[0]
+        sets = [np.asarray(h, np.int64) for h in own["hs"]]
+        least = minima([s.view(np.uint64) for s in sets], bands * rows)
+        keys = band_keys(least, bands, rows).view(np.int64)
+        band = int((keys == key).all(0).argmax())
+        ids, size = own["id"].to_numpy(), np.array([len(s) for s in sets])
+        at = {x: x for x in own["at"]}  # components, joined as links turn up
+
+        def root(x):
+            while at[x] != x:
+                at[x] = x = at[at[x]]
+            return x
+
+        label, blk = own["at"].to_numpy(), own["blk"].to_numpy()
+        out = []
+        for x in range(len(own)):
+            if blk[x] != i:
+                continue
+            able = (blk == j) & (label != label[x])
+            if i == j:
+                able &= np.arange(len(own)) > x
+            y = np.flatnonzero(able & (100 * np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x])))
+            y = y[(least[y] == least[x]).mean(1) >= threshold / 100 - SLACK]
+            y = y[~(keys[y, :band] == keys[x, :band]).any(1)]  # pairs are met in their first common bucket
+            for k in y:
+                a, b = root(label[x]), root(label[k])
+                if a != b:
+                    both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                    if 100 * both >= threshold * (size[x] + size[k] - both):
+                        at[max(a, b)] = min(a, b)
+                        out.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The links among distinct pairs (a, b).
+
+    First the 16-bit forms of the sets are compared: what they share, and what a set loses by its own
+    collisions, bound the true intersection from above, so whatever falls short of the threshold there is no
+    link for certain. The others are compared in full."""
+
+    def side(name: str, column: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), F.size("hs").cast("long").alias(f"n{name}"), F.col(column).alias(f"h{name}"))
+
+    near = F.col("both") * 100 >= threshold * (F.col("na") + F.col("nb") - F.col("both"))
+    lost = F.least(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+    first = pairs.join(side("a", "sk"), "a").join(side("b", "sk"), "b").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    first = cut(first.withColumn("both", F.size(F.array_intersect("ha", "hb")).cast("long") + lost).select("a", "b", near.alias("able")))
+    able = first.where("able").select("a", "b")
+    ids = cut(able.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = sets.join(narrow(ids, ids.count()), "id")
+    full = able.join(needed.select(F.col("id").alias("a"), F.col("hs").alias("ha"), F.size("hs").cast("long").alias("na")), "a")
+    full = full.join(needed.select(F.col("id").alias("b"), F.col("hs").alias("hb"), F.size("hs").cast("long").alias("nb")), "b")
+    tested = cut(full.withColumn("both", F.size(F.array_intersect("ha", "hb")).cast("long")).select("a", "b", near.alias("link")))
+    return tested.where("link").select("a", "b")
+
+
+def link_components(sig: DataFrame, texts: DataFrame, threshold: int, width: int, bands: int, rows_: int) -> DataFrame:
     """(id, component) of the class representatives that have a link. sig: (id, n, cls, keys), one row a class."""
-    rows = sig.select("id", "n", F.explode("keys").alias("key"))
+    rows = sig.select("id", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut(rows.join(buckets, "key"))  # buckets with company only
     ids = cut(members.select("id").distinct().join(sig.select("id", "cls"), "id"))
     n_ids = ids.count()
+    comp = sig.sparkSession.createDataFrame([], "id long, component long")
     if not n_ids:
-        return sig.sparkSession.createDataFrame([], "id long, component long")
+        return comp
     wanted = texts.join(narrow(ids.withColumnRenamed("id", "doc_id"), n_ids), "doc_id").select("doc_id", "text", "cls")
-    sets = cut(wanted.mapInArrow(_sets(width), "id long, hs array<long>"))
-    links, comp, failed, k = None, None, None, 1
-    while True:
-        centres = _centres(members, k)
-        n = members.select("id", "n").distinct() if k == 1 else n
-        pairs = members.join(centres, "key").where("id <> c")
-        if comp is not None:
-            x = comp.select(F.col("id").alias("c"), F.col("component").alias("cc"))
-            pairs = pairs.join(comp, "id", "left").join(x, "c", "left").where(F.coalesce("component", "id") != F.coalesce("cc", "c"))
-        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        sa, sb = sets.select(F.col("id").alias("a"), F.col("hs").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hs").alias("hb"))
-        na, nb = F.size("ha").cast("long"), F.size("hb").cast("long")
-        sizes = n.select(F.col("id").alias("a"), F.col("n").alias("na")), n.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        near = pairs.join(sizes[0], "a").join(sizes[1], "b").where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
-        both = F.size(F.array_intersect("ha", "hb")).cast("long")
-        tested = cut(near.join(sa, "a").join(sb, "b").select("a", "b", (100 * both >= threshold * (na + nb - both)).alias("link")))
-        new = tested.where("link").select("a", "b")
-        failed = tested.where("not link").select("a", "b") if failed is None else failed.union(tested.where("not link").select("a", "b"))
-        links = new if links is None else links.union(new)
-        if not new.isEmpty():
-            comp = components(links)
-        # a centre has met all members of its buckets; a bucket of one component has nothing left to find
-        rest = members.join(centres.withColumnRenamed("c", "id"), ["key", "id"], "left_anti")
-        if comp is not None:
-            rest = rest.join(comp, "id", "left").withColumn("at", F.coalesce("component", "id")).drop("component")
-        else:
-            rest = rest.withColumn("at", F.col("id"))
-        live = rest.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-        members = cut(rest.drop("m", "at").join(live.select("key", "m"), "key").select("key", "id", "n", "m"))
-        if members.isEmpty():
-            return comp if comp is not None else sig.sparkSession.createDataFrame([], "id long, component long")
-        k *= 4
+    sets = cut(wanted.mapInArrow(_sets(width), "id long, hs array<long>, sk array<short>"))
+    centres = cut(_centres(members))
+    pairs = members.join(centres, "key").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    links = _linked(pairs, sets, threshold)
+    if not links.isEmpty():
+        comp = _joined(comp, links)
+    # a centre has met all members of its buckets; a bucket of one component has nothing left to find
+    rest = members.select("key", "id").join(centres.withColumnRenamed("c", "id"), ["key", "id"], "left_anti").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("at"))
+    live = rest.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    left = cut(rest.join(live.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")), "key"))
+    if left.isEmpty():
+        return comp
+    own = left.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    own = own.select("key", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "id", "at")
+    met = own.join(sets.select("id", "hs"), "id").groupBy("key", "i", "j").applyInPandas(_meet(threshold, bands, rows_), "a long, b long")
+    links = cut(met)
+    return comp if links.isEmpty() else _joined(comp, links)
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after more links: the links are contracted to components first."""
+    a, b = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    lifted = cut(links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")))
+    found = components(lifted.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    known = comp.union(lifted.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("x").alias("component")), F.struct(F.col("b").alias("id"), F.col("y").alias("component")))).alias("s")).select("s.id", "s.component")).distinct()
+    step = found.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return cut(known.join(step, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -206,7 +268,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, bands: int = BANDS, ro
     placed = cut(own.join(classes, "cls").select("doc_id", "rep", "cls"))
     firsts = placed.where("doc_id = rep").select("doc_id", "cls")
     reps = sig.join(firsts, ["doc_id", "cls"]).select(F.col("doc_id").alias("id"), "n", "cls", "keys").dropDuplicates(["id"])
-    comp = link_components(reps, texts, threshold, width).withColumnRenamed("id", "rep")
+    comp = link_components(reps, texts, threshold, width, bands, rows).withColumnRenamed("id", "rep")
     label = placed.join(comp, "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "doc_id")
