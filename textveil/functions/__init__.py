@@ -1 +1 @@
-
+"""Column functions: span finding, checksums, keys, literal patterns."""

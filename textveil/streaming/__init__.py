@@ -1 +1,60 @@
+"""Live conversations: one vault a conversation, kept as state, growing turn by turn.
 
+Detection, sweep and guard are the same expressions as in batch jobs; only the numbering of new values needs
+state. A keyed stateful step takes the detected turns of a conversation in order, numbers new values, and gives
+out each turn with all forms that are visible to it; the expressions then do the masking.
+"""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.columns import SPANS, match_key
+from ..operators import detect, mask
+
+OUT = f"conv_id long, turn int, text string, spans {SPANS}, names array<string>, forms array<struct<placeholder:string,variant:string>>, late boolean"
+STATE = "vault string, last int"
+
+
+def _turns(match: str):
+    def step(key, frames, state):
+        held = json.loads(state.get[0]) if state.exists else {"counts": {}, "names": {}, "forms": []}
+        last = state.get[1] if state.exists else -1
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("turn", kind="stable")
+        out = []
+        for r in rows.itertuples(index=False):
+            names = []
+            for s, k in zip(r.spans, r.keys):
+                slot = f"{s['entity_type']}\u0001{k}"
+                if slot not in held["names"]:
+                    n = held["counts"][s["entity_type"]] = held["counts"].get(s["entity_type"], 0) + 1
+                    held["names"][slot] = f"<{s['entity_type']}_{n:03d}>"
+                    held["forms"].append([held["names"][slot], []])
+                name = held["names"][slot]
+                names.append(name)
+                spelled = next(f for p, f in held["forms"] if p == name)
+                if s["value"] not in spelled:
+                    spelled.append(s["value"])
+            forms = [{"placeholder": p, "variant": v} for p, own in held["forms"] for v in own]
+            out.append((key[0], r.turn, r.text, list(r.spans), names, forms, bool(r.turn <= last)))
+            last = max(last, int(r.turn))
+        state.update((json.dumps(held), last))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "text", "spans", "names", "forms", "late"])
+
+    return step
+
+
+def mask_turns(turns: DataFrame, *, match: str = "normalized", **options) -> DataFrame:
+    """turns (conv_id, turn, text), streaming -> conv_id, turn, masked_text, sealed, n_leaks, late.
+
+    A turn whose number isn't above the last one seen is masked like any other (numbers go on) and marked late.
+    State is one row a conversation; a replayed batch gives the same numbers."""
+    found = detect.detect(turns.select("conv_id", F.col("turn").cast("int").alias("turn"), "text"), **options)
+    found = found.withColumn("keys", F.transform("spans", lambda s: match_key(s["value"], match)))
+    kept = found.groupBy("conv_id").applyInPandasWithState(_turns(match), OUT, STATE, "append", "NoTimeout")
+    swept = kept.withColumn("_swept", mask.sweep(mask.substitute(F.col("text"), F.col("spans"), F.col("names")), F.col("forms")))
+    return swept.select("conv_id", "turn", F.col("_swept.text").alias("masked_text"), F.col("_swept.sealed").alias("sealed"), F.size(mask.leaks(F.col("_swept.text"), F.col("forms"))).alias("n_leaks"), "late")
