@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_pattern, match_key
+from ..functions.lineage import cut
 from . import chunk, detect, review, vault
 
 
@@ -76,10 +77,10 @@ def mask(
     spans stay as they are. Scopes are documents or conversations: one scope's vault must fit a row."""
     if sweep_scope not in ("causal", "full"):
         raise ValueError(f"sweep_scope must be 'causal' or 'full', got {sweep_scope!r}")
-    judged = review.decide(df, decisions, spans=spans, confirm_below=confirm_below)
+    judged = cut(review.decide(df, decisions, spans=spans, confirm_below=confirm_below))  # detection runs once
     found = mentions_of(judged, scope)
-    minted = vault.mint(found, scope, match=match, secret=secret)
-    spelled = vault.variants(found, minted, scope, match)
+    minted = cut(vault.mint(found, scope, match=match, secret=secret))
+    spelled = cut(vault.variants(found, minted, scope, match))
     held = vault.entries(minted, scope, spelled)
     names = vault_names(minted, scope)
     rows = judged.join(held, scope, "left").join(names, scope, "left")

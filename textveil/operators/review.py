@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPANS
+from ..functions.lineage import cut
 
 CONFIRM_BELOW = 0.5
 
@@ -50,7 +51,7 @@ def decide(df: DataFrame, decisions: DataFrame | None, *, spans: str = "spans",
 
 def _decide_joined(rows: DataFrame, no: DataFrame, spans: str, confirm_below: float) -> DataFrame:
     keys = F.array_distinct(F.transform(F.filter(spans, lambda s: s["score"] < confirm_below), lambda s: F.struct(s["entity_type"].alias("entity_type"), value_key(s["value"]).alias("value_key"))))
-    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+    rows = cut(rows)  # row numbers must not change between the two uses
     met = rows.select("_row", F.explode(keys).alias("k")).select("_row", "k.*").join(no, ["entity_type", "value_key"], "left_semi")
     own = met.groupBy("_row").agg(F.collect_set(F.concat_ws("\u0001", "entity_type", "value_key")).alias("_no"))
     joined = rows.join(own, "_row", "left").withColumn("_no", F.coalesce("_no", F.lit([]).cast("array<string>")))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bare, fingerprint, match_key, placeholder
+from ..functions.lineage import cut
 
 SECRET = "not a secret: pass your own"
 
@@ -32,13 +33,8 @@ def numbered(firsts: DataFrame, scope: list[str]) -> DataFrame:
     order = ["first_seq", "first_start", "match_key"]
     if scope:
         return firsts.withColumn("idx", F.row_number().over(W.partitionBy(*scope, "entity_type").orderBy(*order)).cast("long"))
-    spark = firsts.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    ranged = firsts.repartitionByRange("entity_type", *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    # checkpointed, as a recomputed range partitioning may draw other bounds
+    ranged = cut(firsts.repartitionByRange("entity_type", *order).withColumn("part", F.spark_partition_id()))
     local = ranged.withColumn("k", F.row_number().over(W.partitionBy("part", "entity_type").orderBy(*order)))
     counts = ranged.groupBy("part", "entity_type").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("entity_type").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -1 +1 @@
-
+"""Whole jobs and the registered queries."""
