@@ -45,10 +45,10 @@ def restore(df: DataFrame, vault: DataFrame, scope: list[str], *, text: str = "t
 def restore_by_join(df: DataFrame, vault: DataFrame, key: str, *, text: str = "text", max_index_digits: int = MAX_INDEX_DIGITS) -> DataFrame:
     """(key, restored) with a vault of the whole corpus: distinct tokens meet the vault by a shuffle join, and
     each text's few hits go back to it as a map."""
-    said = df.select(key, F.explode(F.array_distinct(F.transform(tokens(F.col(text), max_index_digits), lambda t: F.struct(t["entity_type"].alias("t"), t["idx"].alias("i"))))).alias("k")).select(key, "k.*")
-    known = vault.select(F.upper("entity_type").alias("t"), F.col("idx").alias("i"), "original")
-    pair = F.struct(F.concat_ws(" ", "t", F.col("i").cast("string")).alias("k"), F.col("original").alias("v"))
-    own = said.join(known, ["t", "i"]).groupBy(key).agg(F.map_from_entries(F.collect_list(pair)).alias("_originals"))
+    said = df.select(key, F.explode(F.array_distinct(F.transform(tokens(F.col(text), max_index_digits), lambda t: F.struct(t["entity_type"].alias("_t"), t["idx"].alias("_i"))))).alias("_k")).select(key, "_k.*")
+    known = vault.select(F.upper("entity_type").alias("_t"), F.col("idx").alias("_i"), F.col("original").alias("_v"))
+    pair = F.struct(F.concat_ws(" ", "_t", F.col("_i").cast("string")).alias("k"), F.col("_v").alias("v"))
+    own = said.join(known, ["_t", "_i"]).groupBy(key).agg(F.map_from_entries(F.collect_list(pair)).alias("_originals"))
     rows = df.select(key, text).join(own, key, "left")
     back = put_back(F.col(text), tokens(F.col(text), max_index_digits), F.col("_originals"))
     return rows.select(key, F.when(F.col("_originals").isNull(), F.col(text)).otherwise(back).alias("restored"))
