@@ -101,7 +101,7 @@ apache-2.0 | 0.8 | apache org licen | apache org licenses license 2 0(?: html| t
 apache-1.1 | 0.8 | apache org licen | apache org licenses license 1 1(?: html| txt)?
 apache | 0.7 | asl 2 0 licen | asl 2 0 licen[cs]ed?
 mit | 0.98 | mit license | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit license
-mit-0 | 0.95 | mit no attribution | mit no attribution(?: license)?
+mit-0 | 0.95 | mit no attribution | mit no attribution licen[cs]e
 mit | 0.9 | mit license | (?:the )?mit license(?: mit)?
 mit | 0.85 | mit licence | (?:the )?mit licence
 mit | 0.8 | opensource org licen | opensource org licenses mit(?: license)?(?: php| html)?
@@ -159,7 +159,7 @@ beerware | 0.95 | beer ware license | the beer ware license(?: revision 42)?
 json | 0.9 | shall be used for good not evil | the software shall be used for good not evil
 zlib | 0.95 | zlib licen | (?:the )?zlib (?:libpng )?licen[cs]e
 zlib | 0.85 | altered source versions must be plainly marked | altered source versions must be plainly marked as such and must not be misrepresented
-libpng | 0.9 | libpng licen | (?:the )?(?:png reference library|libpng) licen[cs]e(?: version 2)?
+libpng | 0.9 | libpng licen | (?:the )?libpng licen[cs]e(?: version 2)?
 artistic-2.0 | 0.95 | artistic license | (?:the )?artistic license (?:version |v )?2(?: 0)?
 artistic-1.0 | 0.95 | artistic license | (?:the )?artistic license (?:version |v )?1(?: 0)?
 artistic | 0.9 | artistic license | (?:the )?artistic license
