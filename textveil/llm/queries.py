@@ -72,4 +72,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op6_url_cascade": urlfilter.oracle()}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN list_filter([''], lambda x: x <> '') WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * k >= 75 * (na + nb - k)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON a = doc_id"""
+
+OP10_SQL = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, k, w[k:k + 2] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) > 2)),
+d AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, v) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM d, (VALUES (0), (1), (2)) z(o) GROUP BY 1),
+m AS (SELECT w.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed,
+  100 * n_symbols > {quality.MAX_SYMBOLS} * n_words OR 100 * n_dup_lines > {quality.MAX_DUP_LINES} * n_lines AS own_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR own_failed) AS x FROM f WHERE source IS NOT NULL GROUP BY 1),
+o AS (SELECT sum(x) / sum(n) AS p, greatest(0, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 - sum(x) / sum(n) * (1 - sum(x) / sum(n)) * count(*) / sum(n)) AS v FROM h),
+b AS (SELECT p, CASE WHEN v > 0 THEN least(1000, greatest(1, p * (1 - p) / v - 1)) ELSE 1000 END AS k FROM o),
+q AS (SELECT source, (x + p * k) / (n + k) > {quality.MAX_HOST_RATE} AS host_failed FROM h, b)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR own_failed OR coalesce(host_failed, false)) AS kept FROM f LEFT JOIN q USING (source)"""
+
+ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op6_url_cascade": urlfilter.oracle(), "op10_quality_rules": OP10_SQL}
