@@ -101,7 +101,7 @@ def test_pipeline(spark):
         w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
         c = collections.Counter(zip(w, w[1:], w[2:]))
         covered = {p for k, g in enumerate(zip(w, w[1:], w[2:])) if c[g] > 1 for p in (k, k + 1, k + 2)}
-        return len(w) < quality.MIN_WORDS or 100 * len(covered) > quality.MAX_REPEAT * len(w) or 100 * len(re.findall(quality.SYMBOLS, t)) > quality.MAX_SYMBOLS * len(w) or 100 * (len(lines) - len(set(lines))) > quality.MAX_DUP_LINES * len(lines)
+        return len(w) < quality.MIN_WORDS or 100 * len(covered) > quality.MAX_REPEAT * len(w) or 100 * len(re.findall(quality.SYMBOLS, t)) > quality.MAX_SYMBOLS * len(w) or (len(lines) - len(set(lines)) >= quality.MIN_DUP_LINES and 100 * (len(lines) - len(set(lines))) > quality.MAX_DUP_LINES * len(lines))
 
     rows = [r for r in rows if not fails(r[1])]
     firsts = brute_components([r[:2] for r in rows])

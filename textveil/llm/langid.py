@@ -170,7 +170,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = able.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
     words: dict[str, Counter] = defaultdict(Counter)
-    for r in able.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").toLocalIterator():
+    for r in able.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect():  # within the bound
         words[r["lang"]].update(split_words(r["text"]))
     words = {k: v for k, v in words.items() if v}
     return train(words) if words else None

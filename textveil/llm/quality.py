@@ -18,6 +18,8 @@ BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
 #: Least words; most repeated words in per cent; symbols and repeated lines allowed (per cent of words, of lines).
 MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES = 50, 50, 10, 30
+#: So few repeated lines say nothing: a short text may end as it began.
+MIN_DUP_LINES = 3
 #: A host whose shrunk failure rate is above this goes as a whole.
 MAX_HOST_RATE = 0.9
 #: Host tables up to this many rows (of a short name and a flag) are broadcast.
@@ -91,7 +93,7 @@ def base_failed(q: str = "_q") -> Column:
 
 def rule_failed(q: str = "_q") -> Column:
     """The base rules and the two of the method's own: too many symbols, too many repeated lines."""
-    return base_failed(q) | (100 * F.col(f"{q}.n_symbols") > MAX_SYMBOLS * F.col(f"{q}.n_words")) | (100 * F.col(f"{q}.n_dup_lines") > MAX_DUP_LINES * F.col(f"{q}.n_lines"))
+    return base_failed(q) | (100 * F.col(f"{q}.n_symbols") > MAX_SYMBOLS * F.col(f"{q}.n_words")) | ((F.col(f"{q}.n_dup_lines") >= MIN_DUP_LINES) & (100 * F.col(f"{q}.n_dup_lines") > MAX_DUP_LINES * F.col(f"{q}.n_lines")))
 
 
 def host_verdicts(rated: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:

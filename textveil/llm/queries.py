@@ -94,7 +94,7 @@ c AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM d, (VALUES (0), (1), (2)) z
 m AS (SELECT w.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed,
-  100 * n_symbols > {quality.MAX_SYMBOLS} * n_words OR 100 * n_dup_lines > {quality.MAX_DUP_LINES} * n_lines AS own_failed FROM m),
+  100 * n_symbols > {quality.MAX_SYMBOLS} * n_words OR (n_dup_lines >= {quality.MIN_DUP_LINES} AND 100 * n_dup_lines > {quality.MAX_DUP_LINES} * n_lines) AS own_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR own_failed) AS x FROM f WHERE source IS NOT NULL GROUP BY 1),
 o AS (SELECT sum(x) / sum(n) AS p, greatest(0, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 - sum(x) / sum(n) * (1 - sum(x) / sum(n)) * count(*) / sum(n)) AS v FROM h),
 b AS (SELECT p, CASE WHEN v > 0 THEN least(1000, greatest(1, p * (1 - p) / v - 1)) ELSE 1000 END AS k FROM o),

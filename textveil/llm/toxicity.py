@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_sample: int = TOXIC_SAMPLE, cl
     some = [able.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, toxic_sample), (0, clean_sample))]
     chosen = some[0].union(some[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # at most both bounds together
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in text_rows(docs).join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic").toLocalIterator():
+    for r in text_rows(docs).join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic").collect():  # within the bounds
         texts[r["toxic"]].append(r["text"])
     for own in texts.values():
         own.sort(key=lambda t: hash_of(t, 9))
