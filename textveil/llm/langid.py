@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import cut, narrow, text_rows
 
 #: Bounds of the training sample and the network: documents a language, units a direction, longest window.
 SAMPLE, UNITS, WINDOW, STEPS, BATCH = 300, 14, 30, 500, 192
@@ -167,8 +167,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     not held out. None if no row has a language and a text."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     able = keyed.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = able.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
+    # the rows of least hash in each language; a cut at three times their share leaves few rows to rank
+    draw, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), float(1 << 40)
+    sizes = cut(able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    sizes = narrow(sizes, sizes.count())
+    few = able.select("doc_id", "lang", draw.alias("h")).join(sizes, "lang").where(F.col("h") < F.lit(span) * F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("n")))
+    order = W.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
     words: dict[str, Counter] = defaultdict(Counter)
     for r in able.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect():  # within the bound
         words[r["lang"]].update(split_words(r["text"]))
