@@ -129,7 +129,11 @@ def spans_of(
     entries = [e for e in (*P.PATTERNS, *(P.MONEY if detect_money else ())) if e[0] in wanted]
 
     def all_of(f: Column) -> Column:
-        arrays = [pattern_spans(text, e, mask_malformed) for e in entries] + [field_spans(f)] + [d(text) for d in extra]
+        arrays = [pattern_spans(text, e, mask_malformed) for e in entries if e[4]] + [field_spans(f)] + [d(text) for d in extra]
+        # entries without a substring of their own all need a digit: most chunks skip them after one look
+        numeric = [pattern_spans(text, e, mask_malformed) for e in entries if not e[4]]
+        if numeric:
+            arrays.append(F.when(F.regexp_like(text, F.lit(r"\p{Nd}")), F.concat(*numeric)).otherwise(no_spans()))
         return resolve(drop_labels(F.filter(F.concat(*arrays), lambda s: (s["score"] >= threshold) & s["entity_type"].isin(wanted)), f))
 
     return F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S")), let(fields(text), all_of)).otherwise(no_spans())
