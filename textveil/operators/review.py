@@ -9,6 +9,8 @@ from ..functions.columns import SPANS
 from ..functions.lineage import cut
 
 CONFIRM_BELOW = 0.5
+#: So many declined values stand in the plan as a list; more are met by a shuffle join.
+LISTED = 1_000
 
 
 def value_key(value: Column) -> Column:
@@ -40,9 +42,8 @@ def decide(df: DataFrame, decisions: DataFrame | None, *, spans: str = "spans",
     keys = F.array_distinct(F.transform(F.filter(spans, lambda s: s["score"] < confirm_below), lambda s: F.struct(s["entity_type"].alias("entity_type"), value_key(s["value"]).alias("value_key"))))
     asked = df.select(F.explode(keys).alias("k")).select("k.*").distinct()
     kept = asked.join(no, ["entity_type", "value_key"], "left_semi")
-    # decisions are made by people: their number is theirs; beyond the bound they are met by a shuffle join instead
-    listed = [f"{r['entity_type']}\u0001{r['value_key']}" for r in kept.limit(100_001).collect()]
-    if len(listed) > 100_000:
+    listed = [f"{r['entity_type']}\u0001{r['value_key']}" for r in kept.limit(LISTED + 1).collect()]
+    if len(listed) > LISTED:
         return _decide_joined(rows, no, spans, confirm_below)
     table = F.lit(listed).cast("array<string>") if listed else F.lit([]).cast("array<string>")
     out = lambda s: (s["score"] < confirm_below) & F.array_contains(table, F.concat_ws("\u0001", s["entity_type"], value_key(s["value"])))
