@@ -256,7 +256,8 @@ def guard_split(spark, sf_dir):
 
 @query(f"SELECT d.c_custkey AS doc_id, n.c_name AS variant FROM (SELECT c_custkey, {RECORD} AS text FROM customer) d JOIN customer n ON n.c_custkey % 10 = 0 AND n.c_custkey = d.c_custkey")
 def corpus_leaks(spark, sf_dir):
-    values = read_table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_name").alias("variant"))
+    """The names of all customers against all records."""
+    values = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("variant"))
     return mask.corpus_leaks(records(spark, sf_dir), values, "doc_id")
 
 
