@@ -28,13 +28,25 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; a repeated row counts once."""
-    found = cut(minhash.near_duplicates(docs).select("doc_id", "kept"))
-    repeated = not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    gone = found.where("not kept").select("doc_id").distinct()
+    """Of each group of near-duplicates the document with the smallest doc_id stays; a repeated row (doc_id and text) counts once.
+
+    Every text of a repeated doc_id is judged by itself. Rows with a null doc_id all stay."""
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = cut(minhash.near_duplicates(docs).select("doc_id", "kept"))
+        return _without(docs, found.where("not kept").select("doc_id"), "doc_id")
+    marked = named.withColumn("_digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    once = marked.dropDuplicates(["doc_id", "_digest"]).repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    # numbers in the order of doc_id stand for the rows; checkpointed, as a range partitioning computed anew may draw other bounds
+    rows = cut(once.withColumn("_row", F.monotonically_increasing_id()))
+    found = cut(minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "kept"))
+    kept = _without(rows, found.where("not kept").select("_row"), "_row").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(side, "doc_id", "left_anti").select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return docs.join(side, key, "left_anti").select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
