@@ -55,13 +55,13 @@ def split(text: Column, max_chars: int = MAX_CHARS) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.length(text) <= max_chars, F.array(text)).otherwise(let(sizes(lengths, max_chars), cut))
 
 
-def chunks(df: DataFrame, *keys: str, text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
-    """(keys, chunk_no, chunk_start, text): a row for each chunk."""
+def chunks(df: DataFrame, *keys: str, text: str = "text", max_chars: int = MAX_CHARS, outer: bool = False) -> DataFrame:
+    """(keys, chunk_no, chunk_start, text): a row for each chunk. outer: null and empty texts give a row of nulls."""
     parts = df.select(*keys, split(F.col(text), max_chars).alias("p"))
     zero = F.lit([]).cast("array<struct<chunk_no:int,chunk_start:int,text:string>>")
     start = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["chunk_start"] + F.length(F.get(acc, F.size(acc) - 1)["text"]), F.lit(0)).cast("int")
     placed = F.aggregate("p", zero, lambda acc, t: F.concat(acc, F.array(F.struct(F.size(acc).alias("chunk_no"), start(acc).alias("chunk_start"), t.alias("text")))))
-    return parts.select(*keys, F.explode(placed).alias("c")).select(*keys, "c.*")
+    return parts.select(*keys, (F.explode_outer if outer else F.explode)(placed).alias("c")).select(*keys, "c.*")
 
 
 def rejoin(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -109,28 +109,49 @@ def counts(spans: Column) -> Column:
 def mask_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_chars: int = chunk.MAX_CHARS, options: dict | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, vault, variants): each document masked chunk by chunk with a vault of its own.
 
-    documents: doc_id, text, masked_text, spans (document offsets), sealed, leaks of the whole text, n_declined."""
-    parts = chunk.chunks(docs, doc_id, text=text, max_chars=max_chars).withColumnRenamed("chunk_no", "seq")
+    documents: doc_id, text, masked_text, spans (document offsets), sealed, leaks of the whole text, n_declined.
+    Rows that share a doc_id share its vault, so placeholders stay unambiguous; a row with a null doc_id has its own.
+    masked_text is null where a text that isn't empty could not be masked; guard holds such rows back."""
+    out, minted, spelled = mask_rows(docs, doc_id=doc_id, text=text, max_chars=max_chars, options=options, **more)
+    own = lambda df: df.select(F.col("_scope.id").alias(doc_id), *[c for c in df.columns if c not in ("_scope", doc_id)])
+    return own(out), own(minted), own(spelled)
+
+
+def mask_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_chars: int = chunk.MAX_CHARS, options: dict | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As mask_documents, with ``_scope`` (struct<id, row>) instead of doc_id in all three tables. row is set where the id is
+    null; structs with equal fields are equal, null ones too, so no row is lost in a join on it."""
+    # the row number is fixed by mask's checkpoint, which holds all chunks of all rows; texts without chunks are in _bare
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).withColumn("_doc_row", F.monotonically_increasing_id())
+    keyed = keyed.select("_doc_row", F.struct(F.col("_id").alias("id"), F.when(F.col("_id").isNull(), F.col("_doc_row")).alias("row")).alias("_scope"), "text", F.when(F.length("text") == 0, F.col("text")).alias("_bare"))
+    parts = chunk.chunks(keyed, "_doc_row", "_scope", "_bare", max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq")
     found = detect.detect(parts, **(options or {}))
-    rows, minted, spelled = mask(found, [doc_id], **more)
+    rows, minted, spelled = mask(found, ["_scope"], **more)
     moved = F.transform("approved", lambda s: F.struct(s["entity_type"].alias("entity_type"), (s["start"] + F.col("chunk_start")).alias("start"), (s["end"] + F.col("chunk_start")).alias("end"), s["score"].alias("score"), s["value"].alias("value")))
-    piece = F.struct("seq", F.col("masked_text").alias("m"), moved.alias("s"), F.col("sealed").alias("x"), F.size("declined").alias("d"))
-    whole = rows.groupBy(doc_id).agg(F.array_sort(F.collect_list(piece)).alias("c"))
-    whole = whole.select(doc_id, F.array_join(F.transform("c", lambda x: x["m"]), "").alias("masked_text"), F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined"))
-    out = docs.select(doc_id, F.col(text).alias("text")).join(whole, doc_id, "left").join(vault.entries(minted, [doc_id], spelled), doc_id, "left")
-    out = out.withColumn("masked_text", F.coalesce("masked_text", "text")).withColumn("leaks", leaks(F.col("masked_text"), forms_of(F.col("entries"), None)))
+    piece = F.struct("seq", F.col("masked_text").alias("m"), moved.alias("s"), F.col("sealed").alias("x"), F.size("declined").alias("d"), F.col("text").alias("t"))
+    # rows lie by scope already, so neither this nor the join with the entries moves them again
+    whole = rows.groupBy("_scope", "_doc_row").agg(F.max("_bare").alias("_bare"), F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), piece))).alias("c"))
+    joined = lambda k: F.array_join(F.transform("c", lambda x: x[k]), "")
+    bare = F.size("c") == 0
+    whole = whole.withColumn("text", F.when(bare, F.col("_bare")).otherwise(joined("t"))).withColumn("masked_text", F.when(bare, F.col("_bare")).when(~F.exists("c", lambda x: x["m"].isNull()), joined("m")))
+    whole = whole.select("_scope", "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined"))
+    out = whole.join(vault.entries(minted, ["_scope"], spelled), "_scope", "left")
+    out = out.withColumn("leaks", leaks(F.col("masked_text"), forms_of(F.col("entries"), None)))
     empty = F.lit([]).cast("array<string>")
-    return out.select(doc_id, "text", "masked_text", F.coalesce("spans", detect.no_spans()).alias("spans"), F.coalesce("sealed", empty).alias("sealed"), F.coalesce("leaks", empty).alias("leaks"), F.coalesce("n_declined", F.lit(0)).alias("n_declined")), minted, spelled
+    return out.select("_scope", "text", "masked_text", F.coalesce("spans", detect.no_spans()).alias("spans"), F.coalesce("sealed", empty).alias("sealed"), F.coalesce("leaks", empty).alias("leaks"), F.coalesce("n_declined", F.lit(0)).alias("n_declined")), minted, spelled
 
 
 def guard(masked: DataFrame, on_leak: str = "quarantine") -> tuple[DataFrame, DataFrame]:
-    """(released, quarantine). Fails closed: a row with a known value in it is never released; ``raise`` stops the job."""
+    """(released, quarantine). Fails closed: a row with a known value in it, or with a text that isn't empty and no masked
+    text, is never released; ``raise`` stops the job."""
     if on_leak not in ("quarantine", "raise"):
         raise ValueError(f"on_leak must be 'quarantine' or 'raise', got {on_leak!r}")
-    bad = masked.where(F.size("leaks") > 0)
+    unsafe = F.coalesce(F.size("leaks") != 0, F.lit(True))
+    if {"text", "masked_text"} <= set(masked.columns):
+        unsafe = unsafe | (F.col("masked_text").isNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
+    bad = masked.where(unsafe)
     if on_leak == "raise" and not bad.isEmpty():
         raise ValueError("private values survived masking; refusing to release")
-    return masked.where(F.size("leaks") == 0), bad
+    return masked.where(~unsafe), bad
 
 
 def redact(df: DataFrame, vault_entries: DataFrame, scope: list[str], text: str) -> DataFrame:

@@ -22,11 +22,11 @@ def mask_corpus(docs: DataFrame, out: str, vault_out: str, *, on_leak: str = "qu
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, masked_text, restored, n_canonicalized, verdict) of masking and restoring every document."""
-    masked, minted, spelled = mask.mask_documents(docs, **options)
-    back = restore.restore(masked.select("doc_id", "text", "masked_text"), minted, ["doc_id"], text="masked_text")
-    many = vault.canonicalized(spelled, minted, ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_canonicalized"))
-    out = back.join(many, "doc_id", "left").withColumn("n_canonicalized", F.coalesce("n_canonicalized", F.lit(0)))
-    return out.select("doc_id", "masked_text", "restored", "n_canonicalized", restore.verdict(F.col("text"), F.col("restored"), F.col("n_canonicalized")).alias("verdict"))
+    masked, minted, spelled = mask.mask_rows(docs, **options)
+    back = restore.restore(masked.select("_scope", "text", "masked_text"), minted, ["_scope"], text="masked_text")
+    many = vault.canonicalized(spelled, minted, ["_scope"]).groupBy("_scope").agg(F.count(F.lit(1)).alias("n_canonicalized"))
+    out = back.join(many, "_scope", "left").withColumn("n_canonicalized", F.coalesce("n_canonicalized", F.lit(0)))
+    return out.select(F.col("_scope.id").alias("doc_id"), "masked_text", "restored", "n_canonicalized", restore.verdict(F.col("text"), F.col("restored"), F.col("n_canonicalized")).alias("verdict"))
 
 
 def mask_conversations(turns: DataFrame, *, roles: tuple[str, ...] | None = ("user",), **options) -> tuple[DataFrame, DataFrame, DataFrame]:
