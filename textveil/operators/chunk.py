@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import let
 
 MAX_CHARS = 8000
-#: Marks a cut. A private-use character; texts that hold it fall back to cuts by length alone.
+#: Marks a cut, followed by CUT_HERE. Where a text holds this character itself, OWN follows it until the text is cut.
 CUT = ""
+CUT_HERE, OWN = "b", "a"
 PARAGRAPH, SENTENCE = r"(\n[ \t]*\n)", r"(?U)([.!?]\s+)"
 
 
 def pieces(text: Column, separator: str) -> Column:
     """Pieces with their separator on the left one."""
-    return F.filter(F.split(F.regexp_replace(text, separator, f"$1{CUT}"), CUT, -1), lambda x: x != "")
+    marked = F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(CUT + OWN)), separator, f"$1{CUT}{CUT_HERE}")
+    parts = F.transform(F.split(marked, CUT + CUT_HERE, -1), lambda x: F.replace(x, F.lit(CUT + OWN), F.lit(CUT)))
+    return F.filter(parts, lambda x: x != "")
 
 
 def by_length(text: Column, size: int) -> Column:
@@ -27,7 +30,7 @@ def atoms(text: Column, size: int) -> Column:
     """The smallest pieces that are cut between."""
     sentence = lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(by_length(s, size))
     paragraph = lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.flatten(F.transform(pieces(p, SENTENCE), sentence)))
-    return F.when(F.contains(text, F.lit(CUT)), by_length(text, size)).otherwise(F.flatten(F.transform(pieces(text, PARAGRAPH), paragraph)))
+    return F.flatten(F.transform(pieces(text, PARAGRAPH), paragraph))
 
 
 def sizes(lengths: Column, size: int) -> Column:
