@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.functions.patterns import FAILURES
-from textveil.operators import conversation
+from textveil.functions.patterns import FAILURES, STEPS
+from textveil.operators import conversation, detect, mask, report, vault
 from textveil.plans import jobs
 from textveil.sources import append_audit, read_texts, write_masked
 from textveil.streaming import mask_turns
@@ -51,13 +51,15 @@ def test_failures(spark):
 
 
 def test_audit_order_and_sinks(spark, tmp_path):
-    rows = [(1, 0, "t", "m", "a", "r", 2, 0, 0, 0, None), (1, 1, "t", "m", None, None, 1, 1, 1, 2, None), (1, 2, "t", "m", None, None, 1, 0, 0, 2, "down")]
-    df = spark.createDataFrame(rows, "conv_id int, turn int, text string, masked_text string, answer string, restored string, n_spans int, n_sealed int, n_leaks int, n_history int, error string")
+    rows = [(1, 0, "t", "m", "a", "r", {"PERSON": 2, "IP_ADDRESS": 1}, 0, 0, 0, "big", None), (1, 1, "t", "m", None, None, {"PERSON": 1}, 1, 1, 2, "big", None), (1, 2, "t", "m", None, None, None, 0, 0, 2, None, "it's down {n}")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, text string, masked_text string, answer string, restored string, entity_counts map<string,long>, n_sealed int, n_leaks int, n_history int, model string, error string")
     events = conversation.audit(df, ["conv_id", "turn"])
-    steps = lambda t: [r.step for r in events.where(F.col("turn") == t).orderBy("seq").collect()]
-    assert steps(0) == ["input_received", "pii_detected", "leak_check", "masked", "llm_request", "llm_response", "unmasked"]
-    assert steps(1) == ["input_received", "pii_detected", "sealed", "leak_blocked"]
-    assert steps(2)[-1] == "llm_failed"
+    of = lambda t: events.where(F.col("turn") == t).orderBy("seq").collect()
+    assert [r.step for r in of(0)] == ["input_received", "pii_detected", "leak_check", "masked", "llm_request", "llm_response", "unmasked"]
+    assert [r.step for r in of(1)] == ["input_received", "pii_detected", "sealed", "leak_blocked"]
+    assert of(2)[-1].step == "llm_failed" and of(2)[-1].message.endswith("it's down {n}")
+    assert of(0)[1].payload == {"PERSON": "2", "IP_ADDRESS": "1"} and of(0)[1].message == STEPS["pii_detected"].format(n=3)
+    assert of(0)[4].payload == {"text": "m", "model": "big", "history_messages": "0"} and of(2)[1].payload == {}
     assert {r.step for r in events.where("sensitive").collect()} == {"input_received", "unmasked"}
     assert conversation.public_view(events).where("step = 'input_received'").isEmpty()
     append_audit(events, str(tmp_path / "audit"))
@@ -68,3 +70,60 @@ def test_audit_order_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).columns == ["turn", "masked_text"]
     with pytest.raises(Exception, match="(?i)exist"):
         write_masked(df.select("turn", "masked_text"), str(tmp_path / "m"))
+
+
+def test_failures_are_redacted_with_what_is_known_by_then(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn int, role string, text string")
+    _, minted, spelled = jobs.mask_conversations(turns)
+    rows = [(1, 0, "OddError", "failed on ANN LEE and b@x.example.com\nmore"), (1, 4, "OddError", "failed on b@x.example.com"), (2, 0, "OddError", "failed on Ann Lee"), (9, 0, "RateLimitError", "x")]
+    got = {(r.conv_id, r.turn): r.error for r in jobs.describe_failures(spark.createDataFrame(rows, "conv_id long, turn int, error_class string, error_message string"), minted, spelled).collect()}
+    assert got == {(1, 0): "OddError: failed on <PERSON_001> and b@x.example.com", (1, 4): "OddError: failed on <EMAIL_ADDRESS_002>", (2, 0): "OddError: failed on Ann Lee", (9, 0): dict(FAILURES)["ratelimit"]}
+
+
+def test_replies_know_the_vault_of_their_turn(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn int, role string, text string")
+    _, minted, _ = jobs.mask_conversations(turns)
+    replies = spark.createDataFrame([(1, 0, "<PERSON_001> <EMAIL_ADDRESS_001>"), (1, 2, "<PERSON_001> <EMAIL_ADDRESS_001>"), (3, 0, "<PERSON_001>")], "conv_id long, turn int, answer string")
+    got = {(r.conv_id, r.turn): r.restored for r in jobs.restore_replies(replies, minted).collect()}
+    assert got == {(1, 0): "Ann Lee <EMAIL_ADDRESS_001>", (1, 2): "Ann Lee a@x.example.com", (3, 0): "<PERSON_001>"}
+
+
+def test_a_reset_forgets_the_thread_alone(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn int, role string, text string")
+    out, _, _ = jobs.mask_conversations(turns)
+    replies = spark.createDataFrame([(1, 0, "hi"), (1, 2, "ho")], "conv_id long, turn int, answer string")
+    resets = spark.createDataFrame([(1, 1), (1, 4), (5, 0)], "conv_id long, turn int")
+    got = {(r.conv_id, r.turn): (r.thread, len(r.messages), r.question) for r in jobs.requests_of(out, replies, "s", resets=resets).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {(1, 0): (0, 2), (1, 2): (1, 2), (1, 4): (2, 2), (2, 0): (0, 2)}
+    assert got[1, 4][2].startswith("<PERSON_001> wrote to <EMAIL_ADDRESS_001>")
+
+
+def test_public_rows_hold_no_value(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn int, role string, text string")
+    out, minted, spelled = jobs.mask_conversations(turns)
+    rows = out.select("conv_id", "turn", "text", "masked_text", F.col("masked_text").alias("answer"), F.col("text").alias("restored"), "entity_counts", F.size("sealed").alias("n_sealed"), F.size("leaks").alias("n_leaks"), F.lit(0).alias("n_history"), F.lit("m").alias("model"), F.lit(None).cast("string").alias("error"))
+    events = conversation.public_view(conversation.audit(rows, ["conv_id", "turn"]))
+    rendered = events.select("conv_id", F.concat_ws(" ", "step", "message", F.to_json("payload")).alias("said"))
+    found = rendered.join(vault.entries(minted, ["conv_id"], spelled), "conv_id").where(F.size(mask.leaks(F.col("said"), mask.forms_of(F.col("entries"), None))) > 0)
+    assert rendered.count() == 21 and found.isEmpty()
+
+
+def test_reports(spark):
+    turns = spark.createDataFrame(TURNS, "conv_id long, turn int, role string, text string")
+    said = spark.createDataFrame([("PERSON", "ann lee", "n")], "entity_type string, value_key string, answer string")
+    out, minted, _ = jobs.mask_conversations(turns, decisions=said, confirm_below=0.9)
+    spans = detect.explode_spans(out, "conv_id", "turn", spans="approved")
+    total = report.sealed_and_declined(out).first()
+    assert (total.n_sealed, total.n_declined) == (0, 1)
+    assert [tuple(r) for r in report.left_by_decision(out, "conv_id").collect()] == [(1, "PERSON", "Ann Lee")]
+    assert [tuple(r) for r in report.types_in_order(spans).collect()] == [("EMAIL_ADDRESS", 3)]
+    assert [tuple(r) for r in report.distinct_values(spans).collect()] == [("EMAIL_ADDRESS", 2)]
+    assert [tuple(r) for r in report.types_found(spans, "conv_id").collect()] == [(1, ["EMAIL_ADDRESS"])]
+    assert [tuple(r) for r in report.vault_sizes(minted, ["conv_id"]).collect()] == [(1, 2, ["<EMAIL_ADDRESS_001>", "<EMAIL_ADDRESS_002>"])]
+    safe = report.safe_detections(spans, minted, ["conv_id"])
+    assert safe.columns == ["conv_id", "entity_type", "score", "placeholder"] and safe.count() == 3
+    assert [(r.placeholder, r.n_entries) for r in vault.in_order(minted, ["conv_id"]).collect()] == [("<EMAIL_ADDRESS_001>", 2), ("<EMAIL_ADDRESS_002>", 2)]
+    assert [r.n_entries for r in vault.in_order(minted.drop("conv_id"), []).collect()] == [2, 2]
+    mentions = mask.mentions_of(out.where("turn = 4"), ["conv_id"])
+    first = vault.mint(mask.mentions_of(out.where("turn < 4"), ["conv_id"]), ["conv_id"])
+    assert [r.value for r in report.seen_again(mentions, first, ["conv_id"]).collect()] == ["A@X.EXAMPLE.COM"]

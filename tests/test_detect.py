@@ -100,8 +100,38 @@ def test_literal_pattern_edges(spark):
 
 def test_unknown_match_mode():
     with pytest.raises(ValueError):
-        C.match_key(F.lit("x") if False else None, "fuzzy")
+        C.match_key(None, "fuzzy")
 
 
 def test_pattern_table():
     assert {e[0] for e in P.PATTERNS} <= set(P.DEFAULT_ENTITIES)
+
+
+def test_own_pattern_table(spark):
+    own = [("TICKET", "ticket", r"\bT-\d+\b", 0.9, "T-", None), ("EMAIL_ADDRESS", "mail", r"\S+@\S+", 0.5, "@", None), ("OTHER", "other", "x", 0.9, "x", None)]
+    rows = spark.createDataFrame([("T-12 x@y z",)], "text string")
+    got = rows.select(detect.spans_of(F.col("text"), patterns=own, entities=("TICKET", "EMAIL_ADDRESS")).alias("s")).first().s
+    assert [(x.entity_type, x.value) for x in got] == [("TICKET", "T-12"), ("EMAIL_ADDRESS", "x@y")]
+
+
+def test_further_patterns(spark):
+    """Kinds that the cases above leave out: written, near their context words or not, and with wrong checksums."""
+    card = lambda body: next(body + str(d) for d in range(10) if sum(int(c) if i % 2 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(body + str(d))) % 10 == 0)
+    good = card("400000123456789")
+    bad = good[:-1] + str((int(good[-1]) + 1) % 10)
+    cases = [
+        (f"paid with {good}", [("CREDIT_CARD", good)]),
+        (f"paid with {bad}", []),
+        ("token ghp_" + "a1" * 20, [("API_KEY", "ghp_" + "a1" * 20)]),
+        ("passport A12345678 shown", [("US_PASSPORT", "A12345678")]),
+        ("item A12345678 shown", []),
+        ("driver license B7654321", [("US_DRIVER_LICENSE", "B7654321")]),
+        ("her medical license AB1234567", [("MEDICAL_LICENSE", "AB1234567")]),
+        ("SSN 000-12-3456 and 123-00-4567", []),
+        ("at 300.1.1.1 or 1.2.3", []),
+        ("Card number: 4000 0012 3456 7899", [("CREDIT_CARD", "4000 0012 3456 7899")]),
+        ("Address: 12 Long Lane", [("LOCATION", "12 Long Lane")]),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, text string").select("i", "text", detect.spans_of(F.col("text")).alias("s")).collect()
+    for r in rows:
+        assert [(s.entity_type, s.value) for s in r.s] == cases[r.i][1], r.text

@@ -26,22 +26,44 @@ def span(entity_type, start: Column, end: Column, score, value: Column) -> Colum
     return F.struct(kind.alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), rate.alias("score"), value.alias("value"))
 
 
+#: Items of an array that are folded together.
+PART = 128
+
+
+def running(items: Column, start: Column, kind: str, step) -> Column:
+    """One pass over an array: step(state, item) -> (state, item given out), gathered as an array of ``kind``. What is given
+    out is gathered in parts, since adding to one growing array would copy it each time."""
+    none = F.lit([]).cast(f"array<{kind}>")
+
+    def part(a, i):
+        def one(b, x):
+            state, out = step(b["state"], x)
+            return F.struct(state.alias("state"), F.concat(b["out"], F.array(out)).alias("out"))
+
+        done = F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), F.struct(a["state"].alias("state"), none.alias("out")), one)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+    zero = F.struct(start.alias("state"), F.lit([]).cast(f"array<array<{kind}>>").alias("out"))
+    parts = F.sequence(F.lit(0), F.ceil(F.size(items) / PART).cast("int") - 1)
+    return F.when(F.size(items) > 0, F.aggregate(parts, zero, part, lambda a: F.flatten(a["out"]))).otherwise(none)
+
+
 def places(text: Column, pattern: str) -> Column:
     """array<struct<s, e, v>> of all matches of a pattern that never matches the empty string. Lengths of the gaps and
     the hits give the offsets; both are counted in code points."""
-    kind = "array<struct<s:int,e:int,v:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit([]).cast(kind).alias("out"))
+    kind = "struct<s:int,e:int,v:string>"
 
-    def fold(gaps: Column, hits: Column) -> Column:
-        def step(a, hit):
-            s = (a["at"] + F.length(F.get(gaps, a["i"]))).cast("int")
-            e = (s + F.length(hit)).cast("int")
-            return F.struct(e.alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), hit.alias("v")))).alias("out"))
+    def step(at, x):
+        s = (at + F.length(x["gap"])).cast("int")
+        e = (s + F.length(x["hit"])).cast("int")
+        return e, F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("v"))
 
-        return F.aggregate(hits, zero, step, lambda a: a["out"])
+    def fold(gaps: Column, hits: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        return let(pairs, lambda x: running(x, F.lit(0), kind, step))
 
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    return let(hits, lambda h: F.when(F.size(h) == 0, F.lit([]).cast(kind)).otherwise(let(F.split(text, pattern, -1), lambda g: fold(g, h))))
+    return let(hits, lambda h: F.when(F.size(h) == 0, F.lit([]).cast(f"array<{kind}>")).otherwise(let(F.split(text, pattern, -1), lambda g: fold(g, h))))
 
 
 def digits(value: Column) -> Column:
@@ -101,6 +123,15 @@ def literal_pattern(value: Column) -> Column:
     return F.concat(F.lit("(?iU)"), edge(F.substring(value, 1, 1)), quoted, edge(F.substring(value, -1, 1)))
 
 
+def fold(value: Column) -> Column:
+    """What literal_pattern matches alike has equal folds, so a pattern that matches stands in the text's fold too. Lowering,
+    raising and lowering again brings all forms of a letter together; what lowering makes of a dotted capital I, and of a sigma
+    at a word's end, depends on its surroundings and is levelled. (That also parts the three steps, which the optimizer would
+    otherwise take for one.)"""
+    level = lambda c: F.translate(c, "\u03c2\u0307", "\u03c3")
+    return level(F.lower(level(F.upper(level(F.lower(value))))))
+
+
 def bare(token: Column) -> Column:
     return F.regexp_replace(token, r"^[<>]+|[<>]+$", "")
 

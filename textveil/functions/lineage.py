@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where it names none, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a local one for a local master;
+    on a cluster that is an error, as executors and driver share no local folder."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def pattern_spans(text: Column, entry: tuple, mask_malformed: bool = False) -> C
 
     found = F.transform(places(text, expression), rated)
     found = F.filter(found, lambda s: s["score"] >= 0) if valid else found
+    if name in P.GATES:
+        found = F.when(F.regexp_like(text, F.lit(P.GATES[name])), found).otherwise(no_spans())
     return F.when(F.contains(text, F.lit(must)), found).otherwise(no_spans()) if must else found
 
 
@@ -121,12 +123,16 @@ def spans_of(
     entities: Iterable[str] = P.DEFAULT_ENTITIES,
     detect_money: bool = False,
     mask_malformed: bool = False,
+    patterns: Iterable[tuple] = P.PATTERNS,
     extra: Iterable[Callable[[Column], Column]] = (),
 ) -> Column:
     """All private values of a text: patterns, labelled fields and the caller's own detectors (each a function of the text
-    column to an array of spans, a pandas UDF's for instance), over the threshold, not inside labels, overlaps resolved."""
+    column to an array of spans, a pandas UDF's for instance), over the threshold, not inside labels, overlaps resolved.
+
+    patterns: a table of entries (entity type, name, Java expression, score, substring that must stand in the text or None
+    if it needs a digit, validator ``jmbg``, ``iban``, ``luhn`` or None); entries whose type isn't in entities are left out."""
     wanted = [*entities, *(["MONEY_AMOUNT"] if detect_money else [])]
-    entries = [e for e in (*P.PATTERNS, *(P.MONEY if detect_money else ())) if e[0] in wanted]
+    entries = [e for e in (*patterns, *(P.MONEY if detect_money else ())) if e[0] in wanted]
 
     def all_of(f: Column) -> Column:
         arrays = [pattern_spans(text, e, mask_malformed) for e in entries if e[4]] + [field_spans(f)] + [d(text) for d in extra]

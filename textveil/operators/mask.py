@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import literal_pattern, match_key
+from ..functions.columns import fold, let, literal_pattern, match_key
 from ..functions.lineage import cut
 from . import chunk, detect, review, vault
 
 
+#: A character that is neither white space nor a plain letter or digit.
+SIGN = r"(?U)([^\s\p{L}\p{Nd}])"
+
+
 def substitute(text: Column, spans: Column, placeholders: Column) -> Column:
     """The text with each span (sorted, not overlapping) replaced by its placeholder, in one pass."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -35,22 +39,21 @@ def forms_of(entries: Column, seq: Column | None) -> Column:
 
 def sweep(text: Column, forms: Column) -> Column:
     """struct<text, sealed>: every known spelling replaced in turn, in any case; sealed names those that hit."""
-    zero = F.struct(text.alias("text"), F.lit([]).cast("array<string>").alias("sealed"))
+    state = lambda t, sealed: F.struct(t.alias("text"), fold(t).alias("folded"), sealed.alias("sealed"))
 
     def step(a, f):
         pattern = literal_pattern(f["variant"])
-        likely = F.contains(F.lower(a["text"]), F.lower(f["variant"]))  # spares most rows the regular expression
+        likely = F.contains(a["folded"], fold(f["variant"]))  # spares most rows the regular expression
         hit = likely & F.regexp_like(a["text"], pattern)
-        swept = F.regexp_replace(a["text"], pattern, F.replace(f["placeholder"], F.lit("$"), F.lit("\\$")))
-        return F.when(hit, F.struct(swept.alias("text"), F.concat(a["sealed"], F.array(f["variant"])).alias("sealed"))).otherwise(a)
+        swept = F.regexp_replace(a["text"], pattern, F.replace(F.replace(f["placeholder"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))
+        return F.when(hit, state(swept, F.concat(a["sealed"], F.array(f["variant"])))).otherwise(a)
 
-    return F.aggregate(forms, zero, step)
+    return F.aggregate(forms, state(text, F.lit([]).cast("array<string>")), step, lambda a: F.struct(a["text"].alias("text"), a["sealed"].alias("sealed")))
 
 
 def leaks(text: Column, forms: Column) -> Column:
     """array<string>: the known spellings that still stand in the text."""
-    found = F.filter(forms, lambda f: F.contains(F.lower(text), F.lower(f["variant"])) & F.regexp_like(text, literal_pattern(f["variant"])))
-    return F.transform(found, lambda f: f["variant"])
+    return let(fold(text), lambda t: F.transform(F.filter(forms, lambda f: F.contains(t, fold(f["variant"])) & F.regexp_like(text, literal_pattern(f["variant"]))), lambda f: f["variant"]))
 
 
 def mentions_of(df: DataFrame, scope: list[str], spans: str = "approved") -> DataFrame:
@@ -75,6 +78,8 @@ def mask(
     Masked rows have all columns of df, and masked_text, approved, declined, sealed, leaks and entity_counts. sweep_scope:
     ``causal`` sweeps a row with values first seen in it or before; ``full`` with all of its scope. Rows without
     spans stay as they are. Scopes are documents or conversations: one scope's vault must fit a row."""
+    if not scope:
+        raise ValueError("a vault of the whole corpus doesn't fit a row: use mask_corpus")
     if sweep_scope not in ("causal", "full"):
         raise ValueError(f"sweep_scope must be 'causal' or 'full', got {sweep_scope!r}")
     judged = cut(review.decide(df, decisions, spans=spans, confirm_below=confirm_below))  # detection runs once
@@ -154,24 +159,95 @@ def guard(masked: DataFrame, on_leak: str = "quarantine") -> tuple[DataFrame, Da
     return masked.where(~unsafe), bad
 
 
-def redact(df: DataFrame, vault_entries: DataFrame, scope: list[str], text: str) -> DataFrame:
-    """df with every value that the scope's vault knows replaced in a third party's text."""
-    rows = df.join(vault_entries, scope, "left")
-    return rows.withColumn(text, sweep(F.col(text), forms_of(F.col("entries"), None))["text"]).drop("entries")
+def redact(df: DataFrame, vault_entries: DataFrame, scope: list[str], text: str, seq: str | None = None) -> DataFrame:
+    """df with every value that the scope's vault knows replaced in a third party's text. seq: a column with the row's place in
+    its scope, up to which values are known."""
+    side = vault_entries.select(*scope, F.col("entries").alias("_entries"))
+    forms = forms_of(F.col("_entries"), F.col(seq) if seq else None)
+    return df.join(side, scope, "left").withColumn(text, sweep(F.col(text), forms)["text"]).drop("_entries")
+
+
+def word_keys(value: Column) -> Column:
+    """array<string>: words that stand by themselves in every text in which the value's pattern matches. That is so for
+    a run of word characters between others, and at an edge of the value if the pattern demands a word's edge there. A value
+    without such a word has one key of another kind, its first character that is no plain letter or digit."""
+    open_edge = lambda c: F.regexp_like(c, F.lit(r"(?U)^[\w&&[^\p{L}\p{N}]]$")).cast("int")
+    left, right = open_edge(F.substring(value, 1, 1)), open_edge(F.substring(value, -1, 1))
+    runs = F.split(fold(value), r"(?U)\W+")
+    inner = F.filter(F.slice(runs, left + 1, F.greatest(F.lit(0), F.size(runs) - left - right)), lambda w: w != "")
+    mark = F.regexp_extract(value, SIGN, 1)
+    return F.when(F.size(inner) > 0, F.array_distinct(inner)).when(mark != "", F.array(F.concat(F.lit("\u0001"), fold(mark)))).otherwise(F.lit([]).cast("array<string>"))
+
+
+def text_keys(text: Column) -> Column:
+    """All that word_keys may give for a value in this text."""
+    marks = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(SIGN), F.lit(1))), lambda c: F.concat(F.lit("\u0001"), fold(c)))
+    return F.array_union(F.filter(F.split(fold(text), r"(?U)\W+"), lambda w: w != ""), marks)
 
 
 def corpus_leaks(texts: DataFrame, values: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, variant): texts that hold a value of a corpus-wide list, without a cross join.
 
     Values are keyed by their rarest word, texts are exploded into distinct words, and candidates that meet on a
-    word are verified. Values without a word are met by the rows of all texts that hold their first character."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != ""))
-    listed = values.select("variant").distinct().withColumn("_w", words(F.col("variant")))
-    listed = listed.withColumn("_w", F.when(F.size("_w") == 0, F.array(F.lower(F.substring("variant", 1, 1)))).otherwise(F.col("_w")))
-    said = texts.select(key, F.explode(F.array_union(words(F.col(text)), F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)([^\p{L}\p{N}\s])"), F.lit(1))))).alias("_w"))
-    # only words of values count; a text's other words never leave its task after the semi join
+    word are verified. Values without a word are met by their first mark. Null and blank values are in no text."""
+    listed = values.select("variant").where(F.regexp_like("variant", F.lit(r"(?U)\S"))).distinct().withColumn("_w", word_keys(F.col("variant")))
     vocabulary = listed.select(F.explode("_w").alias("_w")).distinct()
-    rare = said.join(vocabulary, "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("n"))
+    # only words of values count; a text's other words go no further than this semi join, whose result is kept for both uses
+    said = cut(texts.select(key, F.explode(text_keys(F.col(text))).alias("_w")).join(vocabulary, "_w", "left_semi"))
+    rare = said.groupBy("_w").agg(F.count(F.lit(1)).alias("n"))
     keyed = listed.select("variant", F.explode("_w").alias("_w")).join(rare, "_w", "left").groupBy("variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_w"))).alias("m")).select("variant", F.col("m._w").alias("_w"))
     met = said.join(keyed, "_w").select(key, "variant").distinct().join(texts.select(key, F.col(text).alias("_t")), key)
-    return met.where(F.regexp_like("_t", literal_pattern(F.col("variant")))).select(key, "variant")
+    return met.where(F.regexp_like("_t", literal_pattern(F.col("variant")))).select(key, "variant").distinct()
+
+
+def mask_corpus(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    max_chars: int = chunk.MAX_CHARS,
+    options: dict | None = None,
+    match: str = "normalized",
+    secret: str = vault.SECRET,
+    decisions: DataFrame | None = None,
+    confirm_below: float = review.CONFIRM_BELOW,
+    known: tuple[DataFrame, DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, vault, variants): as mask_documents, but with one vault for all documents: a value has the same
+    placeholder wherever it stands, numbered by the order of doc_id. ``known`` is the (vault, variants) of earlier calls: its
+    values keep their numbers, and its spellings are swept from these documents too.
+
+    Every row is swept with all values. No scope has to fit a row: spans meet the vault by a shuffle join on type and
+    match key, and spellings meet texts by the candidate search of corpus_leaks, which also looks over the whole
+    masked texts at the end. Null and repeated ids, null and empty texts are as in mask_documents."""
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).withColumn("_doc", F.monotonically_increasing_id()).withColumn("_bare", F.when(F.length("text") == 0, F.col("text")))
+    parts = chunk.chunks(keyed, "_doc", "_id", "_bare", max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq")
+    rows = cut(review.decide(detect.detect(parts, **(options or {})), decisions, confirm_below=confirm_below).withColumn("_row", F.struct("_id", "_doc", "seq")))
+    found = rows.select(F.col("_row").alias("seq"), F.explode("approved").alias("s")).select("seq", F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), F.col("s.value").alias("value"))
+    old_vault, old_forms = known or (None, None)
+    minted = cut(vault.mint(found, [], match=match, secret=secret, known=old_vault))
+    spelled = cut(vault.variants(found, minted, [], match, old_forms))
+    # a row's distinct values meet the vault, and their placeholders come back to it as a map
+    value = lambda s: F.struct(s["entity_type"].alias("entity_type"), match_key(s["value"], match).alias("match_key"))
+    said = rows.select("_row", F.explode(F.array_distinct(F.transform("approved", value))).alias("k")).select("_row", "k.*")
+    pair = F.struct(F.concat_ws("\u0001", "entity_type", "match_key").alias("k"), F.col("placeholder").alias("v"))
+    names = said.join(minted.select("entity_type", "match_key", "placeholder"), ["entity_type", "match_key"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(pair)).alias("_by_key"))
+    key = lambda s: F.concat_ws("\u0001", s["entity_type"], match_key(s["value"], match))
+    first = rows.join(names, "_row", "left").withColumn("_first", substitute(F.col("text"), F.col("approved"), F.transform("approved", lambda s: F.try_element_at("_by_key", key(s)))))
+    first = cut(first.drop("_by_key"))
+    order = F.struct("first_seq", "first_start", "entity_type", "idx").alias("o")
+    forms = spelled.join(minted.select("entity_type", "idx", "placeholder", order), ["entity_type", "idx"]).select("variant", "variant_no", "placeholder", "o")
+    met = corpus_leaks(first.select("_row", "_first"), spelled.select("variant"), "_row", "_first").join(forms, "variant")
+    own = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("o", "variant_no", "placeholder", "variant"))).alias("_f"))
+    swept = sweep(F.col("_first"), F.coalesce(F.transform("_f", lambda f: F.struct(f["placeholder"].alias("placeholder"), f["variant"].alias("variant"))), F.lit([]).cast("array<struct<placeholder:string,variant:string>>")))
+    moved = F.transform("approved", lambda s: F.struct(s["entity_type"].alias("entity_type"), (s["start"] + F.col("chunk_start")).alias("start"), (s["end"] + F.col("chunk_start")).alias("end"), s["score"].alias("score"), s["value"].alias("value")))
+    done = first.join(own, "_row", "left").withColumn("_swept", swept)
+    piece = F.struct("seq", F.col("_swept.text").alias("m"), moved.alias("s"), F.col("_swept.sealed").alias("x"), F.size("declined").alias("d"), F.col("text").alias("t"))
+    whole = done.groupBy("_doc").agg(F.first("_id").alias(doc_id), F.max("_bare").alias("_bare"), F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), piece))).alias("c"))
+    joined = lambda k: F.array_join(F.transform("c", lambda x: x[k]), "")
+    bare = F.size("c") == 0
+    whole = whole.withColumn("text", F.when(bare, F.col("_bare")).otherwise(joined("t"))).withColumn("masked_text", F.when(bare, F.col("_bare")).when(~F.exists("c", lambda x: x["m"].isNull()), joined("m")))
+    whole = cut(whole.select("_doc", doc_id, "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined")))
+    left = corpus_leaks(whole.select("_doc", "masked_text"), spelled.select("variant"), "_doc", "masked_text").groupBy("_doc").agg(F.array_sort(F.collect_list("variant")).alias("leaks"))
+    out = whole.join(left, "_doc", "left")
+    return out.select(doc_id, "text", "masked_text", "spans", "sealed", F.coalesce("leaks", F.lit([]).cast("array<string>")).alias("leaks"), "n_declined"), minted, spelled

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import match_key
+
 
 def entity_counts(spans: DataFrame, *keys: str) -> DataFrame:
     """Spans per type (and keys)."""
@@ -16,8 +18,8 @@ def totals(spans: DataFrame, key: str) -> DataFrame:
     return spans.rollup(key, "entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_values(spans: DataFrame, match_key) -> DataFrame:
-    return spans.groupBy("entity_type").agg(F.count_distinct(match_key).alias("n_values"))
+def distinct_values(spans: DataFrame, match: str = "normalized") -> DataFrame:
+    return spans.groupBy("entity_type").agg(F.count_distinct(match_key(F.col("value"), match)).alias("n_values"))
 
 
 def types_found(spans: DataFrame, *keys: str) -> DataFrame:
@@ -28,10 +30,10 @@ def vault_sizes(vault: DataFrame, scope: list[str]) -> DataFrame:
     return vault.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_list("placeholder")).alias("placeholders"))
 
 
-def safe_detections(spans: DataFrame, vault: DataFrame, scope: list[str], match_key) -> DataFrame:
+def safe_detections(spans: DataFrame, vault: DataFrame, scope: list[str], match: str = "normalized") -> DataFrame:
     """Type, score and placeholder of each span, without its value."""
     side = vault.select(*scope, "entity_type", "match_key", "placeholder")
-    return spans.withColumn("match_key", match_key).join(side, [*scope, "entity_type", "match_key"]).select(*scope, "entity_type", "score", "placeholder")
+    return spans.withColumn("match_key", match_key(F.col("value"), match)).join(side, [*scope, "entity_type", "match_key"]).select(*scope, "entity_type", "score", "placeholder")
 
 
 def left_in_clear(with_money: DataFrame, masked: DataFrame, *keys: str) -> DataFrame:
@@ -39,5 +41,28 @@ def left_in_clear(with_money: DataFrame, masked: DataFrame, *keys: str) -> DataF
     return with_money.select(*keys, "entity_type").distinct().exceptAll(masked.select(*keys, "entity_type").distinct())
 
 
+def types_in_order(spans: DataFrame) -> DataFrame:
+    """Spans per type, in the order of the types' names."""
+    return entity_counts(spans).orderBy("entity_type")
+
+
+def sealed_and_declined(masked: DataFrame, *keys: str) -> DataFrame:
+    """Per keys (or in all): how many spellings the sweep masked, and how many spans were left in the clear by decision.
+    masked: (keys..., sealed, declined), as masking gives them."""
+    count = lambda c: F.coalesce(F.sum(F.coalesce(F.size(c), F.lit(0))), F.lit(0)).cast("long")
+    return masked.groupBy(*keys).agg(count("sealed").alias("n_sealed"), count("declined").alias("n_declined"))
+
+
+def left_by_decision(masked: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., entity_type, value) of the declined spans: for the local report alone, as the values are in the clear."""
+    return masked.select(*keys, F.explode("declined").alias("s")).select(*keys, "s.entity_type", "s.value")
+
+
+def seen_again(mentions: DataFrame, known: DataFrame, scope: list[str], match: str = "normalized") -> DataFrame:
+    """The mentions of values that an earlier vault holds."""
+    keys = [*scope, "entity_type", "match_key"]
+    return mentions.withColumn("match_key", match_key(F.col("value"), match)).join(known.select(*keys), keys, "left_semi")
+
+
 def processed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(text)).cast("long").alias("n_chars"))

@@ -19,26 +19,28 @@ def tokens(text: Column, max_index_digits: int = MAX_INDEX_DIGITS) -> Column:
 
 
 def originals(vault: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope..., _originals): a map from type and number to value."""
-    pair = F.struct(F.concat_ws(" ", F.upper("entity_type"), F.col("idx").cast("string")).alias("k"), F.col("original").alias("v"))
+    """(scope..., _originals): a map from type and number to value and where it was first seen."""
+    pair = F.struct(F.concat_ws(" ", F.upper("entity_type"), F.col("idx").cast("string")).alias("k"), F.struct(F.col("original").alias("v"), F.col("first_seq").alias("seen")).alias("v"))
     return vault.groupBy(*scope).agg(F.map_from_entries(F.collect_list(pair)).alias("_originals"))
 
 
-def put_back(text: Column, found: Column, table: Column) -> Column:
-    """One pass: a restored value is never looked at again; unknown tokens stay."""
+def put_back(text: Column, found: Column, table: Column, seq: Column | None = None) -> Column:
+    """One pass: a restored value is never looked at again; unknown tokens stay, and those of values first seen after seq."""
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a, t):
-        value = F.coalesce(F.try_element_at(table, F.concat_ws(" ", t["entity_type"], t["idx"].cast("string"))), t["v"])
+        known = F.try_element_at(table, F.concat_ws(" ", t["entity_type"], t["idx"].cast("string")))
+        value = F.coalesce(known["v"] if seq is None else F.when(known["seen"] <= seq, known["v"]), t["v"])
         return F.struct(t["e"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, t["s"] - a["at"]), value).alias("out"))
 
     return F.aggregate(found, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
 
 
-def restore(df: DataFrame, vault: DataFrame, scope: list[str], *, text: str = "text", into: str = "restored", max_index_digits: int = MAX_INDEX_DIGITS) -> DataFrame:
-    """df with ``into``: the text with every placeholder that its scope's vault knows replaced by the first spelling."""
+def restore(df: DataFrame, vault: DataFrame, scope: list[str], *, text: str = "text", into: str = "restored", seq: str | None = None, max_index_digits: int = MAX_INDEX_DIGITS) -> DataFrame:
+    """df with ``into``: the text with every placeholder that its scope's vault knows replaced by the first spelling.
+    seq: a column with the place (turn, chunk) that a row has in its scope; it is then restored with the vault as of there."""
     rows = df.join(originals(vault, scope), scope, "left")
-    back = put_back(F.col(text), tokens(F.col(text), max_index_digits), F.col("_originals"))
+    back = put_back(F.col(text), tokens(F.col(text), max_index_digits), F.col("_originals"), F.col(seq) if seq else None)
     return rows.withColumn(into, F.when(F.col("_originals").isNull(), F.col(text)).otherwise(back)).drop("_originals")
 
 
@@ -47,7 +49,7 @@ def restore_by_join(df: DataFrame, vault: DataFrame, key: str, *, text: str = "t
     each text's few hits go back to it as a map."""
     said = df.select(key, F.explode(F.array_distinct(F.transform(tokens(F.col(text), max_index_digits), lambda t: F.struct(t["entity_type"].alias("_t"), t["idx"].alias("_i"))))).alias("_k")).select(key, "_k.*")
     known = vault.select(F.upper("entity_type").alias("_t"), F.col("idx").alias("_i"), F.col("original").alias("_v"))
-    pair = F.struct(F.concat_ws(" ", "_t", F.col("_i").cast("string")).alias("k"), F.col("_v").alias("v"))
+    pair = F.struct(F.concat_ws(" ", "_t", F.col("_i").cast("string")).alias("k"), F.struct(F.col("_v").alias("v")).alias("v"))
     own = said.join(known, ["_t", "_i"]).groupBy(key).agg(F.map_from_entries(F.collect_list(pair)).alias("_originals"))
     rows = df.select(key, text).join(own, key, "left")
     back = put_back(F.col(text), tokens(F.col(text), max_index_digits), F.col("_originals"))

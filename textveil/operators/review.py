@@ -9,8 +9,6 @@ from ..functions.columns import SPANS
 from ..functions.lineage import cut
 
 CONFIRM_BELOW = 0.5
-#: So many declined values stand in the plan as a list; more are met by a shuffle join.
-LISTED = 1_000
 
 
 def value_key(value: Column) -> Column:
@@ -37,23 +35,9 @@ def decide(df: DataFrame, decisions: DataFrame | None, *, spans: str = "spans",
     none = F.lit([]).cast(SPANS)
     if decisions is None:
         return df.withColumn("approved", F.col(spans)).withColumn("declined", none)
-    no = declined_values(decisions)
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
     keys = F.array_distinct(F.transform(F.filter(spans, lambda s: s["score"] < confirm_below), lambda s: F.struct(s["entity_type"].alias("entity_type"), value_key(s["value"]).alias("value_key"))))
-    asked = df.select(F.explode(keys).alias("k")).select("k.*").distinct()
-    kept = asked.join(no, ["entity_type", "value_key"], "left_semi")
-    listed = [f"{r['entity_type']}\u0001{r['value_key']}" for r in kept.limit(LISTED + 1).collect()]
-    if len(listed) > LISTED:
-        return _decide_joined(rows, no, spans, confirm_below)
-    table = F.lit(listed).cast("array<string>") if listed else F.lit([]).cast("array<string>")
-    out = lambda s: (s["score"] < confirm_below) & F.array_contains(table, F.concat_ws("\u0001", s["entity_type"], value_key(s["value"])))
-    return rows.drop("_row").withColumn("approved", F.filter(spans, lambda s: ~out(s))).withColumn("declined", F.filter(spans, out))
-
-
-def _decide_joined(rows: DataFrame, no: DataFrame, spans: str, confirm_below: float) -> DataFrame:
-    keys = F.array_distinct(F.transform(F.filter(spans, lambda s: s["score"] < confirm_below), lambda s: F.struct(s["entity_type"].alias("entity_type"), value_key(s["value"]).alias("value_key"))))
-    rows = cut(rows)  # row numbers must not change between the two uses
-    met = rows.select("_row", F.explode(keys).alias("k")).select("_row", "k.*").join(no, ["entity_type", "value_key"], "left_semi")
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))  # detection runs once, and the numbers are fixed
+    met = rows.select("_row", F.explode(keys).alias("k")).select("_row", "k.*").join(declined_values(decisions), ["entity_type", "value_key"], "left_semi")
     own = met.groupBy("_row").agg(F.collect_set(F.concat_ws("\u0001", "entity_type", "value_key")).alias("_no"))
     joined = rows.join(own, "_row", "left").withColumn("_no", F.coalesce("_no", F.lit([]).cast("array<string>")))
     out = lambda s: (s["score"] < confirm_below) & F.array_contains("_no", F.concat_ws("\u0001", s["entity_type"], value_key(s["value"])))

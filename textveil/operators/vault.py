@@ -57,12 +57,22 @@ def mint(mentions: DataFrame, scope: list[str], *, match: str = "normalized", se
     return out.select(*columns) if known is None else known.select(*columns).unionByName(out.select(*columns))
 
 
-def variants(mentions: DataFrame, vault: DataFrame, scope: list[str], match: str = "normalized") -> DataFrame:
-    """Every distinct spelling of each entry, in order of first sight."""
+def variants(mentions: DataFrame, vault: DataFrame, scope: list[str], match: str = "normalized", known: DataFrame | None = None) -> DataFrame:
+    """Every distinct spelling of each entry, in order of first sight. With ``known`` (an earlier run's), its rows stay and new
+    spellings are numbered on."""
     keys = [*scope, "entity_type", "match_key"]
     seen = mentions.withColumn("match_key", match_key(F.col("value"), match)).groupBy(*keys, F.col("value").alias("variant")).agg(F.min(F.struct("seq", "start")).alias("f"))
-    order = W.partitionBy(*keys).orderBy("f.seq", "f.start", "variant")
-    return seen.withColumn("variant_no", F.row_number().over(order)).join(vault.select(*keys, "idx"), keys).select(*scope, "entity_type", "idx", "variant", "variant_no", F.col("f.seq").alias("first_seq"))
+    named = seen.join(vault.select(*keys, "idx"), keys)
+    ids = [*scope, "entity_type", "idx"]
+    if known is not None:
+        named = named.join(known.select(*ids, "variant"), [*ids, "variant"], "left_anti")
+    order = W.partitionBy(*ids).orderBy("f.seq", "f.start", "variant")
+    out = named.withColumn("variant_no", F.row_number().over(order)).select(*ids, "variant", "variant_no", F.col("f.seq").alias("first_seq"))
+    if known is None:
+        return out
+    top = known.groupBy(*ids).agg(F.max("variant_no").alias("top"))
+    out = out.join(top, ids, "left").withColumn("variant_no", F.col("variant_no") + F.coalesce("top", F.lit(0))).drop("top")
+    return known.select(*out.columns).unionByName(out)
 
 
 def canonicalized(forms: DataFrame, vault: DataFrame, scope: list[str]) -> DataFrame:
@@ -73,6 +83,13 @@ def canonicalized(forms: DataFrame, vault: DataFrame, scope: list[str]) -> DataF
     return many.join(vault.select(*keys, "placeholder"), keys).select(*scope, "placeholder", spellings.alias("spellings"), F.get(spellings, F.lit(0)).alias("restored_as"))
 
 
+def in_order(vault: DataFrame, scope: list[str]) -> DataFrame:
+    """All entries in the order in which they were minted, with ``n_entries`` of their scope."""
+    sizes = vault.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_entries"))
+    rows = vault.join(sizes, scope) if scope else vault.withColumn("n_entries", F.lit(vault.count()))
+    return rows.orderBy(*scope, "first_seq", "first_start", "entity_type", "idx")
+
+
 def lookup(tokens: DataFrame, vault: DataFrame, scope: list[str], token: str = "token") -> DataFrame:
     """tokens with the vault row of each, found with or without angle brackets (null columns where there is none)."""
     side = vault.withColumn("_bare", bare(F.col("placeholder"))).select(*scope, "_bare", "entity_type", "idx", "original", "fingerprint")

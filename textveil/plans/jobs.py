@@ -37,8 +37,24 @@ def mask_conversations(turns: DataFrame, *, roles: tuple[str, ...] | None = ("us
     return mask.mask(found, ["conv_id"], **options)
 
 
-def requests_of(masked: DataFrame, replies: DataFrame, system_prompt: str, max_turns: int = conversation.MAX_TURNS) -> DataFrame:
-    """Outbound requests of masked turns: only released turns that got a reply (conv_id, turn, answer) enter later histories."""
+def requests_of(masked: DataFrame, replies: DataFrame, system_prompt: str, max_turns: int = conversation.MAX_TURNS, resets: DataFrame | None = None) -> DataFrame:
+    """Outbound requests of masked turns: only released turns that got a reply (conv_id, turn, answer) enter later histories.
+    resets (conv_id, turn): turns before which the conversation's thread, not its vault, was forgotten."""
     rows = masked.select("conv_id", "turn", F.col("masked_text").alias("question"), (F.size("leaks") == 0).alias("released")).join(replies.select("conv_id", "turn", "answer"), ["conv_id", "turn"], "left")
     rows = rows.withColumn("ok", F.col("released") & F.col("answer").isNotNull())
-    return conversation.requests(conversation.with_history(rows, ["conv_id"], max_turns), system_prompt).where("released")
+    keys = ["conv_id"]
+    if resets is not None:
+        rows, keys = conversation.with_threads(rows, resets), ["conv_id", "thread"]
+    return conversation.requests(conversation.with_history(rows, keys, max_turns), system_prompt).where("released")
+
+
+def restore_replies(replies: DataFrame, minted: DataFrame) -> DataFrame:
+    """replies (conv_id, turn, answer) with ``restored``: each with its conversation's vault as of its turn."""
+    return restore.restore(replies, minted, ["conv_id"], text="answer", seq="turn")
+
+
+def describe_failures(failures: DataFrame, minted: DataFrame, spelled: DataFrame) -> DataFrame:
+    """failures (conv_id, turn, error_class, error_message) with ``error``: a sentence that may be logged. The provider's own
+    words can repeat what was sent, so every value that the conversation knows by that turn is replaced in them."""
+    told = failures.withColumn("error", conversation.failure_reason(F.col("error_class"), F.col("error_message")))
+    return mask.redact(told, vault.entries(minted, ["conv_id"], spelled), ["conv_id"], "error", "turn")
