@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from textveil.plans import queries
@@ -11,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 
 
 def plain(df):
-    clean = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    clean = lambda v: None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(str([clean(v.item() if hasattr(v, "item") else v) for v in row]) for row in df[sorted(df.columns)].itertuples(index=False))
 
 

@@ -218,11 +218,12 @@ def fingerprints(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select("c_custkey", C.fingerprint(F.lit("PERSON"), F.col("c_name"), SECRET).alias("fingerprint"))
 
 
-@query(f"WITH f AS (SELECT c_custkey, {HMAC_SQL} AS fingerprint FROM customer) SELECT fingerprint FROM f WHERE c_custkey % 6 = 0")
+@query(f"SELECT {HMAC_SQL} AS fingerprint FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def cross_run_link(spark, sf_dir):
-    """Two runs over overlapping customers agree by fingerprint alone."""
-    names = read_table(spark, sf_dir, "customer").select(F.lit(0).alias("scope"), F.col("c_custkey").alias("seq"), F.lit(0).alias("start"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("value"))
-    left, right = (vault.mint(names.where(f"seq % {k} = 0"), [], secret=SECRET) for k in (2, 3))
+    """Two runs, over the customers and over those that the orders name, agree by fingerprint alone."""
+    mention = lambda seq, value: (seq.alias("seq"), F.lit(0).alias("start"), F.lit("PERSON").alias("entity_type"), value.alias("value"))
+    customers = read_table(spark, sf_dir, "customer").select(*mention(F.col("c_custkey"), F.col("c_name")))
+    left, right = vault.mint(customers, [], secret=SECRET), vault.mint(order_mentions(spark, sf_dir).drop("c_nationkey"), [], secret=SECRET)
     return vault.cross_run_links(left, right).select("fingerprint")
 
 
@@ -254,7 +255,7 @@ def guard_split(spark, sf_dir):
     return released.select("doc_id", F.lit(True).alias("released")).union(held.select("doc_id", F.lit(False)))
 
 
-@query(f"SELECT d.c_custkey AS doc_id, n.c_name AS variant FROM (SELECT c_custkey, {RECORD} AS text FROM customer) d JOIN customer n ON n.c_custkey % 10 = 0 AND n.c_custkey = d.c_custkey")
+@query(f"SELECT d.c_custkey AS doc_id, n.c_name AS variant FROM (SELECT c_custkey, {RECORD} AS text FROM customer) d JOIN customer n ON n.c_custkey = d.c_custkey")
 def corpus_leaks(spark, sf_dir):
     """The names of all customers against all records."""
     values = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("variant"))
@@ -333,7 +334,7 @@ def outbound_requests(spark, sf_dir):
 
 def audited(spark, sf_dir):
     rows = exchanges(spark, sf_dir).withColumn("n_leaks", F.when(F.col("conv_id") % 7 == 0, 1).otherwise(0))
-    rows = rows.select("conv_id", "turn", F.col("question").alias("text"), F.col("question").alias("masked_text"), "answer", F.col("answer").alias("restored"), F.lit(0).alias("n_spans"), F.when(F.col("turn") > 0, 1).otherwise(0).alias("n_sealed"), "n_leaks", F.lit(0).alias("n_history"), F.when(~F.col("ok"), "Timeout").alias("error"))
+    rows = rows.select("conv_id", "turn", F.col("question").alias("text"), F.col("question").alias("masked_text"), "answer", F.col("answer").alias("restored"), F.create_map(F.lit("PERSON"), F.col("turn").cast("long")).alias("entity_counts"), F.when(F.col("turn") > 0, 1).otherwise(0).alias("n_sealed"), "n_leaks", F.lit(0).alias("n_history"), F.lit("model-1").alias("model"), F.when(~F.col("ok"), "Timeout").alias("error"))
     return conversation.audit(rows, ["conv_id", "turn"], F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
@@ -389,6 +390,106 @@ def stream_vault(spark, sf_dir):
     return spark.read.schema("conv_id long, turn int, masked_text string, sealed array<string>, n_leaks int, late boolean").parquet(f"{folder}/out").select("conv_id", "turn", "masked_text", "n_leaks")
 
 
+@query(f"""WITH {EXCHANGES_SQL} SELECT conv_id, cast(turn as int) AS turn, 'pii_detected' AS step, '{{"PERSON":"' || turn || '"}}' AS payload, 'Detection marked ' || turn || ' private places' AS message FROM x
+UNION ALL SELECT conv_id, cast(turn as int), 'llm_request', '{{"text":' || to_json(question) || ',"model":"model-1","history_messages":"0"}}', 'The masked text goes out' FROM x WHERE conv_id % 7 <> 0""")
+def audit_payloads(spark, sf_dir):
+    rows = audited(spark, sf_dir).where(F.col("step").isin("pii_detected", "llm_request"))
+    return rows.select("conv_id", F.col("turn").cast("int").alias("turn"), "step", F.to_json("payload").alias("payload"), "message")
+
+
+#: Each customer's record: two names, one declined for every third customer; two addresses, one in two spellings; a wrong national id by
+#: its label, another without; a card, an SSN; and beyond the first chunk mentions that no label introduces.
+TWO_NAMES = """'Full name: ' || c_name || chr(10) || 'Client: Partner ' || c_name || chr(10) || 'Email: a' || cast(c_custkey as string) || '@x.example.com' || chr(10) || 'Mail: A' || cast(c_custkey as string) || '@X.example.com' || chr(10)
+ || 'Mail: b' || cast(c_custkey as string) || '@x.example.com' || chr(10) || 'ID number: 44283740' || lpad(cast(c_custkey % 997 as string), 3, '0') || chr(10) || 'Note: her SSN is 432-56-' || lpad(cast(1000 + c_custkey % 9000 as string), 4, '0') || ' as filed' || chr(10)
+ || 'Card number: 4000 0012 3456 ' || lpad(cast(c_custkey % 10000 as string), 4, '0') || chr(10) || repeat('Plain words follow here. ', 20) || 'Then ' || upper(c_name) || ' met partner ' || lower(c_name) || ' and wrote to B' || cast(c_custkey as string) || '@x.example.com.'"""
+TWO_MASKED = """'Full name: <PERSON_001>' || chr(10) || 'Client: ' || CASE WHEN c_custkey % 3 = 0 THEN 'Partner <PERSON_001>' ELSE '<PERSON_002>' END || chr(10) || 'Email: <EMAIL_ADDRESS_001>' || chr(10) || 'Mail: <EMAIL_ADDRESS_001>' || chr(10)
+ || 'Mail: <EMAIL_ADDRESS_002>' || chr(10) || 'ID number: <NATIONAL_ID_001>' || chr(10) || 'Note: her SSN is <US_SSN_001> as filed' || chr(10) || 'Card number: <CREDIT_CARD_001>' || chr(10) || repeat('Plain words follow here. ', 20)
+ || 'Then <PERSON_001> met partner <PERSON_001> and wrote to <EMAIL_ADDRESS_002>.'"""
+
+
+@query(f"SELECT c_custkey AS doc_id, {TWO_MASKED} AS masked_text, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS n_declined, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS n_sealed, 0 AS n_leaks FROM customer")
+def mask_two_chunks(spark, sf_dir):
+    """Several values a type, spellings, chunks, missed mentions, decisions, labels without checksums, context words. The sweep goes by minting
+    order, so the partner's later mention loses the part that is the first name."""
+    rows = read_table(spark, sf_dir, "customer")
+    said = rows.where("c_custkey % 3 = 0").select(F.lit("PERSON").alias("entity_type"), F.concat(F.lit("partner "), F.lower("c_name")).alias("value_key"), F.lit("n").alias("answer"))
+    docs = rows.select(F.col("c_custkey").cast("long").alias("doc_id"), F.expr(TWO_NAMES).alias("text"))
+    out, _, _ = mask.mask_documents(docs, max_chars=500, decisions=said, confirm_below=0.9)
+    return out.select("doc_id", "masked_text", F.col("n_declined").cast("int").alias("n_declined"), F.size("sealed").alias("n_sealed"), F.size("leaks").alias("n_leaks"))
+
+
+ORDERED = "c_custkey IN (SELECT o_custkey FROM orders)"
+NUMBER = f"CASE WHEN {ORDERED} THEN count(*) FILTER ({ORDERED}) OVER (ORDER BY c_custkey) ELSE count(*) FILTER ({ORDERED}) OVER () + count(*) FILTER (NOT {ORDERED}) OVER (ORDER BY c_custkey) END"
+
+
+@query(f"""WITH n AS (SELECT c_custkey AS doc_id, c_custkey, c_nationkey, {NUMBER} AS k FROM customer)
+SELECT doc_id, 'Full name: <PERSON_' || format('{{:03d}}', k) || '>' || chr(10) || 'ID number: <NATIONAL_ID_' || format('{{:03d}}', k) || '>' || chr(10) || 'Email: <EMAIL_ADDRESS_' || format('{{:03d}}', k) || '>' || chr(10)
+ || 'Note: filed by <EMPLOYEE_ID_' || format('{{:03d}}', k) || '> for EUR ' || cast(c_custkey + 1 as varchar) || ',250.50 and ' || cast(c_nationkey + 1 as varchar) || ' dollars' AS masked_text, 0 AS n_leaks FROM n""")
+def mask_corpus_known(spark, sf_dir):
+    """One vault for all records: first for customers with orders, then reused for all."""
+    docs = records(spark, sf_dir)
+    ordered = docs.join(read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    _, minted, spelled = mask.mask_corpus(ordered, secret=SECRET)
+    out, _, _ = mask.mask_corpus(docs, secret=SECRET, known=(minted, spelled))
+    return out.select("doc_id", "masked_text", F.size("leaks").alias("n_leaks"))
+
+
+def owned_turns(spark, sf_dir):
+    """The conversations' turns, each with the address of its conversation, and from turn 2 on another."""
+    return read_table(spark, sf_dir, "conversations").withColumn("text", F.expr("text || chr(10) || 'Email: c' || cast(conv_id as string) || '@x.example.com' || CASE WHEN turn >= 2 THEN chr(10) || 'Mail: d' || cast(conv_id as string) || '@x.example.com' ELSE '' END"))
+
+
+@query("""SELECT conv_id, cast(turn as int) AS turn, 'OddError: on <EMAIL_ADDRESS_001> and ' || CASE WHEN turn >= 2 THEN '<EMAIL_ADDRESS_002>' ELSE 'D' || conv_id || '@x.example.com' END AS error FROM conversations""")
+def redacted_failures(spark, sf_dir):
+    """A provider's message repeats addresses; what the conversation knows by that turn is replaced."""
+    turns = owned_turns(spark, sf_dir)
+    _, minted, spelled = jobs.mask_conversations(turns, roles=None)
+    failed = turns.select("conv_id", F.col("turn").cast("int").alias("turn"), F.lit("OddError").alias("error_class"), F.expr("'on C' || cast(conv_id as string) || '@x.example.com and D' || cast(conv_id as string) || '@x.example.com' || chr(10) || 'more'").alias("error_message"))
+    return jobs.describe_failures(failed, minted, spelled).select("conv_id", "turn", "error")
+
+
+@query("""SELECT conv_id, cast(turn as int) AS turn, 'c' || conv_id || '@x.example.com and ' || CASE WHEN turn >= 2 THEN 'd' || conv_id || '@x.example.com' ELSE '<EMAIL_ADDRESS_002>' END AS restored FROM conversations""")
+def replies_as_of_turn(spark, sf_dir):
+    turns = owned_turns(spark, sf_dir)
+    _, minted, _ = jobs.mask_conversations(turns, roles=None)
+    replies = turns.select("conv_id", F.col("turn").cast("int").alias("turn"), F.lit("<EMAIL_ADDRESS_001> and <EMAIL_ADDRESS_002>").alias("answer"))
+    return jobs.restore_replies(replies, minted).select("conv_id", "turn", "restored")
+
+
+@query(f"""WITH {EXCHANGES_SQL}, z AS (SELECT *, CASE WHEN turn >= 2 THEN 1 ELSE 0 END AS thread FROM x)
+SELECT a.conv_id, a.turn, a.thread :: BIGINT AS thread, cast(2 * count(b.turn) as int) AS n_messages FROM z a LEFT JOIN z b ON b.conv_id = a.conv_id AND b.thread = a.thread AND b.turn < a.turn AND b.ok GROUP BY 1, 2, 3""")
+def history_after_reset(spark, sf_dir):
+    """Every conversation is reset at its second turn; histories don't reach back over it."""
+    rows = exchanges(spark, sf_dir)
+    resets = rows.select("conv_id").distinct().withColumn("turn", F.lit(2))
+    out = conversation.with_history(conversation.with_threads(rows, resets), ["conv_id", "thread"], max_turns=100)
+    return out.select("conv_id", "turn", "thread", F.size("history").alias("n_messages"))
+
+
+@query("SELECT count(*) FILTER (c_custkey % 2 = 0) AS n_sealed, count(*) FILTER (c_custkey % 4 = 0) AS n_declined FROM customer")
+def sealed_and_declined_totals(spark, sf_dir):
+    """Even records mention their name again without a label, every fourth has an address that may stay."""
+    extra = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nsaid "), F.upper(F.regexp_extract("text", "Full name: (.*)", 1)))).otherwise(F.col("text"))
+    docs = records(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(extra, F.lit("\nAddress: "), F.col("doc_id").cast("string"), F.lit(" Long Lane"))).otherwise(extra))
+    said = docs.where("doc_id % 4 = 0").select(F.lit("LOCATION").alias("entity_type"), F.concat(F.col("doc_id").cast("string"), F.lit(" long lane")).alias("value_key"), F.lit("no").alias("answer"))
+    out, _, _ = mask.mask(detect.detect(docs.withColumn("seq", F.lit(0))), ["doc_id"], decisions=said, confirm_below=0.9)
+    return report.sealed_and_declined(out)
+
+
+@query(f"WITH {ORDERS_SQL}, a AS (SELECT DISTINCT c_nationkey, lower(value) AS k FROM m WHERE seq % 2 = 0) SELECT m.c_nationkey, count(*) AS n FROM m JOIN a ON a.c_nationkey = m.c_nationkey AND a.k = lower(m.value) WHERE m.seq % 2 = 1 GROUP BY 1")
+def values_seen_again(spark, sf_dir):
+    """Mentions in odd orders of customers that the even orders' vault knows."""
+    found = order_mentions(spark, sf_dir)
+    first = vault.mint(found.where("seq % 2 = 0"), ["c_nationkey"], secret=SECRET)
+    return report.seen_again(found.where("seq % 2 = 1"), first, ["c_nationkey"]).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ORDERS_SQL} SELECT c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS n_entries, k AS match_key FROM (SELECT DISTINCT c_nationkey, lower(value) AS k FROM m)")
+def vault_entries_in_order(spark, sf_dir):
+    minted = vault.mint(order_mentions(spark, sf_dir), ["c_nationkey"], secret=SECRET)
+    return vault.in_order(minted, ["c_nationkey"]).select("c_nationkey", "n_entries", "match_key")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_values_by_type(spark, sf_dir)
 
