@@ -1,17 +1,17 @@
 """Near-duplicate documents by circulant MinHash, banding and exact Jaccard verification.
 
-Method. A shingle's 64-bit hash is sent through a first permutation sigma of [0, 2^32); coordinate k of the
+Method. A shingle's hash, cut to 32 bits, is sent through a first permutation sigma of [0, 2^32); coordinate k of the
 signature is the minimum of one second permutation pi over the values shifted circularly by k steps, so two
-permutations stand in for ``bands * rows`` of them. Equal bands propose candidates; every link is confirmed
-on the full shingle sets.
+permutations stand in for ``bands * rows`` of them. Both are bijections (xor-shifts and odd multipliers). Equal bands
+propose candidates; every link is confirmed on the full shingle sets.
 
 Nothing is lost to skew: documents with equal shingle sets form one class and only one of them is compared.
 In a bucket of candidates no pair list is made. First every member meets its bucket's centre (the member that
 shares buckets with most others), which joins a group of m copies in m tests. Buckets that still hold several
-components are cut into blocks, and each task holds one block against another: signatures first, then full sets.
+components are cut into blocks, and each task holds one block against another and counts what their sets share.
 
 A pair at the threshold of 0.75 shares no band with probability (1 - 0.75^4)^36, about 1e-6; nearer ones
-far less (3e-10 at 0.82).
+far less (3e-10 at 0.82). Every pair that shares a band and isn't joined otherwise is compared in full.
 """
 
 from __future__ import annotations
@@ -23,32 +23,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow, text_rows
+from .common import cut, gather, narrow, slices, text_rows
 from .components import components
 
 BANDS, ROWS, WIDTH = 36, 4, 5
-#: Rows of a bucket that one task holds against as many others, and how far below the threshold a signature's estimate
-#: may be for the pair to be compared in full: 0.15 is four standard deviations of 144 coordinates.
-BLOCK, SLACK = 1024, 0.15
+#: Rows, and shingles, of a bucket that one task holds against as many others.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Odd multipliers of the bijective mixers; any odd values do.
-SIGMA, PI, STEP, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x85EBCA6B), 0x6C62272E, np.uint64(0x100000001B3)
+SIGMA, SIGMA1, SIGMA2, PI, STEP, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x7FEB352D), np.uint32(0x846CA68B), np.uint32(0x85EBCA6B), 0x6C62272E, np.uint64(0x100000001B3)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered within a task up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_hashes(text: str | None, known: WordHashes, width: int = WIDTH) -> np.ndarray:
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's word shingles; all words as one if there are fewer than width."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split: blanks and \\x09-\\x0D
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(len(h), width), np.uint64)  # shorter sequences hash apart from full shingles
     for i in range(min(width, len(h))):
@@ -63,7 +54,12 @@ def minima(sets: list[np.ndarray], size: int) -> np.ndarray:
     """The signatures of non-empty sets: a row of ``size`` circulant minima each."""
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     z = np.concatenate(sets)
-    z = ((z * SIGMA) >> np.uint64(32)).astype(np.uint32)  # sigma
+    z = (z >> np.uint64(32)).astype(np.uint32)
+    z ^= z >> np.uint32(16)
+    z *= SIGMA1
+    z ^= z >> np.uint32(15)
+    z *= SIGMA2
+    z ^= z >> np.uint32(16)  # sigma
     out = np.empty((len(sets), size), np.uint32)
     for k in range(size):
         x = z + np.uint32((k * STEP) & 0xFFFFFFFF)  # the circular shift
@@ -90,18 +86,9 @@ def _sign(bands: int, rows: int, width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            done, block, held = 0, [], 0
-            for i in range(batch.num_rows):
-                block.append(shingle_hashes(texts[i].as_py(), known, width))
-                held += len(block[-1])
-                if held >= 200_000 or i + 1 == batch.num_rows:
-                    yield _emit(ids.slice(done, len(block)), block, schema)
-                    done, block, held = i + 1, [], 0
-                if len(known) > 1_000_000:
-                    known.clear()
+            for at, texts in slices(batch.column(1)):
+                yield _emit(batch.column(0).slice(at, len(texts)), [shingle_hashes(t, width) for t in texts], schema)
 
     def _emit(ids, block, schema):
         full = [s for s in block if len(s)]
@@ -121,21 +108,17 @@ def _sets(width: int):
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), pa.array(np.concatenate(rows), kind))
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
-            ids, texts, cls = (batch.column(i) for i in range(3))
-            for at in range(0, batch.num_rows, 64):
+            for at, texts in slices(batch.column(1)):
                 own, rows = [], []
-                for i in range(at, min(at + 64, batch.num_rows)):
-                    hs = shingle_hashes(texts[i].as_py(), known, width)
-                    if xxhash.xxh3_128_digest(hs.tobytes()) == cls[i].as_py():  # not another text of a repeated id
-                        own.append(ids[i].as_py())
+                for i, t in enumerate(texts, at):
+                    hs = shingle_hashes(t, width)
+                    if xxhash.xxh3_128_digest(hs.tobytes()) == batch.column(2)[i].as_py():  # not another text of a repeated id
+                        own.append(batch.column(0)[i].as_py())
                         rows.append(hs.view(np.int64))
                 if own:
                     short = [np.unique((r.view(np.uint64) >> np.uint64(48)).astype(np.uint16)).view(np.int16) for r in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), lists(rows, pa.int64()), lists(short, pa.int16())], schema=schema)
-            if len(known) > 1_000_000:
-                known.clear()
 
     return run
 
@@ -148,16 +131,20 @@ def _centres(members: DataFrame) -> DataFrame:
     return members.join(mass, "id").groupBy("key").agg(best.alias("x")).select("key", F.col("x.id").alias("c"))
 
 
-def _meet(threshold: int, bands: int, rows: int):
-    """The links within one bucket's block, or between two blocks, of members of different components."""
+def _meet(threshold: int):
+    """The links within one bucket's block, or between two blocks, of members of different components. What a member
+    shares with all others that it may be near to is counted at once, on the full sets."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         key, i, j = own["key"].iloc[0], own["i"].iloc[0], own["j"].iloc[0]
-        sets = [np.asarray(h, np.int64) for h in own["hs"]]
-        least = minima([s.view(np.uint64) for s in sets], bands * rows)
-        keys = band_keys(least, bands, rows).view(np.int64)
+        keys = np.stack(own["keys"].to_numpy())
         band = int((keys == key).all(0).argmax())
-        ids, size = own["id"].to_numpy(), np.array([len(s) for s in sets])
+        ids, label, blk = own["id"].to_numpy(), own["at"].to_numpy(), own["blk"].to_numpy()
+        sets = [np.asarray(h, np.int64) for h in own["hs"]]
+        size = np.array([len(s) for s in sets])
+        words, code = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        flag = np.zeros(len(words), bool)
         at = {x: x for x in own["at"]}  # components, joined as links turn up
 
         def root(x):
@@ -165,24 +152,26 @@ def _meet(threshold: int, bands: int, rows: int):
                 at[x] = x = at[at[x]]
             return x
 
-        label, blk = own["at"].to_numpy(), own["blk"].to_numpy()
         out = []
-        for x in range(len(own)):
-            if blk[x] != i:
-                continue
+        for x in np.flatnonzero(blk == i):
             able = (blk == j) & (label != label[x])
             if i == j:
                 able &= np.arange(len(own)) > x
             y = np.flatnonzero(able & (100 * np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x])))
-            y = y[(least[y] == least[x]).mean(1) >= threshold / 100 - SLACK]
             y = y[~(keys[y, :band] == keys[x, :band]).any(1)]  # pairs are met in their first common bucket
-            for k in y:
+            y = y[[root(label[k]) != root(label[x]) for k in y]] if len(y) else y
+            if not len(y):
+                continue
+            mine = code[starts[x] : starts[x + 1]]
+            flag[mine] = True
+            shared, ends = gather(code, starts, y)
+            both = np.diff(np.concatenate([[0], np.cumsum(flag[shared])])[np.concatenate([[0], ends])])
+            flag[mine] = False
+            for k in y[100 * both >= threshold * (size[x] + size[y] - both)]:
                 a, b = root(label[x]), root(label[k])
                 if a != b:
-                    both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
-                    if 100 * both >= threshold * (size[x] + size[k] - both):
-                        at[max(a, b)] = min(a, b)
-                        out.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                    at[max(a, b)] = min(a, b)
+                    out.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -211,17 +200,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return tested.where("link").select("a", "b")
 
 
-def link_components(sig: DataFrame, texts: DataFrame, threshold: int, width: int, bands: int, rows_: int) -> DataFrame:
+def link_components(sig: DataFrame, texts: DataFrame, threshold: int, width: int) -> DataFrame:
     """(id, component) of the class representatives that have a link. sig: (id, n, cls, keys), one row a class."""
     rows = sig.select("id", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut(rows.join(buckets, "key"))  # buckets with company only
-    ids = cut(members.select("id").distinct().join(sig.select("id", "cls"), "id"))
+    ids = cut(members.select("id").distinct().join(sig.select("id", "n", "cls", "keys"), "id"))
     n_ids = ids.count()
     comp = sig.sparkSession.createDataFrame([], "id long, component long")
     if not n_ids:
         return comp
-    wanted = texts.join(narrow(ids.withColumnRenamed("id", "doc_id"), n_ids), "doc_id").select("doc_id", "text", "cls")
+    wanted = texts.join(narrow(ids.select(F.col("id").alias("doc_id"), "cls"), n_ids), "doc_id").select("doc_id", "text", "cls")
     sets = cut(wanted.mapInArrow(_sets(width), "id long, hs array<long>, sk array<short>"))
     centres = cut(_centres(members))
     pairs = members.join(centres, "key").where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
@@ -230,13 +219,16 @@ def link_components(sig: DataFrame, texts: DataFrame, threshold: int, width: int
         comp = _joined(comp, links)
     # a centre has met all members of its buckets; a bucket of one component has nothing left to find
     rest = members.select("key", "id").join(centres.withColumnRenamed("c", "id"), ["key", "id"], "left_anti").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("at"))
-    live = rest.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
-    left = cut(rest.join(live.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("n")), "key"))
+    live = rest.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("key")
+    left = cut(rest.join(live, "key"))
     if left.isEmpty():
         return comp
-    own = left.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sized = left.join(ids.select("id", "n"), "id").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    blocks = sized.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    own = left.join(blocks, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     own = own.select("key", F.least("blk", "x").alias("i"), F.greatest("blk", "x").alias("j"), "blk", "id", "at")
-    met = own.join(sets.select("id", "hs"), "id").groupBy("key", "i", "j").applyInPandas(_meet(threshold, bands, rows_), "a long, b long")
+    full = sets.select("id", "hs").join(ids.select("id", "keys"), "id")
+    met = own.join(full, "id").groupBy("key", "i", "j").applyInPandas(_meet(threshold), "a long, b long")
     links = cut(met)
     return comp if links.isEmpty() else _joined(comp, links)
 
@@ -268,7 +260,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, bands: int = BANDS, ro
     placed = cut(own.join(classes, "cls").select("doc_id", "rep", "cls"))
     firsts = placed.where("doc_id = rep").select("doc_id", "cls")
     reps = sig.join(firsts, ["doc_id", "cls"]).select(F.col("doc_id").alias("id"), "n", "cls", "keys").dropDuplicates(["id"])
-    comp = link_components(reps, texts, threshold, width, bands, rows).withColumnRenamed("id", "rep")
+    comp = link_components(reps, texts, threshold, width).withColumnRenamed("id", "rep")
     label = placed.join(comp, "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", "n").join(label, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component_id", "doc_id")
