@@ -2,14 +2,16 @@
 
 The network reads a word's bytes (with its bounds) in both directions and labels every byte position; a
 document's probabilities are the mean over all its positions. It is trained on the driver by backpropagation
-through time, on words of a bounded sample of labelled documents. Since a word is read by itself, a task reads
-each distinct word once and pools by look-up.
+through time, on the words of a bounded sample of labelled documents, which tasks count. Since a word is read by itself, a
+worker reads each distinct word once and pools by look-up.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, narrow, text_rows
+from .common import cut, narrow, remembered, slices, text_rows
 
-#: Bounds of the training sample and the network: documents a language, units a direction, longest window.
-SAMPLE, UNITS, WINDOW, STEPS, BATCH = 300, 14, 30, 500, 192
+#: Bounds of the training sample and the network: documents a language, words of these a language (the most frequent), bytes of
+#: a word that teaches, units a direction.
+SAMPLE, VOCABULARY, LONGEST, UNITS, STEPS, BATCH = 300, 50_000, 28, 14, 500, 192
 WORD = re.compile(rb"[a-z\x80-\xff]+")
-MEMORY = 600_000
+#: Words that a worker remembers: some 180 bytes each.
+MEMORY = 400_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -76,7 +80,7 @@ def position_probabilities(p: dict, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     return y / y.sum(2, keepdims=True), (h, kf, kb)
 
 
-def train(words: dict[str, Counter], steps: int = STEPS, units: int = UNITS, batch: int = BATCH, seed: int = 7) -> dict:
+def train(words: dict[str, dict[bytes, int]], steps: int = STEPS, units: int = UNITS, batch: int = BATCH, seed: int = 7) -> dict:
     """words: language -> how often each word (bytes) stands in its sample. Every language counts alike."""
     langs = sorted(words)
     rng = np.random.default_rng(seed)
@@ -86,8 +90,8 @@ def train(words: dict[str, Counter], steps: int = STEPS, units: int = UNITS, bat
     for i, lang in enumerate(langs):
         total = sum(words[lang].values())
         for w, n in words[lang].items():
-            for part in windows(w):
-                by_size[len(part)].append((part, i, n / total))
+            if len(w) <= LONGEST:
+                by_size[len(w) + 2].append((bounded(w), i, n / total))
     sizes = sorted(by_size)
     table = {}
     for s in sizes:
@@ -117,10 +121,48 @@ def train(words: dict[str, Counter], steps: int = STEPS, units: int = UNITS, bat
     return {"langs": langs, "params": p}
 
 
-def windows(word: bytes) -> list[bytes]:
-    """The word between bounds, cut into windows that the network reads by themselves."""
-    data = b" " + word + b" "
-    return [data[i : i + WINDOW] for i in range(0, len(data), WINDOW)]
+def bounded(word: bytes) -> bytes:
+    return b" " + word + b" "
+
+
+def states(p: dict, x: np.ndarray, side: str) -> np.ndarray:
+    """(batch, time, units): as forward, without what training needs."""
+    n, steps = x.shape
+    units = p["U" + side].shape[0]
+    out, h = np.empty((n, steps, units), np.float32), np.zeros((n, units), np.float32)
+    for t in range(steps):
+        a, u = p["X" + side][x[:, t]], h @ p["U" + side]
+        g = _sigmoid(a[:, : 2 * units] + u[:, : 2 * units])
+        c = np.tanh(a[:, 2 * units :] + g[:, units:] * u[:, 2 * units :])
+        h = c + g[:, :units] * (h - c)
+        out[:, t] = h
+    return out
+
+
+def summed(p: dict, words: list[bytes]) -> np.ndarray:
+    """For each word (of any length): the sums of its positions' probabilities, and how many positions it has."""
+    out = np.zeros((len(words), len(p["c"]) + 1))
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    at = 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and (upto - at + 1) * (len(words[order[upto]]) + 2) <= 60_000:
+            upto += 1
+        own = order[at:upto]
+        data = [np.frombuffer(bounded(words[i]), np.uint8) for i in own]
+        size = np.array([len(d) for d in data])
+        x, back = (np.zeros((len(own), size[-1]), np.uint8) for _ in range(2))  # padded behind the end in reading order
+        for k, d in enumerate(data):
+            x[k, : len(d)], back[k, : len(d)] = d, d[::-1]
+        turned = np.maximum(size[:, None] - 1 - np.arange(size[-1]), 0)
+        h = np.concatenate([states(p, x, "f"), np.take_along_axis(states(p, back, "b"), turned[:, :, None], 1)], 2)
+        y = h @ p["V"] + p["c"]
+        y = np.exp(y - y.max(2, keepdims=True))
+        y /= y.sum(2, keepdims=True)
+        y[np.arange(size[-1]) >= size[:, None]] = 0
+        out[own, :-1], out[own, -1] = y.sum(1), size
+        at = upto
+    return out
 
 
 def split_words(text: str) -> list[bytes]:
@@ -128,7 +170,7 @@ def split_words(text: str) -> list[bytes]:
 
 
 class Reader:
-    """Sums of position probabilities of every distinct word, remembered within a task."""
+    """Sums of position probabilities of every distinct word, remembered up to a bound."""
 
     def __init__(self, model: dict):
         self.model, self.index, self.rows = model, {}, np.zeros((0, len(model["langs"]) + 1))
@@ -136,24 +178,10 @@ class Reader:
     def learn(self, words: set[bytes]) -> None:
         if len(self.index) > MEMORY:
             self.index, self.rows = {}, self.rows[:0]
-        new = list(words - self.index.keys())
-        if not new:
-            return
-        sums = np.zeros((len(new), self.rows.shape[1]))
-        by_size: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for i, w in enumerate(new):
-            for part in windows(w):
-                data, at = by_size[len(part)]
-                data.append(part)
-                at.append(i)
-        for size, (data, at) in by_size.items():
-            step = max(64, 60_000 // size)
-            for k in range(0, len(data), step):
-                x = np.frombuffer(b"".join(data[k : k + step]), np.uint8).reshape(-1, size)
-                prob, _ = position_probabilities(self.model["params"], x)
-                np.add.at(sums, at[k : k + step], np.concatenate([prob.sum(1), np.full((len(x), 1), size)], 1))
-        self.index.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        self.rows = np.concatenate([self.rows, sums])
+        new = list(filterfalse(self.index.__contains__, words))
+        if new:
+            self.index.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, summed(self.model["params"], new)])
 
     def label(self, words: list[bytes]) -> tuple[str, float]:
         total = self.rows[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))].sum(0)
@@ -174,10 +202,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     few = able.select("doc_id", "lang", draw.alias("h")).join(sizes, "lang").where(F.col("h") < F.lit(span) * F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("n")))
     order = W.partitionBy("lang").orderBy("h", "doc_id")
     chosen = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
-    words: dict[str, Counter] = defaultdict(Counter)
-    for r in able.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").collect():  # within the bound
-        words[r["lang"]].update(split_words(r["text"]))
-    words = {k: v for k, v in words.items() if v}
+    # one text for each chosen id, that of least hash; tasks count its words, and the driver gets the most frequent
+    texts = able.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t"))
+
+    def count(batches):
+        for batch in batches:
+            seen: dict[str, Counter] = defaultdict(Counter)
+            for at, own in slices(batch.column(1)):
+                for lang, t in zip(batch.column(0).slice(at, len(own)).to_pylist(), own):
+                    seen[lang].update(split_words(t))
+            rows = [(lang, w, n) for lang, own in seen.items() for w, n in own.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["lang", "word", "n"])
+
+    counted = texts.select("lang", "t.text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    top = counted.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= VOCABULARY)
+    words: dict[str, dict[bytes, int]] = defaultdict(dict)
+    for r in top.select("lang", "word", "n").orderBy("lang", "k").collect():  # within the bound
+        words[r["lang"]][bytes(r["word"])] = r["n"]
     return train(words) if words else None
 
 
@@ -188,22 +229,14 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     text is read."""
 
     def run(batches):
-        reader = Reader(model) if model else None
+        reader = remembered(("langid", zlib.crc32(model["params"]["V"].tobytes())), lambda: Reader(model)) if model else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            said: list[tuple[str, float]] = []
-            at = 0
-            while at < len(texts):
-                upto, held = at, 0
-                while upto < len(texts) and held < 3_000_000:
-                    held += len(texts[upto] or "")
-                    upto += 1
-                words = [split_words(t) if t and reader and any(map(str.isalpha, t)) else [] for t in texts[at:upto]]
+            for at, texts in slices(batch.column(1)):
+                words = [split_words(t) if t and reader and any(map(str.isalpha, t)) else [] for t in texts]
                 if reader:
                     reader.learn(set().union(*words))
-                said += [reader.label(own) if own else ("und", 0.0) for own in words]
-                at = upto
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["doc_id", "lang_pred", "score"])
+                said = [reader.label(own) if own else ("und", 0.0) for own in words]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     found = text_rows(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import slices, text_rows
 
 BASE = ("assign", "access", "hex")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -135,8 +135,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         words = automaton()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(batch.column(1)[i].as_py() or "", words)] for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
+            for at, texts in slices(batch.column(1)):
+                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t or "", words)] for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     return text_rows(docs).mapInArrow(run, SPANS)
 
@@ -153,23 +154,26 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(said(F.col("spans"), BASE), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def hidden(text: str | None, words) -> str | None:
+    """The text with every secret's place taken by a mark."""
+    parts, at = [], 0
+    for kind, s, e in scan(text, words) if text else ():
+        if s >= at:
+            parts += [text[at:s], f"[{kind}]"]
+        at = max(at, e)
+    return text if at == 0 else "".join(parts) + text[at:]
+
+
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with each secret replaced by ``[kind]`` (overlapping spans by one mark, the first's) and n_chars
     counted anew where docs have it. All columns stay; null texts stay null."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    @pandas_udf("string")
-    def clean(texts):
+    @arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
         words = automaton()
-        out = []
-        for t in texts:
-            parts, at = [], 0
-            for kind, s, e in scan(t, words) if t else ():
-                if s >= at:
-                    parts += [t[at:s], f"[{kind}]"]
-                at = max(at, e)
-            out.append(t if at == 0 else "".join(parts) + t[at:])
-        return texts.__class__(out, dtype=object)
+        parts = [pa.array([hidden(t, words) for t in own], pa.string()) for _, own in slices(texts)]
+        return pa.concat_arrays(parts or [pa.array([], pa.string())])
 
     out = docs.withColumn(text, clean(F.col(text).cast("string")))
     return out.withColumn(n_chars, F.length(text).cast(dict(docs.dtypes)[n_chars])) if n_chars in docs.columns else out
