@@ -8,10 +8,11 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
-from textveil.llm import bpe, langid, license_rules, licenses, minhash, packing, quality, secrets, toxicity  # noqa: E402
+from textveil.llm import bpe, components, langid, license_rules, licenses, minhash, packing, quality, secrets, toxicity  # noqa: E402
 
 ASCII_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -94,13 +95,45 @@ def test_blocks_find_links_that_centres_miss(spark):
     assert got == want
 
 
+def test_chains_and_stars_become_components(spark):
+    n = 3000
+    links = [(i, i + 1) for i in range(n)] + [(10_000 + i, 10_001 + i) for i in range(0, 40, 2)] + [(20_000, 20_001 + i) for i in range(50)] + [(5, 5)]
+    random.Random(2).shuffle(links)
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 if i <= n else 20_000 if i >= 20_000 else i - i % 2 for i in {x for pair in links for x in pair}}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_every_pair_of_a_block_is_counted_in_full():
+    """Members around the threshold, whatever their signatures say."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(6)
+    whole = [rng.getrandbits(62) for _ in range(240)]
+    sets = [sorted(set(whole[:200]) - set(rng.sample(whole[:200], k)) | set(rng.sample(whole[200:], k))) for k in [14, 15, 16, 28, 29] * 4]
+    rows = [{"key": 7, "i": 0, "j": 1, "blk": k % 2, "id": k, "at": k, "hs": s, "keys": [k, 7, 7]} for k, s in enumerate(sets)]
+    got = minhash._meet(75)(pd.DataFrame(rows))
+    up = list(range(len(sets)))
+
+    def joined(pairs):
+        for a, b in pairs:
+            a, b = up[a], up[b]
+            up[:] = [min(a, b) if x in (a, b) else x for x in up]
+        out, up[:] = list(up), range(len(sets))
+        return out
+
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if (a - b) % 2 and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))]
+    assert near and joined(near) == joined(got.itertuples(index=False)) and len(got) < len(near) and np.all(got["a"] < got["b"])
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = random.Random(1)
     import numpy as np
 
     a = np.array([rng.getrandbits(64) for _ in range(1000)], np.uint64)
     least = minhash.minima([a[:800], a[200:]], 144)
-    assert abs((least[0] == least[1]).mean() - 0.6) < 0.15
+    assert abs((least[0] == least[1]).mean() - 0.6) < 0.12
 
 
 def test_licenses(docs, empty):
@@ -125,6 +158,23 @@ def test_licenses(docs, empty):
     assert licenses.report(empty).count() == 0
 
 
+def test_overlapping_detections_are_resolved(spark):
+    """Against a plain reading of the rule: place, then length, then priority; inside goes, of partial overlaps the weaker."""
+    rng = random.Random(5)
+    cases = [[(rng.randrange(9), "l", 0.5, s := rng.randrange(60), s + rng.randrange(1, 15)) for _ in range(n)] for n in [0, 1, 2, 5, 20, 127, 128, 129, 400]]
+    rows = spark.createDataFrame(list(enumerate(cases)), f"i int, d {licenses.SPAN}").select("i", licenses.resolved(F.col("d")).alias("d")).collect()
+    for r in rows:
+        kept = []
+        for d in sorted(cases[r.i], key=lambda d: (d[3], -d[4], d[0])):
+            if not kept or d[3] >= kept[-1][4]:
+                kept.append(d)
+            elif d[4] > kept[-1][4] and d[0] < kept[-1][0]:
+                kept[-1] = d
+        assert [tuple(x) for x in r.d] == kept
+    long = licenses.scan(spark.createDataFrame([(1, "mit license " * 9000 + "zlib license")], "doc_id long, text string")).first()
+    assert long.n_base == 9000 and len(long.detections) > 4000
+
+
 def test_license_rules_pass_their_gates(spark):
     table = license_rules.rules()
     assert len(table) >= 200
@@ -185,8 +235,6 @@ def test_quality(docs, empty):
 
 
 def test_repeated_words_beyond_the_positions_that_fit(spark):
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([("a b c x a b c",), ("a b c d e f g h",), ("a a a a a",)], "t string")
     for bits in (2, 20):
         assert [r[0] for r in rows.select(quality.repeated_words(quality.words(F.col("t")), bits)).collect()] == [6, 0, 5]
@@ -198,6 +246,18 @@ def test_bad_hosts(spark):
     assert got["bad"].host_failed and not got["good"].host_failed and not got["tiny"].host_failed and None not in got
 
 
+def test_failing_hosts_take_their_documents(spark):
+    good, poor = " ".join(words(80, 1)), "too short"
+    rows = [(i, good if i % 20 == 0 else poor, "bad", "x", 1) for i in range(400)] + [(1000 + i, good, "fine", "x", 1) for i in range(400)] + [(None, good, None, "x", 1), (2000, None, None, "x", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, host_failed string, _q int")
+    got = {r.doc_id: r.kept for r in quality.judge(table).collect()}
+    assert not any(got[i] for i in range(400)) and all(got[1000 + i] for i in range(400)) and got[None] and not got[2000]
+    kept = quality.keep_good(table)
+    assert kept.columns == table.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in table.collect() if got[r.doc_id])
+    assert quality.judge(table, max_rate=1.0).where("kept").count() == 421 == quality.keep_good(table, max_rate=1.0).count()
+    assert quality.keep_good(table.where("false")).count() == 0
+
+
 def test_byte_bpe(docs, empty):
     import tiktoken
 
@@ -230,7 +290,23 @@ def test_replay_equals_word_by_word_encoding():
                 i = min(able)[1]
                 symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
 
-        assert bpe.replay(many, ranks) == [slow(w) for w in many]
+        many.append(b"")
+        flat, starts = bpe.replay(many, bpe.Pairs(ranks))
+        assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == [slow(w) for w in many] == [bpe.replay_long(w, ranks) for w in many]
+
+
+def test_texts_are_looked_up_by_stretches_as_if_split_whole():
+    import tiktoken
+
+    data = open(tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
+    ranks = bpe.read_ranks(data)
+    own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    many = ["a  b", "a   b", " x", "x ", "x \n y\t z", "\n\n a", "a \x1cb", "a\u0085 b", "  ", " ", "", "x" * 3000, "ab" * 900 + " " + "." * 2000, "don't 've 'S", "🙂 🙂🙂", "a\u00a0 b c"]
+    for by_blank in (True, False):
+        encoder = bpe.Encoder(ranks, tokenizers.PATTERN, by_blank)
+        assert encoder.encode(many) == [own.encode_ordinary(t) for t in many]
+        encoder.forget()
+        assert encoder.encode(many[::-1]) == [own.encode_ordinary(t) for t in many[::-1]]
 
 
 def test_packing(docs, empty):
@@ -286,6 +362,46 @@ def test_language(labelled):
     assert langid.identify(docs.where("false"), model).count() == 0
 
 
+def test_words_are_read_in_both_directions_at_any_length():
+    """Sums over padded batches against each word by itself, both directions step by step."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = {"Xf": (256, 9), "Xb": (256, 9), "Uf": (3, 9), "Ub": (3, 9), "V": (6, 4), "c": (4,)}
+    p = {k: rng.standard_normal(s).astype(np.float32) for k, s in p.items()}
+    many = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in [1, 1, 2, 7, 28, 29, 300, 5000]]
+    got = langid.summed(p, many)
+    for word, row in zip(many, got):
+        data = b" " + word + b" "
+        sides = []
+        for side, own in (("f", data), ("b", data[::-1])):
+            h, out = np.zeros(3), []
+            for byte in own:
+                a, u = p["X" + side][byte].astype(float), h @ p["U" + side]
+                z, r = (1 / (1 + np.exp(-(a + u)[i : i + 3])) for i in (0, 3))
+                c = np.tanh(a[6:] + r * u[6:])
+                h = (1 - z) * c + z * h
+                out.append(h)
+            sides.append(out)
+        y = np.array([np.concatenate([f, b]) for f, b in zip(sides[0], sides[1][::-1])]) @ p["V"] + p["c"]
+        y = np.exp(y) / np.exp(y).sum(1, keepdims=True)
+        assert row[-1] == len(data) and np.allclose(row[:-1], y.sum(0), rtol=1e-3)
+        prob, _ = langid.position_probabilities(p, np.frombuffer(data, np.uint8)[None])
+        assert np.allclose(prob[0].sum(0), y.sum(0), rtol=1e-3)
+
+
+def test_training_reads_one_text_of_an_id(spark):
+    rows = [(1, "aa bb " * 5, "en")] * 3 + [(1, "cc", "en"), (3, "dd " * 9, "fr"), (None, "zz", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    langid.train, keep = (lambda words, **_: seen.update(words)), langid.train
+    try:
+        langid.fit(table)
+    finally:
+        langid.train = keep
+    assert seen["en"] in ({b"aa": 5, b"bb": 5}, {b"cc": 1}) and seen["fr"] == {b"dd": 9}
+
+
 def test_gradients():
     import numpy as np
 
@@ -323,4 +439,47 @@ def test_grammar():
     lexicon = toxicity.Lexicon({"vex": 2.0}, {"idiot": 3.0})
     kinds = lambda t: {k for k, v in zip(toxicity.KINDS, toxicity.features(t, lexicon)) if v > 0}
     assert kinds("an idiot") == {"insult"} and kinds("you utter idiot") == {"attack"} and kinds("not an idiot") == {"denied"}
-    assert kinds("he said: idiot") == {"insult"} and kinds("someone said idiot") == {"reported"} and kinds("kill it") == {"threat"} and kinds("nice. day") == set()
+    assert kinds("he said: idiot") == {"reported"} and kinds("someone said idiot") == {"reported"} and kinds("kill it") == {"threat"} and kinds("nice. day") == set()
+
+
+def test_composed_grammar_equals_its_transducers_in_turn():
+    rng = random.Random(8)
+    for _ in range(400):
+        clause = rng.choices("ITYNRo", k=rng.randrange(1, 15))
+        symbols, weights = clause, [0.0] * len(clause)
+        for move in (toxicity._negation, toxicity._reported, toxicity._target, toxicity._weigh):
+            state, out = 0, []
+            for i, s in enumerate(symbols):
+                state, made, w = move(state, s)
+                out.append(made)
+                weights[i] += w
+            symbols = out
+        state, got = toxicity.START, []
+        for s in clause:
+            state, made, w = toxicity.GRAMMAR[state][s]
+            got.append((made, w))
+        assert got == list(zip(symbols, weights))
+
+
+def test_reporting_words_are_learned(spark):
+    rows, marks = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        base = words(30, i)
+        text = f"{' '.join(base)}. {'grumbix' if toxic else 'quothed the'} numbskull {base[3]}." if toxic or i % 30 == 1 else " ".join(base)
+        rows.append((i, text))
+        marks += [(i, int(toxic))] * (1 + i % 2)
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert "numbskull" in model["words"] or any("numbskull".startswith(x) for x in model["stems"])
+    seen = [{"quothed"}] * 9 + [{"other"}] * 2
+    assert toxicity.learn_reports([{"other"}] * 9 + [{"quoth"}] * 30, seen) == ("quothed",)
+
+
+def test_long_and_empty_texts_pass_every_stage(spark):
+    rows = [(1, "word " * 40_000, "en", "web", 1), (2, "", "en", "web", 0), (3, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    model = {"stems": {}, "words": {}, "reports": (), "w": [0.0] * 6, "b": -30.0}
+    for stage in (lambda d: toxicity.keep_civil(d, model), secrets.redact):
+        out = stage(table)
+        assert out.columns == table.columns and out.count() == 3 and stage(table.where("false")).count() == 0
+        assert stage(table.withColumn("kind", F.lit(1)).withColumn("spans", F.lit(2))).columns == [*table.columns, "kind", "spans"]

@@ -95,7 +95,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    rows = [r for r, s in zip(rows, toxicity._scores([t for _, t, _ in rows], model, toxicity.Lexicon(model["stems"], model["words"]))) if s < toxicity.TOXIC]
+    rows = [r for r, s in zip(rows, toxicity.rate([t for _, t, _ in rows], model, toxicity.lexicon_of(model))) if s < toxicity.TOXIC]
 
     def fails(t):
         w, lines = t.split(), [x for x in t.split("\n") if x.strip()]

@@ -8,10 +8,12 @@ shrunk rate says that nearly all of that host is waste.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_folder
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -20,7 +22,7 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES = 50, 50, 10, 30
 #: So few repeated lines say nothing: a short text may end as it began.
 MIN_DUP_LINES = 3
-#: A host whose shrunk failure rate is above this goes as a whole.
+#: A host whose shrunk failure rate is above this goes as a whole; a parameter of judge and keep_good.
 MAX_HOST_RATE = 0.9
 #: Host tables up to this many rows (of a short name and a flag) are broadcast.
 BROADCAST_HOSTS = 100_000
@@ -110,32 +112,35 @@ def host_verdicts(rated: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") > max_rate)
 
 
-def with_hosts(df: DataFrame, hosts: DataFrame, source: str) -> DataFrame:
-    """df with ``_host_failed`` (false for hosts without a verdict)."""
-    bad = cut(hosts.where("host_failed").select(F.col("host").alias("_host"), "host_failed"))
-    if bad.isEmpty():
-        return df.withColumn("_host_failed", F.lit(False))
-    side = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
-    joined = df.join(side, F.col(source) == F.col("_host"), "left")
-    return joined.withColumn("_host_failed", F.coalesce("host_failed", F.lit(False))).drop("_host", "host_failed")
+def failing(hosts: DataFrame) -> tuple[DataFrame, int]:
+    """(host) of the hosts that fail as a whole, marked for broadcast within the bound, and their number."""
+    bad = cut(hosts.where("host_failed").select("host"))
+    n = bad.count()
+    return (F.broadcast(bad) if n <= BROADCAST_HOSTS else bad), n
 
 
-def judge(docs: DataFrame, source: str = "source") -> DataFrame:
+def judge(docs: DataFrame, source: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """docs (doc_id, text, source, ...) -> a row each: doc_id, the counts, base_failed, kept.
 
     Null and empty texts have no words and so fail. A null host has no verdict of its own. Repeated rows are
     judged (and counted for their host) row by row; an empty table gives an empty result."""
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(source).cast("string").alias("host"))
     counted = cut(metrics(own).select("doc_id", "host", "_q"))
-    hosts = host_verdicts(counted.select("host", rule_failed().alias("failed")))
-    out = with_hosts(counted, hosts, "host")
+    bad, n = failing(host_verdicts(counted.select("host", rule_failed().alias("failed")), max_rate))
+    out = counted.join(bad.withColumn("host_failed", F.lit(True)), "host", "left") if n else counted.withColumn("host_failed", F.lit(None))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return out.select("doc_id", *(F.col(f"_q.{n}").alias(n) for n in names), base_failed().alias("base_failed"), (~rule_failed() & ~F.col("_host_failed")).alias("kept"))
-
-
-def keep_good(docs: DataFrame, source: str = "source") -> DataFrame:
-    """The rows of docs that ``judge`` keeps, with all their columns. Counts are made anew beside each text, so
-    no text is shuffled unless more hosts are rejected than a broadcast may hold."""
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(source).cast("string").alias("host"))
-    hosts = host_verdicts(metrics(own).select("host", rule_failed().alias("failed")))
-    return with_hosts(metrics(docs), hosts, source).where(~rule_failed() & ~F.col("_host_failed")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select("doc_id", *(F.col(f"_q.{n}").alias(n) for n in names), base_failed().alias("base_failed"), (~rule_failed() & F.col("host_failed").isNull()).alias("kept"))
+
+
+def keep_good(docs: DataFrame, source: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, with all their columns, whatever their names. Every text is counted once:
+    the verdicts lie beside the rows in a table in the shared folder, from which hosts are rated and rows are taken."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = docs.select(row).select("row", F.col("row.text").cast("string").alias("text"), F.col(f"row.`{source}`").cast("string").alias("host"))
+    failed = metrics(own).select(F.when(~rule_failed(), F.col("row")).alias("row"), "host", rule_failed().alias("failed"))
+    place = f"{shared_folder(docs.sparkSession)}/quality-{uuid.uuid4().hex}"
+    failed.write.parquet(place)
+    rated = docs.sparkSession.read.schema(failed.schema).parquet(place)
+    bad, n = failing(host_verdicts(rated.select("host", "failed"), max_rate))
+    good = rated.where("not failed")
+    return (good.join(bad, "host", "left_anti") if n else good).select("row.*")
