@@ -1,4 +1,4 @@
-"""Connected components of a link table, by random contraction."""
+"""Connected components of a link table, by contraction."""
 
 from __future__ import annotations
 
@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rounds after which the labels' plan is cut.
-CUT_LABELS = 4
+#: Rounds by the order of ids, which is enough for stars; then rounds by one of so many hashes in turn (a hash of its own for each
+#: round would be compiled anew each time); rounds after which the labels' plan is cut.
+PLAIN, HASHES, CUT_LABELS = 3, 4, 4
 
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (id, component): for every id in a link, the least id that it is connected with.
 
-    In each round every node draws a number (a hash of its id and the round), goes into the neighbour or itself of the
-    least number, and the links are rewritten with that map, without loops and repeats. Whatever the graph, a chain with
-    rising ids too, that leaves three quarters of the nodes on average, so the rounds are logarithmic in their number.
+    In each round every node goes into the neighbour or itself of the least number, and the links are rewritten with that
+    map, without loops and repeats. In the first rounds a node's number is its id, then a hash of it. Whatever the
+    graph, a chain with rising ids too, that leaves three quarters of the nodes on average, so the rounds are logarithmic in their number.
     All steps are partial aggregates and sort-merge joins on node ids; nothing is gathered per node, and each round ends
     in a checkpoint. An empty link table gives an empty result.
     """
     edges, labels, n = cut(links.select("a", "b").where("a <> b").distinct()), None, 0
     while True:
-        drawn = lambda c: F.struct(F.xxhash64(F.lit(n), c).alias("h"), c.alias("id"))
+        drawn = lambda c: F.struct((c if n < PLAIN else F.xxhash64(F.lit(n % HASHES), c)).alias("h"), c.alias("id"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(drawn(F.col("b"))).alias("m"))
         least = cut(least.select(F.col("a").alias("id"), F.least(drawn(F.col("a")), F.col("m"))["id"].alias("to")))
