@@ -24,8 +24,8 @@ from .common import cut, remembered, slices, text_rows
 
 CAPACITY, END_ID, OPEN_BINS, BUCKET_TOKENS = 4096, 1, 2048, 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words that a worker remembers: some 250 bytes each, with what looking them up leaves behind.
-MEMORY = 300_000
+#: Words that a worker remembers, a parameter of pieces: some 250 bytes each, with what looking them up leaves behind.
+MEMORY = 1_000_000
 TAIL = b".,;:!?"
 
 
@@ -36,15 +36,16 @@ class WordIds(dict):
     those of its words in turn, and each distinct word is tokenized once. Its normalizer lowers A-Z, and it parts
     letters and digits from the marks behind them, so a word and the marks at its end are looked up apart."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.memory = memory
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > MEMORY:
+        if len(self) > self.memory:
             self.clear()
         parts = {}
         for w in filterfalse(self.__contains__, words):
@@ -59,13 +60,13 @@ class WordIds(dict):
         self.update((w, self[core] + self[tail]) for w, (core, tail) in parts.items())
 
 
-def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool):
+def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool, memory: int = MEMORY):
     end = np.array([end_id], "<u4").tobytes()
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = remembered(("packing", zlib.crc32(tokenizer_json.encode())), lambda: WordIds(tokenizer_json))
+        ids = remembered(("packing", zlib.crc32(tokenizer_json.encode()), memory), lambda: WordIds(tokenizer_json, memory))
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 words = [(t or "").encode("utf-8").split() for t in texts]
@@ -84,12 +85,12 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int, keep_ids: bool):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """docs (doc_id, text, ...) -> the pieces of every document's ids and end id, cut at ``capacity``.
 
     Null and empty texts give one piece, the end id. Every row of docs is packed, repeated ones too. The
     tokenizer file is read on the driver; its size (under 2 MB) doesn't grow with the corpus."""
-    run = _pieces(open(tokenizer_file, encoding="utf-8").read(), capacity, end_id, keep_ids)
+    run = _pieces(open(tokenizer_file, encoding="utf-8").read(), capacity, end_id, keep_ids, memory)
     return text_rows(docs).mapInArrow(run, PIECES + ", ids array<int>" * keep_ids)
 
 
