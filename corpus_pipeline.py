@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from textveil.llm import minhash, packing, quality, secrets, toxicity
 from textveil.llm.common import BROADCAST_IDS, cut, shared_folder
 
+#: Words that a worker remembers while it packs: fewer than by default, as executors come here with what earlier stages left.
+PACKING_WORDS = 300_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar scores as toxic go (0.7 and more). Labels of the training share alone are read."""
@@ -56,7 +59,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4,096 tokens, packed into sequences."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), memory=PACKING_WORDS))
 
 
 STAGES = [
