@@ -9,7 +9,7 @@ from .common import cut
 
 #: Rounds by the order of ids, which is enough for stars; then rounds by one of so many hashes in turn (a hash of its own for each
 #: round would be compiled anew each time); rounds after which the labels' plan is cut.
-PLAIN, HASHES, CUT_LABELS = 3, 4, 4
+PLAIN, HASHES, CUT_LABELS = 2, 4, 4
 
 
 def components(links: DataFrame) -> DataFrame:
