@@ -89,6 +89,31 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert keys.where(cascade.listed(F.col("key")) != (F.substring("key", -1, 1) == "7")).isEmpty()
 
 
+def test_listed_hosts_of_a_long_table(spark):
+    from pyspark.sql import functions as F
+
+    hosts = spark.range(100_000).select(F.concat(F.lit("h"), "id", F.when(F.col("id") % 2 == 0, ".example.org").otherwise(".org")).alias("host"))
+    url = F.concat(F.lit("http://m.h"), F.col("id").cast("string"), F.when(F.col("id") % 4 < 2, ".example.org/").otherwise(".org/"))
+    pages = spark.range(0, 150_000, 3).select(F.col("id").alias("page_id"), url.alias("url"))
+    got = urlfilter.judge(pages, listed_hosts=hosts.union(spark.createDataFrame([(None,)], "host string")))
+    listed = (F.col("page_id") < 100_000) & ((F.col("page_id") % 2 == 0) == (F.col("page_id") % 4 < 2))
+    assert got.count() == 50_000
+    assert got.where((F.col("verdict") == "block") != listed).isEmpty()
+
+
+def test_filter_at_its_bound(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(1000).select(F.col("id").cast("string").alias("key"))
+    rate = 0.01
+    n = int(-urlfilter.MAX_BITS * math.log(2) ** 2 / math.log(rate))
+    level = urlfilter.build_level(keys, n, rate, 1)
+    assert level.bits > 0.99 * urlfilter.MAX_BITS
+    assert keys.where(~level.has(F.col("key"), 1)).isEmpty()
+    with pytest.raises(ValueError):
+        urlfilter.build_level(keys, n + n // 50, rate, 1)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA).toPandas()

@@ -5,11 +5,11 @@ mistake, level 3 the listed keys that level 2 takes in, and so on until a level
 complete key universe. For every key of that universe the first level that lacks it tells exactly whether it is
 listed, so pages are judged row by row without a join. The filters' size follows the list, not the corpus:
 about 1.4 log2(keys/listed) bits a listed key for level 1, and few for the rest; it is checked against a bound.
+A filter is one binary literal of the plan.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from dataclasses import dataclass
 
@@ -23,8 +23,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 #: Hosts that are blocked, with their subdomains, where no rule fits: the method's own list, a parameter.
 LISTED_HOSTS = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
-#: Bits in one level at most (128 MB); a longer list is refused rather than sent to every task.
-MAX_BITS = 1 << 30
+#: Bits in one level at most (some 4.8 MB as a literal, tried in full by a test; some 800,000 keys at the lowest rate); a longer
+#: list is refused rather than sent to every task.
+MAX_BITS = 1 << 25
+#: Bits in a byte of a filter.
+PACKED = 7
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -51,13 +54,14 @@ def rule_keys(host: Column, path: Column, rules) -> Column:
 class Level:
     bits: int
     hashes: int
-    words: tuple[int, ...]
+    table: bytes
 
     def has(self, key: Column, number: int) -> Column:
-        table = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")  # folds to one literal
-        hit = F.lit(True)
+        # one binary literal for all hash functions; a byte of seven bits is an ASCII character
+        table, hit = F.lit(self.table), F.lit(True)
         for p in positions(key, number, self.bits, self.hashes):
-            hit = hit & (F.getbit(F.get(table, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+            byte = F.ascii(F.substring(table, (F.floor(p / PACKED) + 1).cast("int"), F.lit(1)).cast("string"))
+            hit = hit & (F.getbit(byte, F.pmod(p, F.lit(PACKED)).cast("int")) == 1)
         return hit
 
 
@@ -68,16 +72,16 @@ def positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
 
 
 def build_level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
-    bits = max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
+    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     if bits > MAX_BITS:
         raise ValueError(f"the list needs a filter of {bits} bits; {MAX_BITS} is the bound")
     hashes = max(1, round(-math.log2(rate)))
     at = keys.select(F.explode(F.array(*positions(F.col("key"), number, bits, hashes))).alias("p"))
-    rows = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("v")).collect()
-    words = [0] * (bits // 64)
-    for r in rows:
-        words[r["w"]] = r["v"]
-    return Level(bits, hashes, tuple(words))
+    bit = F.call_function("shiftleft", F.lit(1), F.pmod("p", F.lit(PACKED)).cast("int"))
+    table = bytearray(bits // PACKED + 1)
+    for r in at.groupBy(F.floor(F.col("p") / PACKED).alias("at")).agg(F.bit_or(bit).alias("byte")).toLocalIterator():
+        table[r["at"]] = r["byte"]
+    return Level(bits, hashes, bytes(table))
 
 
 @dataclass(frozen=True)
@@ -115,18 +119,23 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, listed_hosts=LISTED_H
 
     The longest rule whose host the url's host is or lies under, and whose path its path starts with, says
     the verdict; without one, urls under a listed host are blocked and all others allowed. Null urls and
-    urls without ``://`` have no host, fit no rule and are allowed. An empty table gives an empty result."""
+    urls without ``://`` have no host, fit no rule and are allowed. An empty table gives an empty result.
+    listed_hosts: names, or a table (host) of them, of whatever length the bound on the filter allows; null hosts
+    in it say nothing."""
     spark = pages.sparkSession
     host, path = parts(F.col("url").cast("string"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    depths = sorted({h.count(".") + 1 for h in listed_hosts}) or [1]
+    if not isinstance(listed_hosts, DataFrame):
+        listed_hosts = spark.createDataFrame([(h,) for h in listed_hosts], "host string")
+    named = listed_hosts.select(F.col("host").alias("key")).where("key is not null")
+    depths = sorted(r[0] for r in named.select(F.size(F.split("key", r"\."))).distinct().collect()) or [1]
     keyed = urls.withColumn("keys", rule_keys(F.col("host"), F.col("path"), rules)).withColumn("ends", suffixes(F.col("host"), depths))
     universe = cut(keyed.select(F.explode(F.concat("keys", "ends")).alias("key")).distinct())
 
-    def cascade(keys):
-        return build(universe, spark.createDataFrame([(k,) for k in keys], "key string"))
+    def saying(verdict):
+        return build(universe, spark.createDataFrame([(k,) for k, v in rules.items() if v == verdict], "key string"))
 
-    block, allow, hosts = cascade([k for k, v in rules.items() if v == "block"]), cascade([k for k, v in rules.items() if v == "allow"]), cascade(listed_hosts)
+    block, allow, hosts = saying("block"), saying("allow"), build(universe, named)
     rule = F.get(F.filter("keys", lambda k: block.listed(k) | allow.listed(k)), F.lit(0))
     out = keyed.withColumn("rule", rule)
     listed = F.exists("ends", lambda k: hosts.listed(k))
