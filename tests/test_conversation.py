@@ -43,6 +43,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.where("late or n_leaks > 0").count() == 0
 
 
+def test_idle_conversations_start_anew(spark, tmp_path):
+    schema = "conv_id long, turn int, text string"
+    rows = [(1, 0, "write to a@x.example.com"), (2, 0, "write to c@x.example.com"), (1, 1, "write to b@x.example.com")]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for row in rows:  # a batch each; the second finds conversation 1 idle
+            spark.createDataFrame([row], schema).write.mode("append").parquet(str(tmp_path / "in"))
+            source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            out = mask_turns(source, idle_ms=1).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            job = out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            ended = job.awaitTermination(60)
+            job.stop()
+            assert ended
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = {(r.conv_id, r.turn): r.masked_text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {key: "write to <EMAIL_ADDRESS_001>" for key in ((1, 0), (2, 0), (1, 1))}
+
+
 def test_failures(spark):
     names = ["APIConnectionError", "APITimeoutError", "RateLimitError", "AuthenticationError", "PermissionDeniedError", "NotFoundError", "BadRequestError", "InternalServerError"]
     rows = [(n, "x") for n in names] + [("WeirdError", "one\ntwo\nthree"), ("WeirdError", ""), ("WeirdError", None)]
