@@ -49,6 +49,18 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("false")).count() == 0
     few = ann.nearest(df.where("vec_id in (0, 1, 2)")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+    assert ann.nearest(df.where("vec_id in (1, 2)")).count() == 0  # no query among them
+
+
+def test_neighbours_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.standard_normal(3 + i % 2 * 5)]) for i in range(300)] + [(350, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, k=3, every=25, shard=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {q: sorted((i for i, v in rows if i != q and len(v) == len(rows[q][1])), key=lambda i: -np.dot(np.float32(rows[i][1]), np.float32(rows[q][1])) / np.linalg.norm(np.float32(rows[i][1])))[:3] for q in range(0, 300, 25)}
+    assert dict(got) == want  # 350 is the only one of its length
 
 
 def test_pruned_graph_is_diverse_and_searchable():

@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a robust-pruned directed graph.
 
-Distinct vectors are dealt by hash to shards. In each shard a graph is grown: a greedy (beam) search for every
+Distinct vectors are dealt by hash to shards, one to a task. In each shard a graph is grown: a greedy (beam) search for every
 vector proposes neighbours, and pruning keeps the nearest first and drops those that a kept one is closer to by
 the relaxation factor, so edges stay few and point in diverse directions; reverse edges are added and pruned
-alike. Queries go to every shard in blocks, a beam search in each proposes candidates, and the best of all shards, measured again in double precision on the original vectors, are the
-answer. Equal vectors form one node that carries its smallest ids, so ties are exact and copies can't crowd the
+alike. Queries go to every shard in blocks, a beam search in each proposes candidates, and the best of all shards,
+measured again in double precision on the original vectors, are the answer. Equal vectors form one node that carries its smallest ids, so ties are exact and copies can't crowd the
 graph.
 """
 
@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Neighbours asked for, edges a node, beam, relaxation, vectors a shard, queries a block.
-NEAREST, DEGREE, BEAM, ALPHA, SHARD, BLOCK = 5, 20, 48, 1.2, 4096, 512
+#: Neighbours asked for, edges a node, beam, relaxation, queries a block.
+NEAREST, DEGREE, BEAM, ALPHA, BLOCK = 5, 20, 48, 1.2, 512
+#: Vectors a shard (with the beam above, larger ones find less: see README), blocks that a task meets with one shard,
+#: tasks of the search at most.
+SHARD, TURN, TASKS = 4096, 16, 20_000
 
 
 def greedy(unit: np.ndarray, edges: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,85 +120,103 @@ def build(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
 
 
 def _index(parts):
-    """Vectors of whole shards -> one row a shard with its graph."""
+    """The vectors of one shard -> one row with its graph."""
     import pandas as pd
 
-    frames = [p.to_pandas() for p in parts]
+    frames = [p.to_pandas() for p in parts if p.num_rows]
     if not frames:
         return
-    for shard, own in pd.concat(frames, ignore_index=True).groupby("shard", sort=True):
-        own = own.sort_values("node")
-        raw = np.stack(own["v"].to_numpy()).astype(np.float64)
-        unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-        edges, entry = build(unit)
-        row = [pa.array([int(shard)], pa.int64()), pa.array([len(own)], pa.int32())]
-        row += [pa.array([x.tobytes()], pa.binary()) for x in (own["node"].to_numpy(np.int64), np.stack(own["v"].to_numpy()).astype(np.float32), edges.astype(np.int32), entry.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(row, names=["shard", "n", "nodes", "raw", "edges", "entry"])
+    own = pd.concat(frames, ignore_index=True).sort_values("node")
+    raw = np.stack(own["v"].to_numpy()).astype(np.float32)
+    wide = raw.astype(np.float64)
+    edges, entry = build((wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32))
+    row = [pa.array([int(own["shard"].iloc[0])], pa.int32()), pa.array([len(own)], pa.int32())]
+    row += [pa.array([x.tobytes()], pa.binary()) for x in (own["node"].to_numpy(np.int64), raw, edges.astype(np.int32), entry.astype(np.int32))]
+    yield pa.RecordBatch.from_arrays(row, names=["shard", "n", "nodes", "raw", "edges", "entry"])
 
 
 def _search(k: int, beam: int):
+    """Rows of a shard, its graph first and then blocks of queries -> (q_node, node, score)."""
+
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                raw = np.frombuffer(r["raw"], np.float32).reshape(r["n"], -1)
-                nodes = np.frombuffer(r["nodes"], np.int64)
-                edges = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1).astype(np.int64)
-                unit = (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
-                q_ids, q = np.frombuffer(r["q_nodes"], np.int64), np.frombuffer(r["q_raw"], np.float32).reshape(-1, raw.shape[1])
-                q64 = q.astype(np.float64)
-                q_unit = (q64 / np.linalg.norm(q64, axis=1, keepdims=True)).astype(np.float32)
-                met, _ = greedy(unit, edges, np.frombuffer(r["entry"], np.int32).astype(np.int64), q_unit, beam)
+            for i in range(batch.num_rows):
+                r = {name: batch.column(name)[i].as_py() for name in ("nodes", "raw", "edges", "entry")}
+                v = np.frombuffer(r["raw"], np.float32).reshape(len(r["nodes"]) // 8, -1)
+                norm = np.linalg.norm(v.astype(np.float64), axis=1)
+                if r["edges"] is not None:
+                    nodes, raw, raw_norm = np.frombuffer(r["nodes"], np.int64), v, norm
+                    unit = (raw / norm[:, None]).astype(np.float32)
+                    edges = np.frombuffer(r["edges"], np.int32).reshape(len(nodes), -1)
+                    entry = np.frombuffer(r["entry"], np.int32)
+                    continue
+                met, _ = greedy(unit, edges, entry, (v / norm[:, None]).astype(np.float32), beam)
                 top = met[:, : 4 * k]
-                v = raw[np.maximum(top, 0)].astype(np.float64)
-                exact = np.einsum("ad,akd->ak", q64, v) / (np.linalg.norm(q64, axis=1)[:, None] * np.linalg.norm(v, axis=2))
+                exact = np.einsum("ad,akd->ak", v.astype(np.float64), raw[np.maximum(top, 0)].astype(np.float64)) / (norm[:, None] * raw_norm[np.maximum(top, 0)])
                 exact[top < 0] = -np.inf
                 keep = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
                 score, at = np.take_along_axis(exact, keep, 1), np.take_along_axis(top, keep, 1)
                 ok = at >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ok.sum(1))), pa.array(nodes[at[ok]]), pa.array(score[ok])], names=["q_node", "node", "score"])
+                ids = np.frombuffer(r["nodes"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(nodes[at[ok]]), pa.array(score[ok])], names=["q_node", "node", "score"])
 
     return run
 
 
 def _blocks(parts):
-    """Query vectors of whole blocks -> one row a block."""
+    """The query vectors of one block -> one row."""
     import pandas as pd
 
-    frames = [p.to_pandas() for p in parts]
+    frames = [p.to_pandas() for p in parts if p.num_rows]
     if not frames:
         return
-    for _, own in pd.concat(frames, ignore_index=True).groupby("block", sort=True):
-        row = [own["node"].to_numpy(np.int64).tobytes(), np.stack(own["v"].to_numpy()).astype(np.float32).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["q_nodes", "q_raw"])
+    own = pd.concat(frames, ignore_index=True)
+    row = [pa.array([int(own["block"].iloc[0])], pa.int32()), pa.array([int(own["size"].iloc[0])], pa.int32())]
+    row += [pa.array([x.tobytes()], pa.binary()) for x in (own["node"].to_numpy(np.int64), np.stack(own["v"].to_numpy()).astype(np.float32))]
+    yield pa.RecordBatch.from_arrays(row, names=["block", "size", "nodes", "raw"])
+
+
+def _dealt(vectors: DataFrame, each: int, name: str, salt: int) -> tuple[DataFrame, DataFrame, int]:
+    """(vectors with a number that stands for one length and hash, the lengths' (size, base, parts), numbers in all): about
+    ``each`` vectors a number."""
+    sizes = vectors.groupBy("size").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / each).cast("int"))
+    spaces = cut(sizes.withColumn("base", F.sum("parts").over(W.orderBy("size")).cast("int") - F.col("parts")).select("size", "base", "parts"))  # a row for each length
+    total = spaces.agg(F.sum("parts")).first()[0] or 0
+    number = F.col("base") + F.pmod(F.xxhash64("node", F.lit(salt)), F.col("parts")).cast("int")
+    return vectors.join(spaces, "size").withColumn(name, number).drop("base", "parts"), spaces, total
 
 
 def nearest(vectors: DataFrame, k: int = NEAREST, every: int = 50, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score: each query's k nearest found.
 
-    Queries are the rows whose vec_id is divisible by ``every``. Vectors that are null, empty, all zero, of
-    another length than most (the least length among the most frequent), or hold null or non-finite components
-    take no part; neither do null ids. Rows that repeat an id with an equal vector count once."""
+    Queries are the rows whose vec_id is divisible by ``every``. Vectors that are null, empty, all zero, or hold null or
+    non-finite components take no part; neither do null ids. Vectors of different lengths have no cosine: a query's
+    candidates are those of its own length. Rows that repeat an id with an equal vector count once.
+    ``shard`` is the number of vectors a shard, about."""
     d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     d = d.where(F.col("vec_id").isNotNull() & sound).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))
-    sizes = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
-        return d.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = cut(d.where(F.size("v") == sizes["n"]).distinct())
+    d = cut(d.distinct())
     # a class of equal vectors is known by its least id; its k + 1 least ids are all that any answer needs
-    classes = cut(d.groupBy("v").agg(F.min("vec_id").alias("node")))
+    classes = cut(d.groupBy("v").agg(F.min("vec_id").alias("node")).withColumn("size", F.size("v")))
     least = d.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("i") <= k + 1)
     members = cut(least.join(classes, "v").select("node", F.col("vec_id").alias("member")))
     queries = cut(d.where(F.col("vec_id") % every == 0).join(classes, "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q_node")))
-    n = classes.count()
-    shards = max(1, -(-n // shard))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards))).repartition(shards, "shard")
-    index = cut(dealt.mapInArrow(_index, "shard long, n int, nodes binary, raw binary, edges binary, entry binary"))
+    dealt, spaces, shards = _dealt(classes, shard, "shard", 0)
     asked = classes.join(queries.select(F.col("q_node").alias("node")).distinct(), "node", "left_semi")
-    n_blocks = max(1, -(-asked.count() // BLOCK))
-    blocks = cut(asked.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_blocks))).repartition(n_blocks, "block").mapInArrow(_blocks, "q_nodes binary, q_raw binary"))
-    sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    found = sent.join(index, "shard").repartition(max(shards, n_blocks), "shard", "q_nodes").mapInArrow(_search(k, beam), "q_node long, node long, score double")
+    asked, _, n_blocks = _dealt(asked, BLOCK, "block", 1)
+    if not n_blocks:
+        return d.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = cut(dealt.select("shard", "node", "v").repartitionById(shards, "shard").mapInArrow(_index, "shard int, n int, nodes binary, raw binary, edges binary, entry binary"))
+    blocks = cut(asked.select("block", "size", "node", "v").repartitionById(n_blocks, "block").mapInArrow(_blocks, "block int, size int, nodes binary, raw binary"))
+    # a task holds one shard's graph and meets TURN blocks after it, so a graph travels once for so many blocks
+    turns = -(-n_blocks // TURN)
+    sent = blocks.join(spaces, "size").withColumn("shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1)))
+    sent = sent.select((F.col("shard").cast("long") * turns + F.floor(F.col("block") / TURN)).alias("task"), "nodes", "raw", F.lit(None).cast("binary").alias("edges"), F.lit(None).cast("binary").alias("entry"))
+    graphs = index.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))).select((F.col("shard").cast("long") * turns + F.col("turn")).alias("task"), "nodes", "raw", "edges", "entry")
+    width = min(shards * turns, TASKS)
+    lined = graphs.union(sent).repartitionById(width, F.pmod("task", F.lit(width)).cast("int")).sortWithinPartitions("task", F.col("edges").isNull())
+    found = lined.select("nodes", "raw", "edges", "entry").mapInArrow(_search(k, beam), "q_node long, node long, score double")
     # the best classes of a query vector over all shards, then their members for each query id
     by_score = W.partitionBy("q_node").orderBy(F.desc("score"), "node")
     best = cut(found.withColumn("i", F.row_number().over(by_score)).where(F.col("i") <= k + 1).select("q_node", "node", "score"))
