@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, licenses, minhash, packing, quality, secrets, toxicity, urlfilter
+from . import ann, blocknames, bpe, langid, lexical, licenses, minhash, packing, quality, repair, secrets, toxicity, urlfilter
 from .common import documents
 
 
@@ -56,6 +56,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.groups(documents(spark, sf_dir))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_best_fit_packing,
         op10_quality_rules,
+        op11_block_naming,
+        op12_conversation_repair,
+        op13_reversed_search,
     )
 }
 
@@ -101,4 +116,21 @@ b AS (SELECT p, CASE WHEN v > 0 THEN least(1000, greatest(1, p * (1 - p) / v - 1
 q AS (SELECT source, (x + p * k) / (n + k) > {quality.MAX_HOST_RATE} AS host_failed FROM h, b)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR own_failed OR coalesce(host_failed, false)) AS kept FROM f LEFT JOIN q USING (source)"""
 
-ORACLES: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op6_url_cascade": urlfilter.oracle(), "op10_quality_rules": OP10_SQL}
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(k) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY k ORDER BY n DESC, doc_id)"""
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = rf"""
+WITH i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+a AS (SELECT doc_id, {_TERMS} AS l FROM documents),
+s AS (SELECT count(*) FILTER (len(l) > 0) AS big_n, sum(len(l)) :: BIGINT AS big_l FROM a),
+c AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(l) AS t FROM a) WHERE t IN (SELECT t FROM i) GROUP BY 1, 2),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) :: BIGINT AS w FROM c, s GROUP BY 1),
+m AS (SELECT doc_id, 10 + (90 * len(l) * big_n) // big_l AS m FROM a, s WHERE len(l) > 0),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) :: BIGINT AS score FROM i JOIN c USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) :: INTEGER AS rank, doc_id, score FROM x WHERE score > 0) WHERE rank <= 10"""
+
+ORACLES: dict[str, str] = {"op11_block_naming": OP11_SQL, "op13_reversed_search": OP13_SQL, "op2_minhash_dedup": OP2_SQL, "op6_url_cascade": urlfilter.oracle(), "op10_quality_rules": OP10_SQL}
