@@ -116,11 +116,11 @@ def fingerprint(entity_type: Column, value: Column, secret: str, width: int = 12
     return F.substring(F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(F.sha2(message, 256))), 256), 1, width)
 
 
-def literal_pattern(value: Column) -> Column:
-    """Matches the value literally in any case, not inside a longer word where it begins or ends with a letter or digit."""
+def literal_pattern(value: Column, ignore_case: bool = True) -> Column:
+    """Matches the value literally, in any case unless told otherwise, not inside a longer word where it begins or ends with a letter or digit."""
     edge = lambda c: F.when(F.regexp_like(c, F.lit(r"^[\p{L}\p{N}]$")), r"\b").otherwise("")
     quoted = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.concat(F.lit("(?iU)"), edge(F.substring(value, 1, 1)), quoted, edge(F.substring(value, -1, 1)))
+    return F.concat(F.lit("(?iU)" if ignore_case else "(?U)"), edge(F.substring(value, 1, 1)), quoted, edge(F.substring(value, -1, 1)))
 
 
 def fold(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
+from ..functions.columns import let, running
 
 MAX_CHARS = 8000
 #: Marks a cut, followed by CUT_HERE. Where a text holds this character itself, OWN follows it until the text is cut.
@@ -22,8 +22,8 @@ def pieces(text: Column, separator: str) -> Column:
 
 
 def by_length(text: Column, size: int) -> Column:
-    n = F.ceil(F.length(text) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    """Runs of ``size`` characters, from one pass over the text (a substring would be looked for from the text's start)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def atoms(text: Column, size: int) -> Column:
@@ -33,38 +33,46 @@ def atoms(text: Column, size: int) -> Column:
     return F.flatten(F.transform(pieces(text, PARAGRAPH), paragraph))
 
 
-def sizes(lengths: Column, size: int) -> Column:
-    """Lengths of the chunks that atoms of these lengths fill in turn."""
-    zero = F.struct(F.lit(0).alias("open"), F.lit([]).cast("array<int>").alias("done"))
+def filled(lengths: Column, size: int) -> Column:
+    """array<int>: the number of the chunk that each atom of these lengths goes into, as chunks are filled in turn."""
+    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("no"))
 
     def step(a, n):
         full = (a["open"] > 0) & (a["open"] + n > size)
-        return F.struct(F.when(full, n).otherwise(a["open"] + n).cast("int").alias("open"), F.when(full, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]).alias("done"))
+        no = F.when(full, a["no"] + 1).otherwise(a["no"]).cast("int")
+        return F.struct(F.when(full, n).otherwise(a["open"] + n).cast("int").alias("open"), no.alias("no")), no
 
-    return F.aggregate(lengths, zero, step, lambda a: F.when(a["open"] > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    return let(lengths, lambda n: running(n, zero, "int", step))  # evaluated once, not for each part of the fold
 
 
 def split(text: Column, max_chars: int = MAX_CHARS) -> Column:
-    """array<string> of pieces of at most max_chars that join to the text; none for null and empty texts."""
+    """array<string> of pieces of at most max_chars that join to the text; none for null and empty texts. The work is linear in
+    the text: chunks are joined from slices of the array of atoms, never cut out by their place in the text."""
     if max_chars < 1:
         raise ValueError(f"max_chars must be positive, got {max_chars}")
 
-    def cut(n: Column) -> Column:
-        zero = F.struct(F.lit(1).alias("at"), F.lit([]).cast("array<string>").alias("out"))
-        return F.aggregate(n, zero, lambda a, k: F.struct((a["at"] + k).cast("int").alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"], k))).alias("out")), lambda a: a["out"])
+    def packed(a: Column) -> Column:
+        def joined(no: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(0), F.size(no) - 1), lambda i: (i == 0) | (F.get(no, i) != F.get(no, i - 1)))
+            piece = lambda f, k: F.array_join(F.slice(a, F.get(f, k) + 1, F.coalesce(F.get(f, k + 1), F.size(no)) - F.get(f, k)), "")
+            return let(firsts, lambda f: F.transform(F.sequence(F.lit(0), F.size(f) - 1), lambda k: piece(f, k)))
+
+        return let(filled(F.transform(a, lambda x: F.length(x)), max_chars), joined)
 
-    lengths = F.transform(atoms(text, max_chars), lambda x: F.length(x))
     none = F.lit([]).cast("array<string>")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.length(text) <= max_chars, F.array(text)).otherwise(let(sizes(lengths, max_chars), cut))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.length(text) <= max_chars, F.array(text)).otherwise(let(atoms(text, max_chars), packed))
+
+
+def placed(parts: Column) -> Column:
+    """array<struct<chunk_no, chunk_start, text>> of chunks in their order."""
+    step = lambda at, t: ((at + F.length(t)).cast("int"), F.struct(at.alias("chunk_start"), t.alias("text")))
+    numbered = lambda x, i: F.struct(i.alias("chunk_no"), x["chunk_start"].alias("chunk_start"), x["text"].alias("text"))
+    return F.transform(let(parts, lambda p: running(p, F.lit(0), "struct<chunk_start:int,text:string>", step)), numbered)
 
 
 def chunks(df: DataFrame, *keys: str, text: str = "text", max_chars: int = MAX_CHARS, outer: bool = False) -> DataFrame:
     """(keys, chunk_no, chunk_start, text): a row for each chunk. outer: null and empty texts give a row of nulls."""
-    parts = df.select(*keys, split(F.col(text), max_chars).alias("p"))
-    zero = F.lit([]).cast("array<struct<chunk_no:int,chunk_start:int,text:string>>")
-    start = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["chunk_start"] + F.length(F.get(acc, F.size(acc) - 1)["text"]), F.lit(0)).cast("int")
-    placed = F.aggregate("p", zero, lambda acc, t: F.concat(acc, F.array(F.struct(F.size(acc).alias("chunk_no"), start(acc).alias("chunk_start"), t.alias("text")))))
-    return parts.select(*keys, (F.explode_outer if outer else F.explode)(placed).alias("c")).select(*keys, "c.*")
+    return df.select(*keys, (F.explode_outer if outer else F.explode)(placed(split(F.col(text), max_chars))).alias("c")).select(*keys, "c.*")
 
 
 def rejoin(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -125,29 +125,69 @@ def spans_of(
     mask_malformed: bool = False,
     patterns: Iterable[tuple] = P.PATTERNS,
     extra: Iterable[Callable[[Column], Column]] = (),
+    found: Iterable[Column] = (),
 ) -> Column:
     """All private values of a text: patterns, labelled fields and the caller's own detectors (each a function of the text
-    column to an array of spans, a pandas UDF's for instance), over the threshold, not inside labels, overlaps resolved.
+    column to an array of spans), over the threshold, not inside labels, overlaps resolved. found: columns of spans that are there
+    already. Python functions need a stage of their own, which detect gives them; here detectors are expressions.
 
     patterns: a table of entries (entity type, name, Java expression, score, substring that must stand in the text or None
     if it needs a digit, validator ``jmbg``, ``iban``, ``luhn`` or None); entries whose type isn't in entities are left out."""
     wanted = [*entities, *(["MONEY_AMOUNT"] if detect_money else [])]
     entries = [e for e in (*patterns, *(P.MONEY if detect_money else ())) if e[0] in wanted]
 
-    def all_of(f: Column) -> Column:
-        arrays = [pattern_spans(text, e, mask_malformed) for e in entries if e[4]] + [field_spans(f)] + [d(text) for d in extra]
+    given = F.concat(no_spans(), *[F.coalesce(c, no_spans()) for c in (*[d(text) for d in extra], *found)])
+
+    def all_of(x: Column) -> Column:
+        f = x["fields"]
+        arrays = [pattern_spans(text, e, mask_malformed) for e in entries if e[4]] + [field_spans(f), x["given"]]
         # entries without a substring of their own all need a digit: most chunks skip them after one look
         numeric = [pattern_spans(text, e, mask_malformed) for e in entries if not e[4]]
         if numeric:
             arrays.append(F.when(F.regexp_like(text, F.lit(r"\p{Nd}")), F.concat(*numeric)).otherwise(no_spans()))
         return resolve(drop_labels(F.filter(F.concat(*arrays), lambda s: (s["score"] >= threshold) & s["entity_type"].isin(wanted)), f))
 
-    return F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S")), let(fields(text), all_of)).otherwise(no_spans())
+    return F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S")), let(F.struct(fields(text).alias("fields"), given.alias("given")), all_of)).otherwise(no_spans())
+
+
+#: What a model gives for each text: places in code points, end exclusive.
+MODEL_SPANS = "array<struct<entity_type:string,start:int,end:int,score:double>>"
+
+
+def model_detector(model: Callable, kind: str = "arrow") -> Callable[[Column], Column]:
+    """A detector of the caller's own Python model, for detect's ``extra``.
+
+    model takes a batch of texts and gives for each an array of (entity_type, start, end, score), or null: a pyarrow array to a
+    pyarrow array (``arrow``), or a pandas series to a series of lists (``pandas``)."""
+    wrap = {"arrow": F.arrow_udf, "pandas": F.pandas_udf}
+    if kind not in wrap:
+        raise ValueError(f"kind must be 'arrow' or 'pandas', got {kind!r}")
+    return wrap[kind](model, MODEL_SPANS)
+
+
+def checked(text: Column, given: Column) -> Column:
+    """Spans with their values read from the text, of those given that have a type, a score and a place inside the text."""
+
+    def good(n: Column) -> Column:
+        fits = lambda s: F.coalesce(s["entity_type"].isNotNull() & s["score"].isNotNull() & ~F.isnan(s["score"]) & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= n), F.lit(False))
+        return F.transform(F.filter(given, fits), lambda s: span(s["entity_type"], s["start"], s["end"], s["score"], F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+
+    return F.coalesce(let(F.length(text), good), no_spans())
+
+
+def detect(df: DataFrame, text: str = "text", spans: str = "spans", *, known: DataFrame | None = None, extra: Iterable[Callable[[Column], Column]] = (), **options) -> DataFrame:
+    """df with its array of spans. known: a table of values (entity_type, value) to be found as well, see ``known.find``.
 
+    extra: the caller's own detectors, functions of the text column to spans: expressions, Arrow or pandas UDFs (see
+    model_detector). All of them run in a stage of their own, a column each, before the expressions that
+    resolve: a UDF sees a text once, in batches. Spans outside the text, without a type or without a score are dropped."""
+    if known is not None:
+        from .known import find
 
-def detect(df: DataFrame, text: str = "text", spans: str = "spans", **options) -> DataFrame:
-    """df with its array of spans."""
-    return df.withColumn(spans, spans_of(F.col(text), **options))
+        return detect(find(df, known, text=text, into="_known"), text, spans, extra=(*extra, lambda _: F.col("_known")), **options).drop("_known")
+    own = {f"_extra_{i}": d(F.col(text)) for i, d in enumerate(extra)}
+    staged = df.withColumns(own) if own else df
+    return staged.withColumn(spans, spans_of(F.col(text), found=[checked(F.col(text), F.col(name)) for name in own], **options)).drop(*own)
 
 
 def explode_spans(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:

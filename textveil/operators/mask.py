@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fold, let, literal_pattern, match_key
+from ..functions.joins import HELD, meet
 from ..functions.lineage import cut
 from . import chunk, detect, review, vault
-
-
-#: A character that is neither white space nor a plain letter or digit.
-SIGN = r"(?U)([^\s\p{L}\p{Nd}])"
+from .search import corpus_leaks
 
 
 def substitute(text: Column, spans: Column, placeholders: Column) -> Column:
@@ -31,7 +31,7 @@ def forms_of(entries: Column, seq: Column | None) -> Column:
     visible = F.filter(F.coalesce(entries, F.lit([]).cast("array<struct<first_seq:int,first_start:int,entity_type:string,idx:bigint,placeholder:string,forms:array<struct<variant:string,seen:int>>>>")), lambda e: vault.is_visible(e, seq))
 
     def own(e):
-        some = e["forms"] if seq is None else F.filter(e["forms"], lambda f: f["seen"] <= seq)
+        some = e["forms"] if seq is None else F.filter(e["forms"], lambda f: F.coalesce(f["seen"] <= seq, F.lit(True)))
         return F.transform(some, lambda f: F.struct(e["placeholder"].alias("placeholder"), f["variant"].alias("variant")))
 
     return F.flatten(F.transform(visible, own))
@@ -77,26 +77,39 @@ def mask(
 
     Masked rows have all columns of df, and masked_text, approved, declined, sealed, leaks and entity_counts. sweep_scope:
     ``causal`` sweeps a row with values first seen in it or before; ``full`` with all of its scope. Rows without
-    spans stay as they are. Scopes are documents or conversations: one scope's vault must fit a row."""
+    spans stay as they are. Scopes are documents or conversations: one scope's vault must fit a row.
+
+    A null in a scope column is a scope like any other: its rows share a vault. A row whose seq is null is swept with all of its
+    scope, and what is found in it counts as first seen before all else. masked_text is null where a text could not be masked, and
+    leaks is null where nobody looked: guard holds both back."""
     if not scope:
         raise ValueError("a vault of the whole corpus doesn't fit a row: use mask_corpus")
     if sweep_scope not in ("causal", "full"):
         raise ValueError(f"sweep_scope must be 'causal' or 'full', got {sweep_scope!r}")
-    judged = cut(review.decide(df, decisions, spans=spans, confirm_below=confirm_below))  # detection runs once
-    found = mentions_of(judged, scope)
-    minted = cut(vault.mint(found, scope, match=match, secret=secret))
-    spelled = cut(vault.variants(found, minted, scope, match))
-    held = vault.entries(minted, scope, spelled)
-    names = vault_names(minted, scope)
-    rows = judged.join(held, scope, "left").join(names, scope, "left")
+    keyed = df if scope == [HELD] else df.withColumn(HELD, F.struct(*scope))
+    judged = cut(review.decide(keyed, decisions, spans=spans, confirm_below=confirm_below))  # detection runs once
+    found = mentions_of(judged, [HELD])
+    minted = cut(vault.mint(found, [HELD], match=match, secret=secret))
+    spelled = cut(vault.variants(found, minted, [HELD], match))
+    rows = judged.join(vault.entries(minted, [HELD], spelled), HELD, "left").join(vault_names(minted, [HELD]), HELD, "left")
     key = lambda s: F.concat_ws("\u0001", s["entity_type"], match_key(s["value"], match))
     rows = rows.withColumn("_names", F.transform("approved", lambda s: F.try_element_at("_by_key", key(s))))
     rows = rows.withColumn("_first", substitute(F.col(text), F.col("approved"), F.col("_names")))
     seq = F.col("seq") if sweep_scope == "causal" else None
     rows = rows.withColumn("_forms", forms_of(F.col("entries"), seq)).withColumn("_swept", sweep(F.col("_first"), F.col("_forms")))
     rows = rows.withColumn("masked_text", F.col("_swept.text")).withColumn("sealed", F.coalesce("_swept.sealed", F.lit([]).cast("array<string>")))
-    rows = rows.withColumn("leaks", F.coalesce(leaks(F.col("masked_text"), F.col("_forms")), F.lit([]).cast("array<string>"))).withColumn("entity_counts", counts(F.col("approved")))
-    return rows.select(*df.columns, "masked_text", "approved", "declined", "sealed", "leaks", "entity_counts"), minted, spelled
+    rows = rows.withColumn("leaks", looked(F.col(text), F.col("approved"), F.col("entries"), F.col("masked_text"), F.col("_forms"))).withColumn("entity_counts", counts(F.col("approved")))
+    out = rows.select(*df.columns, "masked_text", "approved", "declined", "sealed", "leaks", "entity_counts")
+    if scope == [HELD]:
+        return out, minted, spelled
+    plain = lambda t: t.select(f"{HELD}.*", *[c for c in t.columns if c != HELD])
+    return out, plain(minted), plain(spelled)
+
+
+def looked(text: Column, approved: Column, entries: Column, masked: Column, forms: Column) -> Column:
+    """The leaks of a masked text, or null where they can't be known: spans without a vault, or a text without a masked one."""
+    blind = (entries.isNull() & (F.coalesce(F.size(approved), F.lit(1)) > 0)) | (masked.isNull() & text.isNotNull())
+    return F.when(~blind, F.coalesce(leaks(masked, forms), F.lit([]).cast("array<string>")))
 
 
 def vault_names(minted: DataFrame, scope: list[str]) -> DataFrame:
@@ -111,38 +124,52 @@ def counts(spans: Column) -> Column:
     return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(spans, lambda s: s["entity_type"] == k)).cast("long")))
 
 
-def mask_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_chars: int = chunk.MAX_CHARS, options: dict | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Columns that masking makes; carried ones may not be named so.
+MADE = ("text", "masked_text", "spans", "sealed", "leaks", "n_declined")
+
+
+def carried(keep: Iterable[str], *taken: str) -> list[Column]:
+    """One struct of the caller's other columns, which go along as they are; none where none are asked for."""
+    keep = list(keep)
+    if clash := {*MADE, *taken} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are made by masking: rename yours")
+    return [F.struct(*keep).alias("_kept")] if keep else []
+
+
+def mask_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_chars: int = chunk.MAX_CHARS, options: dict | None = None, keep: Iterable[str] = (), **more) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, vault, variants): each document masked chunk by chunk with a vault of its own.
 
-    documents: doc_id, text, masked_text, spans (document offsets), sealed, leaks of the whole text, n_declined.
-    Rows that share a doc_id share its vault, so placeholders stay unambiguous; a row with a null doc_id has its own.
+    documents: doc_id, text, masked_text, spans (document offsets), sealed, leaks of the whole text, n_declined, and the
+    columns named in ``keep``, as they are. Rows that share a doc_id share its vault, so placeholders stay unambiguous; a row with a null doc_id has its own.
     masked_text is null where a text that isn't empty could not be masked; guard holds such rows back."""
-    out, minted, spelled = mask_rows(docs, doc_id=doc_id, text=text, max_chars=max_chars, options=options, **more)
+    out, minted, spelled = mask_rows(docs, doc_id=doc_id, text=text, max_chars=max_chars, options=options, keep=keep, **more)
     own = lambda df: df.select(F.col("_scope.id").alias(doc_id), *[c for c in df.columns if c not in ("_scope", doc_id)])
     return own(out), own(minted), own(spelled)
 
 
-def mask_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_chars: int = chunk.MAX_CHARS, options: dict | None = None, **more) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mask_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_chars: int = chunk.MAX_CHARS, options: dict | None = None, keep: Iterable[str] = (), **more) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As mask_documents, with ``_scope`` (struct<id, row>) instead of doc_id in all three tables. row is set where the id is
     null; structs with equal fields are equal, null ones too, so no row is lost in a join on it."""
     # the row number is fixed by mask's checkpoint, which holds all chunks of all rows; texts without chunks are in _bare
-    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).withColumn("_doc_row", F.monotonically_increasing_id())
-    keyed = keyed.select("_doc_row", F.struct(F.col("_id").alias("id"), F.when(F.col("_id").isNull(), F.col("_doc_row")).alias("row")).alias("_scope"), "text", F.when(F.length("text") == 0, F.col("text")).alias("_bare"))
-    parts = chunk.chunks(keyed, "_doc_row", "_scope", "_bare", max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq")
+    kept = carried(keep, doc_id)
+    along = ["_kept"] * len(kept)
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), *kept).withColumn("_doc_row", F.monotonically_increasing_id())
+    keyed = keyed.select("_doc_row", *along, F.struct(F.col("_id").alias("id"), F.when(F.col("_id").isNull(), F.col("_doc_row")).alias("row")).alias("_scope"), "text", F.when(F.length("text") == 0, F.col("text")).alias("_bare"))
+    parts = on_first(chunk.chunks(keyed, "_doc_row", "_scope", "_bare", *along, max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq"))
     found = detect.detect(parts, **(options or {}))
     rows, minted, spelled = mask(found, ["_scope"], **more)
     moved = F.transform("approved", lambda s: F.struct(s["entity_type"].alias("entity_type"), (s["start"] + F.col("chunk_start")).alias("start"), (s["end"] + F.col("chunk_start")).alias("end"), s["score"].alias("score"), s["value"].alias("value")))
     piece = F.struct("seq", F.col("masked_text").alias("m"), moved.alias("s"), F.col("sealed").alias("x"), F.size("declined").alias("d"), F.col("text").alias("t"))
     # rows lie by scope already, so neither this nor the join with the entries moves them again
-    whole = rows.groupBy("_scope", "_doc_row").agg(F.max("_bare").alias("_bare"), F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), piece))).alias("c"))
+    whole = rows.groupBy("_scope", "_doc_row").agg(F.max("_bare").alias("_bare"), *[F.first(c, ignorenulls=True).alias(c) for c in along], F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), piece))).alias("c"))
     joined = lambda k: F.array_join(F.transform("c", lambda x: x[k]), "")
     bare = F.size("c") == 0
     whole = whole.withColumn("text", F.when(bare, F.col("_bare")).otherwise(joined("t"))).withColumn("masked_text", F.when(bare, F.col("_bare")).when(~F.exists("c", lambda x: x["m"].isNull()), joined("m")))
-    whole = whole.select("_scope", "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined"))
+    whole = whole.select("_scope", *along, "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined"))
+    whole = whole.withColumn("spans", F.coalesce("spans", detect.no_spans()))
     out = whole.join(vault.entries(minted, ["_scope"], spelled), "_scope", "left")
-    out = out.withColumn("leaks", leaks(F.col("masked_text"), forms_of(F.col("entries"), None)))
-    empty = F.lit([]).cast("array<string>")
-    return out.select("_scope", "text", "masked_text", F.coalesce("spans", detect.no_spans()).alias("spans"), F.coalesce("sealed", empty).alias("sealed"), F.coalesce("leaks", empty).alias("leaks"), F.coalesce("n_declined", F.lit(0)).alias("n_declined")), minted, spelled
+    out = out.withColumn("leaks", looked(F.col("text"), F.col("spans"), F.col("entries"), F.col("masked_text"), forms_of(F.col("entries"), None)))
+    return out.select("_scope", "text", "masked_text", "spans", F.coalesce("sealed", F.lit([]).cast("array<string>")).alias("sealed"), "leaks", F.coalesce("n_declined", F.lit(0)).alias("n_declined"), *[f"{c}.*" for c in along]), minted, spelled
 
 
 def guard(masked: DataFrame, on_leak: str = "quarantine") -> tuple[DataFrame, DataFrame]:
@@ -150,54 +177,32 @@ def guard(masked: DataFrame, on_leak: str = "quarantine") -> tuple[DataFrame, Da
     text, is never released; ``raise`` stops the job."""
     if on_leak not in ("quarantine", "raise"):
         raise ValueError(f"on_leak must be 'quarantine' or 'raise', got {on_leak!r}")
-    unsafe = F.coalesce(F.size("leaks") != 0, F.lit(True))
-    if {"text", "masked_text"} <= set(masked.columns):
-        unsafe = unsafe | (F.col("masked_text").isNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
+    unsafe = unsafe_in(masked)
     bad = masked.where(unsafe)
     if on_leak == "raise" and not bad.isEmpty():
         raise ValueError("private values survived masking; refusing to release")
     return masked.where(~unsafe), bad
 
 
+def on_first(parts: DataFrame) -> DataFrame:
+    """Carried columns stand on a document's first chunk alone."""
+    return parts.withColumn("_kept", F.when(F.coalesce("seq", F.lit(0)) == 0, F.col("_kept"))) if "_kept" in parts.columns else parts
+
+
+def unsafe_in(masked: DataFrame) -> Column:
+    """Whether a row must be held back: a leak, nobody looked for leaks, or a text without a masked text."""
+    unsafe = F.coalesce(F.size("leaks") != 0, F.lit(True))
+    if {"text", "masked_text"} <= set(masked.columns):
+        unsafe = unsafe | (F.col("masked_text").isNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
+    return unsafe
+
+
 def redact(df: DataFrame, vault_entries: DataFrame, scope: list[str], text: str, seq: str | None = None) -> DataFrame:
     """df with every value that the scope's vault knows replaced in a third party's text. seq: a column with the row's place in
     its scope, up to which values are known."""
     side = vault_entries.select(*scope, F.col("entries").alias("_entries"))
     forms = forms_of(F.col("_entries"), F.col(seq) if seq else None)
-    return df.join(side, scope, "left").withColumn(text, sweep(F.col(text), forms)["text"]).drop("_entries")
-
-
-def word_keys(value: Column) -> Column:
-    """array<string>: words that stand by themselves in every text in which the value's pattern matches. That is so for
-    a run of word characters between others, and at an edge of the value if the pattern demands a word's edge there. A value
-    without such a word has one key of another kind, its first character that is no plain letter or digit."""
-    open_edge = lambda c: F.regexp_like(c, F.lit(r"(?U)^[\w&&[^\p{L}\p{N}]]$")).cast("int")
-    left, right = open_edge(F.substring(value, 1, 1)), open_edge(F.substring(value, -1, 1))
-    runs = F.split(fold(value), r"(?U)\W+")
-    inner = F.filter(F.slice(runs, left + 1, F.greatest(F.lit(0), F.size(runs) - left - right)), lambda w: w != "")
-    mark = F.regexp_extract(value, SIGN, 1)
-    return F.when(F.size(inner) > 0, F.array_distinct(inner)).when(mark != "", F.array(F.concat(F.lit("\u0001"), fold(mark)))).otherwise(F.lit([]).cast("array<string>"))
-
-
-def text_keys(text: Column) -> Column:
-    """All that word_keys may give for a value in this text."""
-    marks = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(SIGN), F.lit(1))), lambda c: F.concat(F.lit("\u0001"), fold(c)))
-    return F.array_union(F.filter(F.split(fold(text), r"(?U)\W+"), lambda w: w != ""), marks)
-
-
-def corpus_leaks(texts: DataFrame, values: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, variant): texts that hold a value of a corpus-wide list, without a cross join.
-
-    Values are keyed by their rarest word, texts are exploded into distinct words, and candidates that meet on a
-    word are verified. Values without a word are met by their first mark. Null and blank values are in no text."""
-    listed = values.select("variant").where(F.regexp_like("variant", F.lit(r"(?U)\S"))).distinct().withColumn("_w", word_keys(F.col("variant")))
-    vocabulary = listed.select(F.explode("_w").alias("_w")).distinct()
-    # only words of values count; a text's other words go no further than this semi join, whose result is kept for both uses
-    said = cut(texts.select(key, F.explode(text_keys(F.col(text))).alias("_w")).join(vocabulary, "_w", "left_semi"))
-    rare = said.groupBy("_w").agg(F.count(F.lit(1)).alias("n"))
-    keyed = listed.select("variant", F.explode("_w").alias("_w")).join(rare, "_w", "left").groupBy("variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_w"))).alias("m")).select("variant", F.col("m._w").alias("_w"))
-    met = said.join(keyed, "_w").select(key, "variant").distinct().join(texts.select(key, F.col(text).alias("_t")), key)
-    return met.where(F.regexp_like("_t", literal_pattern(F.col("variant")))).select(key, "variant").distinct()
+    return meet(df, side, scope, how="left").withColumn(text, sweep(F.col(text), forms)["text"]).drop("_entries")
 
 
 def mask_corpus(
@@ -212,16 +217,24 @@ def mask_corpus(
     decisions: DataFrame | None = None,
     confirm_below: float = review.CONFIRM_BELOW,
     known: tuple[DataFrame, DataFrame] | None = None,
+    sweep_scope: str = "full",
+    keep: Iterable[str] = (),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, vault, variants): as mask_documents, but with one vault for all documents: a value has the same
     placeholder wherever it stands, numbered by the order of doc_id. ``known`` is the (vault, variants) of earlier calls: its
     values keep their numbers, and its spellings are swept from these documents too.
 
-    Every row is swept with all values. No scope has to fit a row: spans meet the vault by a shuffle join on type and
-    match key, and spellings meet texts by the candidate search of corpus_leaks, which also looks over the whole
-    masked texts at the end. Null and repeated ids, null and empty texts are as in mask_documents."""
-    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).withColumn("_doc", F.monotonically_increasing_id()).withColumn("_bare", F.when(F.length("text") == 0, F.col("text")))
-    parts = chunk.chunks(keyed, "_doc", "_id", "_bare", max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq")
+    sweep_scope ``full``: every row is swept with all values. ``causal``: a row is swept with spellings first seen in it, in a row
+    before it (by doc_id and chunk; null ids first) or in an earlier run, as one vault that grows from text to text would. No scope
+    has to fit a row: spans meet the vault by a shuffle join on type and match key, and spellings meet texts by the
+    search for candidates, where causal is one more condition on the pairs that met; all values, later ones too, are looked
+    for in the whole masked texts at the end. Null and repeated ids, null and empty texts, ``keep`` are as in mask_documents."""
+    if sweep_scope not in ("causal", "full"):
+        raise ValueError(f"sweep_scope must be 'causal' or 'full', got {sweep_scope!r}")
+    kept = carried(keep, doc_id)
+    along = ["_kept"] * len(kept)
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), *kept).withColumn("_doc", F.monotonically_increasing_id()).withColumn("_bare", F.when(F.length("text") == 0, F.col("text")))
+    parts = on_first(chunk.chunks(keyed, "_doc", "_id", "_bare", *along, max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq"))
     rows = cut(review.decide(detect.detect(parts, **(options or {})), decisions, confirm_below=confirm_below).withColumn("_row", F.struct("_id", "_doc", "seq")))
     found = rows.select(F.col("_row").alias("seq"), F.explode("approved").alias("s")).select("seq", F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), F.col("s.value").alias("value"))
     old_vault, old_forms = known or (None, None)
@@ -236,18 +249,26 @@ def mask_corpus(
     first = rows.join(names, "_row", "left").withColumn("_first", substitute(F.col("text"), F.col("approved"), F.transform("approved", lambda s: F.try_element_at("_by_key", key(s)))))
     first = cut(first.drop("_by_key"))
     order = F.struct("first_seq", "first_start", "entity_type", "idx").alias("o")
-    forms = spelled.join(minted.select("entity_type", "idx", "placeholder", order), ["entity_type", "idx"]).select("variant", "variant_no", "placeholder", "o")
+    forms = spelled.join(minted.select("entity_type", "idx", "placeholder", order), ["entity_type", "idx"])
+    if old_forms is None:
+        forms = forms.withColumn("_old", F.lit(False))
+    else:
+        ids = ["entity_type", "idx", "variant"]
+        forms = forms.join(old_forms.select(*ids).distinct().withColumn("_old", F.lit(True)), ids, "left")
+    forms = forms.select("variant", "variant_no", "placeholder", "o", F.col("first_seq").alias("_seen"), F.coalesce("_old", F.lit(False)).alias("_old"))
     met = corpus_leaks(first.select("_row", "_first"), spelled.select("variant"), "_row", "_first").join(forms, "variant")
+    if sweep_scope == "causal":
+        met = met.where(F.col("_old") | (F.col("_seen") <= F.col("_row")))
     own = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("o", "variant_no", "placeholder", "variant"))).alias("_f"))
     swept = sweep(F.col("_first"), F.coalesce(F.transform("_f", lambda f: F.struct(f["placeholder"].alias("placeholder"), f["variant"].alias("variant"))), F.lit([]).cast("array<struct<placeholder:string,variant:string>>")))
     moved = F.transform("approved", lambda s: F.struct(s["entity_type"].alias("entity_type"), (s["start"] + F.col("chunk_start")).alias("start"), (s["end"] + F.col("chunk_start")).alias("end"), s["score"].alias("score"), s["value"].alias("value")))
     done = first.join(own, "_row", "left").withColumn("_swept", swept)
     piece = F.struct("seq", F.col("_swept.text").alias("m"), moved.alias("s"), F.col("_swept.sealed").alias("x"), F.size("declined").alias("d"), F.col("text").alias("t"))
-    whole = done.groupBy("_doc").agg(F.first("_id").alias(doc_id), F.max("_bare").alias("_bare"), F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), piece))).alias("c"))
+    whole = done.groupBy("_doc").agg(F.first("_id").alias(doc_id), F.max("_bare").alias("_bare"), *[F.first(c, ignorenulls=True).alias(c) for c in along], F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), piece))).alias("c"))
     joined = lambda k: F.array_join(F.transform("c", lambda x: x[k]), "")
     bare = F.size("c") == 0
     whole = whole.withColumn("text", F.when(bare, F.col("_bare")).otherwise(joined("t"))).withColumn("masked_text", F.when(bare, F.col("_bare")).when(~F.exists("c", lambda x: x["m"].isNull()), joined("m")))
-    whole = cut(whole.select("_doc", doc_id, "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined")))
+    whole = cut(whole.select("_doc", *along, doc_id, "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined")))
     left = corpus_leaks(whole.select("_doc", "masked_text"), spelled.select("variant"), "_doc", "masked_text").groupBy("_doc").agg(F.array_sort(F.collect_list("variant")).alias("leaks"))
     out = whole.join(left, "_doc", "left")
-    return out.select(doc_id, "text", "masked_text", "spans", "sealed", F.coalesce("leaks", F.lit([]).cast("array<string>")).alias("leaks"), "n_declined"), minted, spelled
+    return out.select(doc_id, "text", "masked_text", "spans", "sealed", F.coalesce("leaks", F.lit([]).cast("array<string>")).alias("leaks"), "n_declined", *[f"{c}.*" for c in along]), minted, spelled

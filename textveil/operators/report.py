@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import match_key
+from ..functions.joins import meet
 
 
 def entity_counts(spans: DataFrame, *keys: str) -> DataFrame:
@@ -33,7 +34,7 @@ def vault_sizes(vault: DataFrame, scope: list[str]) -> DataFrame:
 def safe_detections(spans: DataFrame, vault: DataFrame, scope: list[str], match: str = "normalized") -> DataFrame:
     """Type, score and placeholder of each span, without its value."""
     side = vault.select(*scope, "entity_type", "match_key", "placeholder")
-    return spans.withColumn("match_key", match_key(F.col("value"), match)).join(side, [*scope, "entity_type", "match_key"]).select(*scope, "entity_type", "score", "placeholder")
+    return meet(spans.withColumn("match_key", match_key(F.col("value"), match)), side, scope, ["entity_type", "match_key"]).select(*scope, "entity_type", "score", "placeholder")
 
 
 def left_in_clear(with_money: DataFrame, masked: DataFrame, *keys: str) -> DataFrame:
@@ -61,7 +62,7 @@ def left_by_decision(masked: DataFrame, *keys: str) -> DataFrame:
 def seen_again(mentions: DataFrame, known: DataFrame, scope: list[str], match: str = "normalized") -> DataFrame:
     """The mentions of values that an earlier vault holds."""
     keys = [*scope, "entity_type", "match_key"]
-    return mentions.withColumn("match_key", match_key(F.col("value"), match)).join(known.select(*keys), keys, "left_semi")
+    return meet(mentions.withColumn("match_key", match_key(F.col("value"), match)), known.select(*keys), scope, ["entity_type", "match_key"], "left_semi")
 
 
 def processed(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Mentions: (scope..., seq, start, entity_type, value). Vault rows: (scope..., entity_type, match_key, idx, placeholder,
 original, fingerprint, first_seq, first_start). Variants: (scope..., entity_type, idx, variant, variant_no, first_seq).
-An empty scope is the whole table: seq then has to order all of it (a struct of document and chunk will do).
+An empty scope is the whole table: seq then has to order all of it (a struct of document and chunk will do). A null in a scope
+column is a scope like any other; a null seq comes before all others, and what is first seen there is visible everywhere.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import bare, fingerprint, match_key, placeholder
+from ..functions.joins import meet
 from ..functions.lineage import cut
 
 SECRET = "not a secret: pass your own"
@@ -47,11 +49,11 @@ def mint(mentions: DataFrame, scope: list[str], *, match: str = "normalized", se
     firsts = first_mentions(mentions, scope, match)
     keys = [*scope, "entity_type", "match_key"]
     if known is not None:
-        firsts = firsts.join(known.select(*keys), keys, "left_anti")
+        firsts = meet(firsts, known.select(*keys), scope, ["entity_type", "match_key"], "left_anti")
     out = numbered(firsts, scope)
     if known is not None:
         top = known.groupBy(*scope, "entity_type").agg(F.max("idx").alias("top"))
-        out = out.join(top, [*scope, "entity_type"], "left").withColumn("idx", F.col("idx") + F.coalesce("top", F.lit(0))).drop("top")
+        out = meet(out, top, scope, ["entity_type"], "left").withColumn("idx", F.col("idx") + F.coalesce("top", F.lit(0))).drop("top")
     out = out.withColumn("placeholder", placeholder(F.col("entity_type"), F.col("idx"))).withColumn("fingerprint", fingerprint(F.col("entity_type"), F.col("original"), secret))
     columns = [*keys, "idx", "placeholder", "original", "fingerprint", "first_seq", "first_start"]
     return out.select(*columns) if known is None else known.select(*columns).unionByName(out.select(*columns))
@@ -62,16 +64,16 @@ def variants(mentions: DataFrame, vault: DataFrame, scope: list[str], match: str
     spellings are numbered on."""
     keys = [*scope, "entity_type", "match_key"]
     seen = mentions.withColumn("match_key", match_key(F.col("value"), match)).groupBy(*keys, F.col("value").alias("variant")).agg(F.min(F.struct("seq", "start")).alias("f"))
-    named = seen.join(vault.select(*keys, "idx"), keys)
+    named = meet(seen, vault.select(*keys, "idx"), scope, ["entity_type", "match_key"])
     ids = [*scope, "entity_type", "idx"]
     if known is not None:
-        named = named.join(known.select(*ids, "variant"), [*ids, "variant"], "left_anti")
+        named = meet(named, known.select(*ids, "variant"), scope, ["entity_type", "idx", "variant"], "left_anti")
     order = W.partitionBy(*ids).orderBy("f.seq", "f.start", "variant")
     out = named.withColumn("variant_no", F.row_number().over(order)).select(*ids, "variant", "variant_no", F.col("f.seq").alias("first_seq"))
     if known is None:
         return out
     top = known.groupBy(*ids).agg(F.max("variant_no").alias("top"))
-    out = out.join(top, ids, "left").withColumn("variant_no", F.col("variant_no") + F.coalesce("top", F.lit(0))).drop("top")
+    out = meet(out, top, scope, ["entity_type", "idx"], "left").withColumn("variant_no", F.col("variant_no") + F.coalesce("top", F.lit(0))).drop("top")
     return known.select(*out.columns).unionByName(out)
 
 
@@ -80,20 +82,20 @@ def canonicalized(forms: DataFrame, vault: DataFrame, scope: list[str]) -> DataF
     keys = [*scope, "entity_type", "idx"]
     many = forms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("variant_no", "variant"))).alias("v")).where(F.size("v") > 1)
     spellings = F.transform("v", lambda x: x["variant"])
-    return many.join(vault.select(*keys, "placeholder"), keys).select(*scope, "placeholder", spellings.alias("spellings"), F.get(spellings, F.lit(0)).alias("restored_as"))
+    return meet(many, vault.select(*keys, "placeholder"), scope, ["entity_type", "idx"]).select(*scope, "placeholder", spellings.alias("spellings"), F.get(spellings, F.lit(0)).alias("restored_as"))
 
 
 def in_order(vault: DataFrame, scope: list[str]) -> DataFrame:
     """All entries in the order in which they were minted, with ``n_entries`` of their scope."""
     sizes = vault.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_entries"))
-    rows = vault.join(sizes, scope) if scope else vault.withColumn("n_entries", F.lit(vault.count()))
+    rows = meet(vault, sizes, scope) if scope else vault.withColumn("n_entries", F.lit(vault.count()))
     return rows.orderBy(*scope, "first_seq", "first_start", "entity_type", "idx")
 
 
 def lookup(tokens: DataFrame, vault: DataFrame, scope: list[str], token: str = "token") -> DataFrame:
     """tokens with the vault row of each, found with or without angle brackets (null columns where there is none)."""
     side = vault.withColumn("_bare", bare(F.col("placeholder"))).select(*scope, "_bare", "entity_type", "idx", "original", "fingerprint")
-    return tokens.withColumn("_bare", bare(F.col(token))).join(side, [*scope, "_bare"], "left").drop("_bare")
+    return meet(tokens.withColumn("_bare", bare(F.col(token))), side, scope, ["_bare"], "left").drop("_bare")
 
 
 def cross_run_links(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def carried(vault: DataFrame, mentions: DataFrame, scope: list[str], match: str
     """The vault with ``in_this_input``: whether the entry's value is among these mentions or only carried over."""
     keys = [*scope, "entity_type", "match_key"]
     here = mentions.select(*scope, "entity_type", match_key(F.col("value"), match).alias("match_key")).distinct().withColumn("_here", F.lit(True))
-    return vault.join(here, keys, "left").withColumn("in_this_input", F.coalesce("_here", F.lit(False))).drop("_here")
+    return meet(vault, here, scope, ["entity_type", "match_key"], "left").withColumn("in_this_input", F.coalesce("_here", F.lit(False))).drop("_here")
 
 
 def entries(vault: DataFrame, scope: list[str], forms: DataFrame) -> DataFrame:
@@ -113,8 +115,8 @@ def entries(vault: DataFrame, scope: list[str], forms: DataFrame) -> DataFrame:
     keys = [*scope, "entity_type", "idx"]
     spelled = forms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("variant_no", "variant", "first_seq"))).alias("v"))
     row = F.struct("first_seq", "first_start", "entity_type", "idx", "placeholder", F.transform("v", lambda x: F.struct(x["variant"].alias("variant"), x["first_seq"].alias("seen"))).alias("forms"))
-    return vault.join(spelled, keys).groupBy(*scope).agg(F.array_sort(F.collect_list(row)).alias("entries"))
+    return meet(vault, spelled, scope, ["entity_type", "idx"]).groupBy(*scope).agg(F.array_sort(F.collect_list(row)).alias("entries"))
 
 
 def is_visible(entry: Column, seq: Column | None) -> Column:
-    return F.lit(True) if seq is None else entry["first_seq"] <= seq
+    return F.lit(True) if seq is None else F.coalesce(entry["first_seq"] <= seq, F.lit(True))

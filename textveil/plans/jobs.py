@@ -7,16 +7,50 @@ from pyspark.sql import functions as F
 
 from ..operators import conversation, detect, mask, restore, vault
 from ..operators.chunk import MAX_CHARS
-from ..sources import write_masked, write_vault
+from ..functions.joins import meet
+from ..functions.lineage import cut
+from ..sources import publish, refuse_existing
+from ..sources.files import write_files
 
 
-def mask_corpus(docs: DataFrame, out: str, vault_out: str, *, on_leak: str = "quarantine", overwrite: bool = False, max_chars: int = MAX_CHARS, **options) -> DataFrame:
-    """Masks documents and writes what is safe; returns the quarantine (doc_id, number of leaks). Leaks are looked for before
-    anything is written. The vault goes to a place of its own."""
-    masked, minted, spelled = mask.mask_documents(docs, max_chars=max_chars, **options)
+def mask_corpus(
+    docs: DataFrame,
+    out: str,
+    vault_out: str,
+    *,
+    one_vault: bool = False,
+    known: tuple[DataFrame, DataFrame] | None = None,
+    keep: tuple[str, ...] = (),
+    files: bool = False,
+    root: str = "",
+    on_leak: str = "quarantine",
+    overwrite: bool = False,
+    max_chars: int = MAX_CHARS,
+    **options,
+) -> DataFrame:
+    """Masks documents and writes what is safe; returns the quarantine (doc_id, number of leaks; null where nobody could look).
+
+    one_vault: one vault for all documents (with ``known``, the vault and variants of earlier runs, it goes on) instead of one for
+    each. keep: other columns of docs that are written along, as they are: name none that holds private values. files: a masked
+    copy of each file (doc_id is its path, kept below ``root``) instead of a table.
+
+    Destinations are looked at before any work is done, leaks before anything is written, and masked texts and vault, which
+    goes to a place of its own, are written both or neither."""
+    spark = docs.sparkSession
+    if known and not one_vault:
+        raise ValueError("earlier vaults can only be gone on with by one vault for all documents (one_vault=True)")
+    if not overwrite:
+        refuse_existing(spark, vault_out, *([] if files else [out]))
+    work = (lambda **x: mask.mask_corpus(docs, known=known, **x)) if one_vault else (lambda **x: mask.mask_documents(docs, **x))
+    masked, minted, spelled = work(max_chars=max_chars, keep=keep, **options)
+    masked = cut(masked)  # read by the guard, by the writer and by whoever looks into the quarantine
     released, held = mask.guard(masked, on_leak)
-    write_vault(minted, spelled, vault_out, overwrite=overwrite)
-    write_masked(released.select("doc_id", "masked_text"), out, overwrite=overwrite)
+    safe = released.select("doc_id", "masked_text", *keep)
+    tables = {f"{vault_out}/vault": minted, f"{vault_out}/variants": spelled}
+    if files:
+        publish(spark, tables, overwrite=overwrite, before=lambda: write_files(spark, safe, out, root=root, overwrite=overwrite))
+    else:
+        publish(spark, {out: safe, **tables}, overwrite=overwrite)
     return held.select("doc_id", F.size("leaks").alias("n_leaks"))
 
 
@@ -31,16 +65,21 @@ def round_trip(docs: DataFrame, **options) -> DataFrame:
 
 def mask_conversations(turns: DataFrame, *, roles: tuple[str, ...] | None = ("user",), **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(masked turns, vault, variants) of turns (conv_id, turn, role, text): one vault a conversation, each turn seeing the
-    values of its own and earlier turns. roles: whose turns are masked (None: all)."""
+    values of its own and earlier turns. roles: whose turns are masked (None: all).
+
+    Turns with a null conv_id are one conversation. A null turn is swept with all that its conversation knows, and what stands in it
+    is known to every turn. Repeated turns see each other. Turns of other roles, and of none where roles are given, don't come back."""
     own = turns.where(F.col("role").isin(*roles)) if roles else turns
     found = detect.detect(own.withColumn("seq", F.col("turn").cast("int")))
     return mask.mask(found, ["conv_id"], **options)
 
 
 def requests_of(masked: DataFrame, replies: DataFrame, system_prompt: str, max_turns: int = conversation.MAX_TURNS, resets: DataFrame | None = None) -> DataFrame:
-    """Outbound requests of masked turns: only released turns that got a reply (conv_id, turn, answer) enter later histories.
+    """Outbound requests of masked turns: only released turns that got a reply (conv_id, turn, answer) enter later histories. What
+    the guard would hold back is in no request. Null conv_ids and turns meet their replies like others.
     resets (conv_id, turn): turns before which the conversation's thread, not its vault, was forgotten."""
-    rows = masked.select("conv_id", "turn", F.col("masked_text").alias("question"), (F.size("leaks") == 0).alias("released")).join(replies.select("conv_id", "turn", "answer"), ["conv_id", "turn"], "left")
+    asked = masked.select("conv_id", "turn", F.col("masked_text").alias("question"), (~mask.unsafe_in(masked)).alias("released"))
+    rows = meet(asked, replies.select("conv_id", "turn", "answer"), ["conv_id", "turn"], how="left")
     rows = rows.withColumn("ok", F.col("released") & F.col("answer").isNotNull())
     keys = ["conv_id"]
     if resets is not None:

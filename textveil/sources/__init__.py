@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,43 @@ def write_vault(vault: DataFrame, variants: DataFrame, path: str, *, overwrite:
     variants.write.mode(mode).parquet(f"{path}/variants")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def refuse_existing(spark: SparkSession, *paths: str) -> None:
+    """An error before any work is done, where a destination exists."""
+    for path in paths:
+        fs, where = _hadoop(spark, path)
+        if fs.exists(where):
+            raise FileExistsError(f"{path} exists: pass overwrite=True to replace it")
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], *, overwrite: bool = False, fmt: str = "parquet", before: Callable[[], None] | None = None) -> None:
+    """Writes all tables or none: each beside its place first, then, when all are written, moved there. Refuses destinations that
+    exist unless told to overwrite, and leaves nothing behind where it fails. before: runs between writing and moving."""
+    if not overwrite:
+        refuse_existing(spark, *tables)
+    staged = {path: f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}" for path in tables}
+    try:
+        for path, df in tables.items():
+            df.write.format(fmt).save(staged[path])
+        if before:
+            before()
+        for path, stage in staged.items():
+            fs, where = _hadoop(spark, path)
+            if overwrite:
+                fs.delete(where, True)
+            fs.mkdirs(where.getParent())
+            if not fs.rename(_hadoop(spark, stage)[1], where):
+                raise OSError(f"could not move the written table to {path}")
+    finally:
+        for stage in staged.values():
+            fs, where = _hadoop(spark, stage)
+            fs.delete(where, True)
+
+
 def append_audit(events: DataFrame, path: str) -> None:
     """Append-only; public and sensitive rows lie in folders of their own, by day."""
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("sensitive", "day").parquet(path)
