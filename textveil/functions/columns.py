@@ -27,7 +27,7 @@ def span(entity_type, start: Column, end: Column, score, value: Column) -> Colum
 
 
 #: Items of an array that are folded together.
-PART = 128
+PART = 256
 
 
 def running(items: Column, start: Column, kind: str, step) -> Column:
@@ -40,8 +40,9 @@ def running(items: Column, start: Column, kind: str, step) -> Column:
             state, out = step(b["state"], x)
             return F.struct(state.alias("state"), F.concat(b["out"], F.array(out)).alias("out"))
 
-        done = F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), F.struct(a["state"].alias("state"), none.alias("out")), one)
-        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+        # put together in the fold's last step: what a transform gives out is copied in full
+        whole = lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out"))
+        return F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), F.struct(a["state"].alias("state"), none.alias("out")), one, whole)
 
     zero = F.struct(start.alias("state"), F.lit([]).cast(f"array<array<{kind}>>").alias("out"))
     parts = F.sequence(F.lit(0), F.ceil(F.size(items) / PART).cast("int") - 1)
