@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import patterns as P
 from ..functions.lineage import shared_folder
-from ..operators import chunk, conversation, detect, mask, report, restore, review, vault
+from ..operators import chunk, conversation, detect, known, mask, report, restore, review, vault
 from ..sources import read_table
-from ..streaming import mask_turns
+from ..streaming import live, mask_turns, sinks, use_rocksdb
 from . import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -381,13 +381,14 @@ def masked_conversations(spark, sf_dir):
 @query("SELECT conv_id, cast(turn as int) AS turn, text || chr(10) || 'Email: <EMAIL_ADDRESS_001>' AS masked_text, 0 AS n_leaks FROM conversations")
 def stream_vault(spark, sf_dir):
     """The live job over the conversations' files, run until all there is has been read."""
+    use_rocksdb(spark)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = read_table(spark, sf_dir, "conversations").schema
     turns = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/conversations.parquet*")
     turns = turns.withColumn("text", F.expr("text || chr(10) || 'Email: conv' || cast(conv_id as string) || '@mail.example.com'"))
     job = mask_turns(turns).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema("conv_id long, turn int, masked_text string, sealed array<string>, n_leaks int, late boolean").parquet(f"{folder}/out").select("conv_id", "turn", "masked_text", "n_leaks")
+    return spark.read.schema("conv_id long, turn int, masked_text string, sealed array<string>, n_leaks int, late boolean, status string").parquet(f"{folder}/out").select("conv_id", "turn", "masked_text", "n_leaks")
 
 
 @query(f"""WITH {EXCHANGES_SQL} SELECT conv_id, cast(turn as int) AS turn, 'pii_detected' AS step, '{{"PERSON":"' || turn || '"}}' AS payload, 'Detection marked ' || turn || ' private places' AS message FROM x
@@ -490,6 +491,118 @@ def vault_entries_in_order(spark, sf_dir):
     return vault.in_order(minted, ["c_nationkey"]).select("c_nationkey", "n_entries", "match_key")
 
 
+@query(f"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9a-f]{{40}}\\b')) AS value FROM documents), {EMAILS_SQL}
+SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, value FROM emails UNION ALL SELECT doc_id, 'IP_ADDRESS', unnest(regexp_extract_all(text, '{IP_RE}')) FROM documents UNION ALL SELECT doc_id, 'API_KEY', value FROM h""")
+def model_spans(spark, sf_dir):
+    """A detector of the caller's own, in Python over Arrow batches, next to the patterns: it finds keys that no pattern knows, and mail
+    hosts, which lie inside of addresses and lose to them."""
+    return detect.explode_spans(detect.detect(documents(spark, sf_dir), entities=("EMAIL_ADDRESS", "IP_ADDRESS", "API_KEY", "HOST"), extra=[detect.model_detector(hex_keys)]), "doc_id").select("doc_id", "entity_type", "value")
+
+
+def hex_keys(texts):
+    """A model: forty hexadecimal digits are a key, and the part behind an @ is a host."""
+    import re
+
+    import pyarrow as pa
+
+    kinds = (("API_KEY", 0.95, re.compile(r"(?a)\b[0-9a-f]{40}\b")), ("HOST", 0.9, re.compile(r"(?a)(?<=@)[a-z0-9.]+\b")))
+    spans = [None if t is None else [{"entity_type": kind, "start": m.start(), "end": m.end(), "score": score} for kind, score, p in kinds for m in p.finditer(t)] for t in texts.to_pylist()]
+    return pa.array(spans, pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS doc_id, {TWO_NAMES} AS text, c_name, length(c_name) :: INTEGER AS n FROM customer),
+s AS (SELECT doc_id, text, unnest([struct_pack(s := 11, n := n), struct_pack(s := 11 + n + 9, n := n + 8), struct_pack(s := strpos(text, 'Then ') + 4, n := n), struct_pack(s := strpos(text, ' met ') + 4, n := n + 8)]) AS p FROM r)
+SELECT doc_id, p.s :: INTEGER AS "start", (p.s + p.n) :: INTEGER AS "end", substr(text, (p.s + 1) :: BIGINT, p.n :: BIGINT) AS value FROM s""")
+def known_names(spark, sf_dir):
+    """The names of all customers, and of their partners, from a table, over all records, in any case; the longer one stays."""
+    rows = read_table(spark, sf_dir, "customer")
+    values = rows.select(F.lit("PERSON").alias("entity_type"), F.explode(F.array("c_name", F.concat(F.lit("Partner "), "c_name"))).alias("value"))
+    docs = rows.select(F.col("c_custkey").alias("doc_id"), F.expr(TWO_NAMES).alias("text"))
+    found = known.find(docs, values, ignore_case=True)
+    return detect.explode_spans(found.select("doc_id", detect.resolve(F.col("known")).alias("spans")), "doc_id").select("doc_id", "start", "end", "value")
+
+
+#: Turns of which each tenth conversation has lost its id; the first turn names a person by a label, later ones without.
+LOST = """SELECT CASE WHEN conv_id % 10 <> 0 THEN conv_id END AS conv_id, conv_id AS was, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS first, text FROM conversations"""
+
+
+@query(f"""WITH t AS ({LOST}), f AS (SELECT conv_id, was, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text), 'quill' || was) AS k FROM t WHERE first)
+SELECT t.conv_id, cast(turn as int) AS turn, text || chr(10) || CASE WHEN first THEN 'Name: ' ELSE 'ask ' END || '<PERSON_' || format('{{:03d}}', k) || '>' || CASE WHEN first THEN '' ELSE ' again' END AS masked_text, true AS released FROM t JOIN f USING (was)""")
+def conversations_without_ids(spark, sf_dir):
+    """Turns without a conversation's id share one vault and are masked, swept and guarded like others."""
+    read_table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations_lost")
+    turns = spark.sql(LOST.replace("FROM conversations", "FROM conversations_lost"))
+    said = F.when(F.col("first"), F.concat("text", F.lit("\nName: Quill"), "was")).otherwise(F.concat("text", F.lit("\nask QUILL"), "was", F.lit(" again")))
+    out, _, _ = jobs.mask_conversations(turns.select("conv_id", "turn", F.lit("user").alias("role"), said.alias("text")))
+    return out.select("conv_id", F.col("turn").cast("int").alias("turn"), "masked_text", (~mask.unsafe_in(out)).alias("released"))
+
+
+NEIGHBOURS = "lag(upper(c_name), 1, 'nobody') OVER (ORDER BY c_custkey) AS before, lead(upper(c_name), 1, 'nobody') OVER (ORDER BY c_custkey) AS after"
+
+
+@query(f"""WITH n AS (SELECT c_custkey AS doc_id, row_number() OVER (ORDER BY c_custkey) AS k, {NEIGHBOURS} FROM customer)
+SELECT doc_id, 'Full name: <PERSON_' || format('{{:03d}}', k) || '>' || chr(10) || 'met ' || CASE WHEN k > 1 THEN '<PERSON_' || format('{{:03d}}', k - 1) || '>' ELSE before END || ' and ' || after AS masked_text, CASE WHEN after <> 'nobody' THEN 1 ELSE 0 END AS n_leaks FROM n""")
+def mask_corpus_causal(spark, sf_dir):
+    """One vault that grows from record to record: a name that an earlier record introduced is swept, one that only a later one
+    does stays, and the leak search over all texts reports it."""
+    rows = read_table(spark, sf_dir, "customer")
+    # each neighbour is the next key up or down, as keys have no gaps
+    name = lambda alias, step: rows.select((F.col("c_custkey") + step).alias("c_custkey"), F.upper("c_name").alias(alias))
+    met = rows.join(name("before", 1), "c_custkey", "left").join(name("after", -1), "c_custkey", "left").fillna("nobody", ["before", "after"])
+    docs = met.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Full name: "), "c_name", F.lit("\nmet "), "before", F.lit(" and "), "after").alias("text"))
+    out, _, _ = mask.mask_corpus(docs, secret=SECRET, sweep_scope="causal")
+    return out.select("doc_id", "masked_text", F.size("leaks").alias("n_leaks"))
+
+
+def live_events(turns: DataFrame) -> DataFrame:
+    """Even turns are questions, odd ones replies to them; each conversation is reset at turn 4, and its first turn comes along without an id."""
+    event = lambda turn, kind, text: F.struct(turn.alias("turn"), F.lit(kind).alias("kind"), text.alias("text"))
+    asked = event(F.col("turn"), "turn", F.expr("text || chr(10) || 'Email: c' || cast(conv_id as string) || '@x.example.com' || CASE WHEN turn >= 2 THEN chr(10) || 'Mail: d' || cast(conv_id as string) || '@x.example.com' ELSE '' END"))
+    told = event(F.col("turn") - 1, "reply", F.lit("<EMAIL_ADDRESS_001> and email_address 2"))
+    more = F.when(F.col("turn") == 0, event(F.lit(4).cast("long"), "reset", F.lit(None).cast("string")))
+    odd = F.when(F.col("turn") == 0, event(F.lit(None).cast("long"), "turn", F.col("text")))
+    one = F.when(F.col("turn") % 2 == 0, asked).otherwise(told)
+    return turns.select("conv_id", F.explode(F.array_compact(F.array(one, more, odd))).alias("e")).select("conv_id", "e.*")
+
+
+@query("""WITH q AS (SELECT *, turn >= 4 AS thread FROM conversations WHERE turn % 2 = 0), a AS (SELECT conv_id, turn - 1 AS turn, turn - 1 >= 4 AS thread FROM conversations WHERE turn % 2 = 1),
+h AS (SELECT q.conv_id, q.turn, least(4, 2 * count(a.turn)) AS n FROM q LEFT JOIN (SELECT a.* FROM a JOIN q USING (conv_id, turn)) a ON a.conv_id = q.conv_id AND a.turn < q.turn AND a.thread = q.thread GROUP BY 1, 2)
+SELECT conv_id, turn, 'released' AS status, text || chr(10) || 'Email: <EMAIL_ADDRESS_001>' || CASE WHEN turn >= 2 THEN chr(10) || 'Mail: <EMAIL_ADDRESS_002>' ELSE '' END AS said, n :: INTEGER AS n_history FROM q JOIN h USING (conv_id, turn)
+UNION ALL SELECT conv_id, turn, 'answered', 'c' || conv_id || '@x.example.com and ' || CASE WHEN turn >= 2 THEN 'd' || conv_id || '@x.example.com' ELSE 'email_address 2' END, 0 FROM a
+UNION ALL SELECT conv_id, NULL, 'malformed', text, 0 FROM conversations WHERE turn = 0""")
+def live_conversations(spark, sf_dir):
+    """The whole live job over the conversations' files: requests with history, replies, resets, malformed events, into its tables."""
+    use_rocksdb(spark)
+    folder = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    turns = spark.readStream.schema(read_table(spark, sf_dir, "conversations").schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/conversations.parquet*")
+    sinks.deliver(live.live(live_events(turns), max_turns=2), f"{folder}/out", f"{folder}/state", trigger={"availableNow": True}).awaitTermination()
+    table = lambda name: sinks.delivered(spark, f"{folder}/out", name)
+    row = lambda df, status, said, n: df.select("conv_id", "turn", F.lit(status).alias("status"), F.col(said).alias("said"), n.cast("int").alias("n_history"))
+    return row(table("released"), "released", "masked_text", F.size("messages") - 2).union(row(table("answers"), "answered", "restored", F.lit(0))).union(row(table("malformed"), "malformed", "text", F.lit(0)))
+
+
+@query("""WITH q AS (SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0), a AS (SELECT conv_id, turn - 1 AS turn FROM conversations WHERE turn % 2 = 1)
+SELECT conv_id, turn, CASE WHEN a.turn IS NULL OR conv_id % 3 = 1 THEN 'missing' ELSE 'answered' END AS status FROM q LEFT JOIN a USING (conv_id, turn)
+UNION ALL SELECT conv_id, turn, 'late' FROM a WHERE conv_id % 3 = 1 OR (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM q)""")
+def live_replies(spark, sf_dir):
+    """Requests and replies as two streams, joined as they come; every third conversation's replies take twenty minutes."""
+    use_rocksdb(spark)
+    folder = f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"
+    schema = read_table(spark, sf_dir, "conversations").schema
+
+    def stream(rest: int, at: str, delay: str) -> DataFrame:
+        turns = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/conversations.parquet*").select("conv_id", "turn")
+        own = F.when(F.col("turn") % 2 == rest, F.struct("conv_id", (F.col("turn") - rest).alias("turn"), F.expr(f"timestamp'2024-01-01' + make_dt_interval(0, 0, int(turn - {rest}), {delay})").alias(at)))
+        # a day later a row that meets nothing moves the watermark over all others
+        end = F.when(F.col("turn") == rest, F.struct(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.expr("timestamp'2024-01-02'").alias(at)))
+        return turns.select(F.explode(F.array_compact(F.array(own, end))).alias("e")).select("e.*")
+
+    replies = stream(1, "answered_at", "CASE WHEN conv_id % 3 = 1 THEN 1200 ELSE 30 END").withColumn("answer", F.lit("yes"))
+    joined = live.answered(stream(0, "asked_at", "0"), replies).select("conv_id", "turn", "status")
+    joined.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("conv_id long, turn long, status string").parquet(f"{folder}/out")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_values_by_type(spark, sf_dir)
 

@@ -1,67 +1,26 @@
 """Live conversations: one vault a conversation, kept as state, growing turn by turn.
 
-Detection, sweep and guard are the same expressions as in batch jobs; only the numbering of new values needs
-state. A keyed stateful step takes the detected turns of a conversation in order, numbers new values, and gives
-out each turn with all forms that are visible to it; the expressions then do the masking.
+``live`` has the whole job (requests, replies, resets, history), ``sinks`` where its rows go; mask_turns here masks turns alone.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPANS, match_key
-from ..operators import detect, mask
-
-OUT = f"conv_id long, turn int, text string, spans {SPANS}, names array<string>, forms array<struct<placeholder:string,variant:string>>, late boolean"
-STATE = "vault string, last int"
-
+from .live import named_events, judged, use_rocksdb
 
-def _turns(match: str, idle_ms: int | None):
-    def step(key, frames, state):
-        if state.hasTimedOut:  # the session is over: its vault goes
-            state.remove()
-            return
-        held = json.loads(state.get[0]) if state.exists else {"counts": {}, "names": {}, "forms": {}}
-        counts, names, forms = held["counts"], held["names"], held["forms"]  # of types, values, placeholders, in the order they came
-        last = state.get[1] if state.exists else -1
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("turn", kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            own = []
-            for s, k in zip(r.spans, r.keys):
-                slot = f"{s['entity_type']}\u0001{k}"
-                if slot not in names:
-                    n = counts[s["entity_type"]] = counts.get(s["entity_type"], 0) + 1
-                    names[slot] = f"<{s['entity_type']}_{n:03d}>"
-                spelled = forms.setdefault(names[slot], [])
-                if s["value"] not in spelled:
-                    spelled.append(s["value"])
-                own.append(names[slot])
-            visible = [{"placeholder": p, "variant": v} for p, spelled in forms.items() for v in spelled]
-            out.append((key[0], r.turn, r.text, list(r.spans), own, visible, bool(r.turn <= last)))
-            last = max(last, int(r.turn))
-        state.update((json.dumps(held), last))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "text", "spans", "names", "forms", "late"])
 
-    return step
+def mask_turns(turns: DataFrame, *, match: str = "normalized", idle_ms: int | None = None, **options) -> DataFrame:
+    """turns (conv_id, turn, text), streaming -> conv_id, turn, masked_text, sealed, n_leaks, late, status.
 
+    Fails closed: masked_text is null where the guard holds a turn back (status ``blocked``) and for turns without conv_id, turn or
+    text (``malformed``), which touch no state. A turn whose number isn't above the last one seen is masked like any other (numbers
+    go on) and marked late. A replayed batch gives the same numbers. After ``idle_ms`` milliseconds without a turn a
+    conversation's vault is dropped, and a later turn starts a new one; without it vaults stay. The state store must be RocksDB
+    (use_rocksdb), which writes the entries that a batch touches."""
+    rows = judged(named_events(turns.select("conv_id", "turn", "text"), match, idle_ms, **options))
+    return rows.select("conv_id", F.col("turn").cast("int").alias("turn"), F.when(F.col("status") == "released", F.col("masked_text")).alias("masked_text"), "sealed", F.size("leaks").alias("n_leaks"), "late", "status")
 
-def mask_turns(turns: DataFrame, *, match: str = "normalized", idle_ms: int | None = None, **options) -> DataFrame:
-    """turns (conv_id, turn, text), streaming -> conv_id, turn, masked_text, sealed, n_leaks, late.
 
-    A turn whose number isn't above the last one seen is masked like any other (numbers go on) and marked late.
-    State is one row a conversation; a replayed batch gives the same numbers. After ``idle_ms`` milliseconds without a
-    turn a conversation's vault is dropped, and a later turn starts a new one; without it vaults stay. Time limits ask for
-    batches without data, so a query with one ends under availableNow only where spark.sql.streaming.noDataMicroBatches.enabled
-    is false."""
-    found = detect.detect(turns.select("conv_id", F.col("turn").cast("int").alias("turn"), "text"), **options)
-    found = found.withColumn("keys", F.transform("spans", lambda s: match_key(s["value"], match)))
-    kept = found.groupBy("conv_id").applyInPandasWithState(_turns(match, idle_ms), OUT, STATE, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
-    swept = kept.withColumn("_swept", mask.sweep(mask.substitute(F.col("text"), F.col("spans"), F.col("names")), F.col("forms")))
-    return swept.select("conv_id", "turn", F.col("_swept.text").alias("masked_text"), F.col("_swept.sealed").alias("sealed"), F.size(mask.leaks(F.col("_swept.text"), F.col("forms"))).alias("n_leaks"), "late")
+__all__ = ["mask_turns", "use_rocksdb"]
