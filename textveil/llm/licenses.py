@@ -1,9 +1,13 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 A text that holds none of a few root words is done at once. For the others, the rules whose keyword stands in
-the text are run. Their detections are put in order of place and read once: one that lies within another goes (of two equal
-ones the weaker), and of two that overlap in part the one of the earlier, stronger rule stays. Everything happens
-within the row: no shuffle, and work in proportion to the detections but for their sort.
+the text are run. Their detections are put in order of place and parted where none goes on; what overlaps is then taken by the rules'
+order, the longest first: one that lies within another goes (of two equal ones the weaker), and of two that overlap in
+part the one of the earlier, stronger rule stays. None goes unless one that stays overlaps it. Everything happens within the
+row: no shuffle, and work in proportion to the detections but for their sort and the square of what overlaps in one chain.
+
+Edge cases. Null and empty texts have no words and no detections; repeated rows are scanned row by row; ties in place and rule
+order are one detection; an empty table gives an empty result; texts are scanned whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -60,8 +64,9 @@ def folded(items: Column, start: Column, kind: str, step, last=None) -> Column:
             state, out = step(b["state"], x)
             return F.struct(state.alias("state"), F.concat(b["out"], out).alias("out"))
 
-        done = F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), F.struct(a["state"].alias("state"), none.alias("out")), one)
-        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+        # put together in the fold's last step: what a transform gives out is copied in full
+        whole = lambda d: F.struct(d["state"].alias("state"), F.concat(a["out"], F.array(d["out"])).alias("out"))
+        return F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), F.struct(a["state"].alias("state"), none.alias("out")), one, whole)
 
     zero = F.struct(start.alias("state"), F.lit([]).cast(f"array<{kind}>").alias("out"))
     parts = F.sequence(F.lit(0), F.ceil(F.size(items) / PART).cast("int") - 1)
@@ -84,19 +89,39 @@ def spans(norm: Column, pattern: Column) -> Column:
     return let(F.split(norm, pattern, -1), lambda gaps: let(F.regexp_extract_all(norm, pattern, F.lit(1)), lambda hits: fold(gaps, hits)))
 
 
+def strongest(chain: Column) -> Column:
+    """What stays of overlapping detections: the strongest is taken first; a later one has to lie apart from all that are taken, or to
+    hold whole all that it meets, which it then replaces."""
+    order = lambda d: F.struct(d["p"].alias("p"), (d["s"] - d["e"]).alias("less"), d["s"].alias("s"), d.alias("d"))
+
+    def step(kept, x):
+        d = x["d"]
+        apart = lambda k: (k["e"] <= d["s"]) | (d["e"] <= k["s"])
+        holds = lambda k: (d["s"] <= k["s"]) & (k["e"] <= d["e"]) & (d["e"] - d["s"] > k["e"] - k["s"])
+        return F.when(F.exists(kept, lambda k: ~apart(k) & ~holds(k)), kept).otherwise(F.concat(F.filter(kept, apart), F.array(d)))
+
+    found = F.aggregate(F.array_sort(F.transform(chain, order)), F.lit([]).cast(SPAN), step)
+    return F.when(F.size(chain) == 1, chain).otherwise(F.array_sort(found, lambda a, b: (a["s"] - b["s"]).cast("int")))
+
+
 def resolved(found: Column) -> Column:
     """Detections without those that another suppresses, by place."""
-    none = F.lit([]).cast(SPAN)
     key = lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("end"), d["p"].alias("p"), d.alias("d"))
 
-    def step(held, x):
-        d = x["d"]
-        fresh = held.isNull() | (d["s"] >= held["e"])
-        wins = fresh | ((d["e"] > held["e"]) & (d["p"] < held["p"]))
-        return F.when(wins, d).otherwise(held), F.when(fresh & held.isNotNull(), F.array(held)).otherwise(none)
+    def chained(own: Column) -> Column:
+        # the number of the chain: a detection that begins where all before it have ended begins another
+        def step(at, x):
+            no = F.when(x["s"] >= at["e"], at["no"] + 1).otherwise(at["no"]).cast("int")
+            return F.struct(F.greatest(at["e"], -x["end"]).cast("int").alias("e"), no.alias("no")), F.array(no)
+
+        def parted(no: Column) -> Column:
+            firsts = F.filter(F.sequence(F.lit(0), F.size(no) - 1), lambda i: (i == 0) | (F.get(no, i) != F.get(no, i - 1)))
+            chain = lambda f, k: F.transform(F.slice(own, F.get(f, k) + 1, F.coalesce(F.get(f, k + 1), F.size(no)) - F.get(f, k)), lambda x: x["d"])
+            return let(firsts, lambda f: F.flatten(F.transform(F.sequence(F.lit(0), F.size(f) - 1), lambda k: let(chain(f, k), strongest))))
+
+        return let(folded(own, F.struct(F.lit(0).alias("e"), F.lit(0).alias("no")), "array<int>", step), parted)
 
-    start = F.lit(None).cast(SPAN[len("array<") : -1])
-    return let(F.array_sort(F.transform(found, key)), lambda all_: folded(all_, start, SPAN, step, F.array))
+    return let(found, lambda all_: F.when(F.size(all_) < 2, all_).otherwise(let(F.array_sort(F.transform(all_, key)), chained)))
 
 
 def detections(norm: Column, table: list[dict] | None = None) -> Column:
