@@ -1,10 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer turns words into symbols: insult, threat, target (someone spoken to or of), negation,
-reported speech, or other. Four clause transducers are composed with each other, in one table: negation marks an insult
-or threat within its reach, reported speech marks those after it in the clause, a target near an insult makes
-it an attack, and threats need no more than themselves. Running the composed table over a clause gives the
-weight of each kind of matched pattern; documents are scored by a logistic model over the sums for all clauses.
+A lexical transducer turns words into symbols: insult, violence, speaker (first person or intent), target (someone spoken to or of),
+negation, reported speech, or other. Five clause transducers are composed with each other, in one table: negation marks an insult
+or violence within its reach, reported speech marks those after it in the clause, violence is a threat if a speaker stands before it and a
+target next to it, and a target near an insult makes it an attack. Running the composed table over a clause gives the
+weight of each kind of matched pattern; documents are scored by a logistic model over the sums for all clauses, in which
+denied and reported patterns can't count against a document.
+
+Edge cases. Null, empty and wordless texts match no pattern and get the score of such; repeated rows and ids are scored row by row; texts
+are read whole; an empty table gives an empty result; extra columns are not read.
 
 Insults (whole words and word stems), all weights and further reporting words are learned from the labels of a bounded
 sample; threat, target, negation and first reporting words are given lists. What sampled documents teach is counted in
@@ -32,8 +36,11 @@ STEMS = range(3, 9)
 #: An insult stands in so many toxic texts at least, and is so many times likelier there.
 LEAST_TEXTS, TIMES = 4, 20
 #: Given words of the grammar (fixed values), in the corpus's four languages.
-THREATS = "kill hurt beat destroy smash strangle murder töte töten umbringen verprügeln zerstöre tuer tuerai frapper détruire matar mataré golpear destruir".split()
+THREATS = "kill hurt beat destroy smash strangle murder töte töten umbringen verprügeln zerstöre tuer frapper détruire matar golpear destruir".split()
 TARGETS = "you your yours yourself du dich dir dein deine ihr euch tu toi te ton vous votre tú ti tus usted ustedes he she they him her them".split()
+SPEAKERS = "i we ich wir je nous yo nosotros will shall gonna going werde werden vais allons voy vamos".split()
+#: Verbs that say who threatens by their form.
+SPOKEN = "tuerai frapperai détruirai mataré golpearé destruiré".split()
 NEGATIONS = "not never no nor neither nicht kein keine nie niemals ne pas jamais nunca jamás tampoco ni".split()
 REPORTS = "said says wrote quoted quotes called claimed reported sagte sagt schrieb berichtete dit écrit affirme dijo dice escribió afirmó".split()
 KINDS = ("attack", "insult", "denied", "reported", "threat")
@@ -76,29 +83,50 @@ class Transducer:
 def _negation(state: int, s: str):
     if s == "N":
         return 3, "o", 0.0
-    if s in "IT" and state:
-        return state - 1, s.lower(), 0.0  # i, t: denied
+    if s in "ITV" and state:
+        return state - 1, "i" if s == "I" else "t", 0.0  # denied
     return max(0, state - 1), s, 0.0
 
 
+#: How far a speaker reaches ahead to violence, violence to its target, and a target that stands before its verb.
+SPEAKER_REACH, VERB_REACH, TARGET_REACH = 6, 3, 2
+
+
+def _threat(state: tuple[int, int, int], s: str):
+    """state: for how many more words a speaker, a threatening verb, and a target before it are near."""
+    speaker, verb, target = (max(0, x - 1) for x in state)
+    if s == "P":
+        return (SPEAKER_REACH, verb, target), "o", 0.0
+    if s in "TV":
+        if not (speaker or s == "V"):
+            return (speaker, verb, target), "o", 0.0
+        return ((speaker, 0, 0), "H", 0.0) if target else ((speaker, VERB_REACH, 0), "o", 0.0)
+    if s == "Y":
+        return ((speaker, 0, 0), "H", 0.0) if verb else ((speaker, verb, TARGET_REACH), s, 0.0)
+    return (speaker, verb, target), s, 0.0
+
+
 def _reported(state: int, s: str):
     if s == "R":
         return 1, "o", 0.0
-    return state, {"I": "q", "T": "q"}.get(s, s) if state else s, 0.0
+    return state, {"I": "q", "T": "q", "V": "q"}.get(s, s) if state else s, 0.0
 
 
 def _target(state: int, s: str):
-    if s == "Y":
-        return 4, "o", 0.0
+    if s in "YH":
+        return 4, "o" if s == "Y" else s, 0.0
     return max(0, state - 1), "A" if s == "I" and state else s, 0.0
 
 
 def _weigh(state: int, s: str):
-    return 0, s, {"A": 1.5, "I": 1.0, "i": 1.0, "t": 1.0, "q": 1.0, "T": 1.0}.get(s, 0.0)
+    return 0, s, {"A": 1.5, "I": 1.0, "i": 1.0, "t": 1.0, "q": 1.0, "H": 1.0}.get(s, 0.0)
 
 
-GRAMMAR, START = Transducer(0, _negation).compose(Transducer(0, _reported)).compose(Transducer(0, _target)).compose(Transducer(0, _weigh)).table("ITYNRo")
-KIND = {"A": 0, "I": 1, "i": 2, "t": 2, "q": 3, "T": 4}
+SYMBOLS = "ITVPYNRo"
+GRAMMAR, START = Transducer(0, _negation).compose(Transducer(0, _reported)).compose(Transducer((0, 0, 0), _threat)).compose(Transducer(0, _target)).compose(Transducer(0, _weigh)).table(SYMBOLS)
+KIND = {"A": 0, "I": 1, "i": 2, "t": 2, "q": 3, "H": 4}
+#: Kinds whose share of the text counts, and those that may only excuse.
+GUILTY, EXCUSING = [0, 1, 4], [2, 3]
 
 
 class Lexicon(dict):
@@ -108,7 +136,7 @@ class Lexicon(dict):
     def __init__(self, stems: dict[str, float], words: dict[str, float], reports: tuple[str, ...] = ()):
         super().__init__()
         self.stems, self.words, self.weights = stems, words, {}
-        self.given = dict.fromkeys(END, ".") | {w: "Y" for w in TARGETS} | {w: "N" for w in NEGATIONS} | dict.fromkeys((*REPORTS, *reports), "R") | {w: "T" for w in THREATS}
+        self.given = dict.fromkeys(END, ".") | {w: "Y" for w in TARGETS} | {w: "P" for w in SPEAKERS} | {w: "N" for w in NEGATIONS} | dict.fromkeys((*REPORTS, *reports), "R") | {w: "T" for w in THREATS} | {w: "V" for w in SPOKEN}
 
     def __missing__(self, token: str) -> str:
         if len(self) > MEMORY:
@@ -125,18 +153,18 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros(len(KINDS) + 1)
     tokens = TOKEN.findall((text or "").lower())
     symbols = "".join(map(lexicon.__getitem__, tokens))
-    if "I" not in symbols and "T" not in symbols:
+    if not any(s in symbols for s in "ITV"):
         return out
     at = 0
     for clause in symbols.split("."):
-        if "I" in clause or "T" in clause:
+        if any(s in clause for s in "ITV"):
             state = START
             for i, s in enumerate(clause):
                 state, made, w = GRAMMAR[state][s]
                 if made in KIND:
                     out[KIND[made]] += w * lexicon.weights.get(tokens[at + i], 1.0)
         at += len(clause) + 1
-    out[-1] = 100 * out.sum() / len(tokens)
+    out[-1] = 100 * out[GUILTY].sum() / len(tokens)
     return np.log1p(out)
 
 
@@ -211,13 +239,14 @@ def learn_reports(toxic: list[set[str]], clean: list[set[str]], least: float = 2
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton-free gradient steps, both classes of equal weight."""
+    """Ridge logistic regression by Newton-free gradient steps, both classes of equal weight; kinds that excuse never weigh above 0."""
     w, b = np.zeros(x.shape[1]), 0.0
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         d = (p - y) * weight
         w -= 2.0 * (x.T @ d + 1e-4 * w)
+        w[EXCUSING] = np.minimum(w[EXCUSING], 0.0)
         b -= 2.0 * d.sum()
     return w, b
 
