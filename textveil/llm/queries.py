@@ -109,12 +109,14 @@ c AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM d, (VALUES (0), (1), (2)) z
 m AS (SELECT w.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed,
-  100 * n_symbols > {quality.MAX_SYMBOLS} * n_words OR (n_dup_lines >= {quality.MIN_DUP_LINES} AND 100 * n_dup_lines > {quality.MAX_DUP_LINES} * n_lines) AS own_failed FROM m),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR own_failed) AS x FROM f WHERE source IS NOT NULL GROUP BY 1),
-o AS (SELECT sum(x) / sum(n) AS p, greatest(0, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 - sum(x) / sum(n) * (1 - sum(x) / sum(n)) * count(*) / sum(n)) AS v FROM h),
-b AS (SELECT p, CASE WHEN v > 0 THEN least(1000, greatest(1, p * (1 - p) / v - 1)) ELSE 1000 END AS k FROM o),
-q AS (SELECT source, (x + p * k) / (n + k) > {quality.MAX_HOST_RATE} AS host_failed FROM h, b)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR own_failed OR coalesce(host_failed, false)) AS kept FROM f LEFT JOIN q USING (source)"""
+  100 * n_symbols > {quality.MAX_SYMBOLS} * n_words AS symbols, n_dup_lines >= {quality.MIN_DUP_LINES} AND 100 * n_dup_lines > {quality.MAX_DUP_LINES} * n_lines AS lines, 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS repeats,
+  100 * n_symbols > {quality.STRICT_SYMBOLS} * n_words AS near_symbols, n_dup_lines >= {quality.MIN_DUP_LINES} AND 100 * n_dup_lines > {quality.STRICT_DUP_LINES} * n_lines AS near_lines, 100 * n_repeat_words > {quality.STRICT_REPEAT} * n_words AS near_repeats FROM m),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (hit) AS x FROM (SELECT source, unnest([struct_pack(rule := 'any', hit := base_failed OR symbols OR lines), struct_pack(rule := 'repeats', hit := repeats), struct_pack(rule := 'symbols', hit := symbols), struct_pack(rule := 'lines', hit := lines)], recursive := true) FROM f WHERE source IS NOT NULL) GROUP BY 1, 2),
+o AS (SELECT rule, sum(x) / sum(n) AS p, greatest(0, sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2 - sum(x) / sum(n) * (1 - sum(x) / sum(n)) * count(*) / sum(n)) AS v FROM h GROUP BY 1),
+b AS (SELECT rule, p, CASE WHEN v > 0 THEN least(1000, greatest(1, p * (1 - p) / v - 1)) ELSE 1000 END AS k FROM o),
+q AS (SELECT source, bool_or(rule = 'any' AND r > {quality.MAX_HOST_RATE}) AS gone, bool_or(rule = 'repeats' AND r > {quality.LIFT} * p) AS r, bool_or(rule = 'symbols' AND r > {quality.LIFT} * p) AS s, bool_or(rule = 'lines' AND r > {quality.LIFT} * p) AS l FROM (SELECT source, h.rule, p, (x + p * k) / (n + k) AS r FROM h JOIN b USING (rule)) GROUP BY 1),
+k AS (SELECT f.*, base_failed OR symbols OR lines AS failed, coalesce(gone OR (r AND near_repeats) OR (s AND near_symbols) OR (l AND near_lines), false) AS host FROM f LEFT JOIN q USING (source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND NOT host AS kept, NOT failed AND host AS host_failed FROM k"""
 
 OP11_SQL = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents)
