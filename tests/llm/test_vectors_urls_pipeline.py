@@ -3,6 +3,7 @@
 import collections
 import math
 import os
+import random
 import re
 
 import numpy as np
@@ -126,6 +127,64 @@ def test_filter_at_its_bound(spark):
         urlfilter.build_level(keys, n + n // 50, rate, 1)
 
 
+def judged_plainly(rows):
+    """(kept, dropped by the host's verdict alone) of rows (doc_id, text, source)."""
+    counts = []
+    for _, t, _ in rows:
+        t = t or ""
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t), [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {p for k, g in enumerate(zip(w, w[1:], w[2:])) if c[g] > 1 for p in (k, k + 1, k + 2)}
+        counts.append((len(w), len(covered), len(re.findall(quality.SYMBOLS, t)), len(lines) - len(set(lines)), len(lines)))
+
+    def broken(x, repeat, symbols, dup):
+        n, r, s, d, k = x
+        return [100 * r > repeat * n, 100 * s > symbols * n, d >= quality.MIN_DUP_LINES and 100 * d > dup * k]
+
+    usual = [broken(x, quality.MAX_REPEAT, quality.MAX_SYMBOLS, quality.MAX_DUP_LINES) for x in counts]
+    failed = [x[0] < quality.MIN_WORDS or any(u) for x, u in zip(counts, usual)]
+    size = collections.Counter(s for *_, s in rows if s is not None)
+    bad = collections.defaultdict(set)
+    for rule in range(4):
+        hits = [f if rule == 3 else u[rule] for f, u in zip(failed, usual)]
+        x = collections.Counter({s: 0 for s in size})
+        for (*_, s), hit in zip(rows, hits):
+            if s is not None:
+                x[s] += hit
+        n = sum(size.values())
+        p = sum(x.values()) / n if n else 0.0
+        spread = max(0.0, sum(x[s] ** 2 / size[s] for s in size) / n - p * p - p * (1 - p) * len(size) / n) if n else 0.0
+        weight = min(1000.0, max(1.0, p * (1 - p) / spread - 1)) if spread > 0 else 1000.0
+        for s in size:
+            if (x[s] + p * weight) / (size[s] + weight) > (quality.MAX_HOST_RATE if rule == 3 else quality.LIFT * p):
+                bad[s].add(rule)
+    out = []
+    for (*_, s), x, f in zip(rows, counts, failed):
+        near = broken(x, quality.STRICT_REPEAT, quality.STRICT_SYMBOLS, quality.STRICT_DUP_LINES)
+        host = 3 in bad[s] or any(near[r] for r in range(3) if r in bad[s])
+        out.append((not f and not host, not f and host))
+    return out
+
+
+def test_hosts_that_break_a_rule_are_held_to_its_stricter_limit(spark):
+    """A third of all rows on one host; two hosts break one rule each more often than the corpus; null hosts have no verdict."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    signs = lambda k: prose(100) + " #" * k
+    lines = lambda k: "\n".join([prose(10) for _ in range(20)] + ["same line of words"] * k)
+    rows = [(i, prose(60), "hot") for i in range(150)]
+    rows += [(200 + i, signs(rng.choice([0, 7, 7, 30])), "signs.example") for i in range(60)] + [(300 + i, lines(rng.choice([0, 7, 7, 30])), "lines.example") for i in range(60)]
+    rows += [(400 + i, rng.choice([signs(7), lines(7), prose(60), signs(30)]), rng.choice(["plain.example", None])) for i in range(120)] + [(600, None, "hot"), (601, "", None)]
+    docs = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, source string, n_words int, host_failed boolean")
+    got = {r.doc_id: (r.kept, r.host_failed) for r in quality.judge(docs).collect()}
+    want = dict(zip((r[0] for r in rows), judged_plainly(rows)))
+    assert got == want and 20 < sum(h for _, h in want.values()) < 120
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, (kept, _) in want.items() if kept}
+    verdicts = {r.host: r for r in quality.host_verdicts(quality.metrics(docs.withColumnRenamed("source", "host")).select("host", *quality.rated_by())).collect()}
+    assert verdicts["signs.example"].strict_symbols and not verdicts["signs.example"].strict_lines and verdicts["lines.example"].strict_lines and not verdicts["hot"].strict_symbols
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA).toPandas()
@@ -134,13 +193,8 @@ def test_pipeline(spark):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     rows = [r for r, s in zip(rows, toxicity.rate([t for _, t, _ in rows], model, toxicity.lexicon_of(model))) if s < toxicity.TOXIC]
 
-    def fails(t):
-        w, lines = t.split(), [x for x in t.split("\n") if x.strip()]
-        c = collections.Counter(zip(w, w[1:], w[2:]))
-        covered = {p for k, g in enumerate(zip(w, w[1:], w[2:])) if c[g] > 1 for p in (k, k + 1, k + 2)}
-        return len(w) < quality.MIN_WORDS or 100 * len(covered) > quality.MAX_REPEAT * len(w) or 100 * len(re.findall(quality.SYMBOLS, t)) > quality.MAX_SYMBOLS * len(w) or (len(lines) - len(set(lines)) >= quality.MIN_DUP_LINES and 100 * (len(lines) - len(set(lines))) > quality.MAX_DUP_LINES * len(lines))
-
-    rows = [r for r in rows if not fails(r[1])]
+    verdicts = judged_plainly(rows)
+    rows = [r for r, v in zip(rows, verdicts) if v[0]]
     firsts = brute_components([r[:2] for r in rows])
     rows = [r for r in rows if firsts[r[0]][1] == r[0]]
     assert set(out.doc_id) == {r[0] for r in rows} and len(rows) > 50

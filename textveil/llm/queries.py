@@ -123,6 +123,44 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(k) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY k ORDER BY n DESC, doc_id)"""
 
+
+
+def _edited(label: str, price: str, letter: str) -> str:
+    """A label of the edit lattice, six digits of cost and the audit behind them, after one more edit; ~ is no way."""
+    return f"CASE WHEN {label} = '~' THEN '~' ELSE lpad(cast(cast(left({label}, 6) AS INTEGER) + {price} AS VARCHAR), 6, '0') || substr({label}, 7) || '{letter}' END"
+
+
+def _kept(label: str, initial: str) -> str:
+    """Keep, of a row of this initial; Rerole otherwise, which costs more."""
+    return f"CASE WHEN y.f = 'x' THEN '~' WHEN y.c = '{initial}' THEN {_edited(label, 'y.t', 'K')} ELSE {_edited(label, '1 + y.t', 'R')} END"
+
+
+_CRC = """xor(list_reduce(list_concat([4294967295 :: BIGINT], list_transform(string_split(coalesce(conv_id :: VARCHAR, ' ') || ':' || coalesce(turn :: VARCHAR, ' '), ''), lambda z: ascii(z) :: BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295 :: BIGINT)"""
+
+#: One pass over the rows with a label for each state, inserts before each row and at the end, in place of two searches that meet.
+OP12_SQL = rf"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS d FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) AS c FROM r WHERE d <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, c) AS i FROM x),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+s AS (SELECT conv_id, i, unnest([1, 2, 3]) AS k, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' ELSE '' END AS f, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS t, left(role, 1) AS c FROM f UNION ALL SELECT conv_id, max(i) + 1, unnest([1, 2]), '', 0, '' FROM f GROUP BY 1),
+l AS (SELECT conv_id, list_prepend(struct_pack(n := '000000', s := '~', u := '~', a := '~', k := 0, f := '', t := 0, c := ''), list(struct_pack(n := '~', s := '~', u := '~', a := '~', k := k, f := f, t := t, c := c) ORDER BY i, k)) AS l FROM s GROUP BY 1),
+b AS (SELECT conv_id, list_reduce(l, lambda x, y: struct_pack(
+  n := CASE WHEN y.k < 3 THEN x.n ELSE {_edited("x.n", "2", "D")} END,
+  s := CASE WHEN y.k < 3 THEN x.s ELSE least({_edited("x.s", "2", "D")}, CASE WHEN y.f = '' AND y.c = 's' THEN {_edited("x.n", "y.t", "K")} ELSE '~' END) END,
+  u := CASE y.k WHEN 1 THEN least(x.u, {_edited("least(x.n, x.s, x.a)", "5", "I")}) WHEN 2 THEN x.u ELSE least({_edited("x.u", "2", "D")}, {_kept("least(x.n, x.s, x.a)", "u")}) END,
+  a := CASE y.k WHEN 1 THEN x.a WHEN 2 THEN least(x.a, {_edited("x.u", "5", "I")}) ELSE least({_edited("x.a", "2", "D")}, {_kept("x.u", "a")}) END,
+  k := y.k, f := y.f, t := y.t, c := y.c)) AS z FROM l),
+v AS (SELECT conv_id, least(z.n, z.a) AS v FROM b),
+e AS (SELECT conv_id, p, substr(substr(v, 7), p, 1) AS h FROM (SELECT conv_id, v, unnest(range(1, length(v) - 5)) AS p FROM v)),
+w AS (SELECT *, count(*) FILTER (h <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i, count(*) FILTER (h <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS q FROM e),
+m AS (SELECT w.conv_id, p, h, q, f.role, CASE WHEN h = 'I' THEN '' ELSE f.text END AS text, bool_or(q = 1 AND h = 'K' AND left(f.role, 1) = 's') OVER (PARTITION BY w.conv_id) AS led FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i AND h <> 'I' WHERE h <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN h = 'K' THEN role WHEN (q + led :: INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS t FROM m GROUP BY 1)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(v, 6) :: BIGINT, 0) AS cost, coalesce(substr(v, 7), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
 _TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP13_SQL = rf"""
@@ -135,4 +173,4 @@ m AS (SELECT doc_id, 10 + (90 * len(l) * big_n) // big_l AS m FROM a, s WHERE le
 x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) :: BIGINT AS score FROM i JOIN c USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY 1, 2)
 SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) :: INTEGER AS rank, doc_id, score FROM x WHERE score > 0) WHERE rank <= 10"""
 
-ORACLES: dict[str, str] = {"op11_block_naming": OP11_SQL, "op13_reversed_search": OP13_SQL, "op2_minhash_dedup": OP2_SQL, "op6_url_cascade": urlfilter.oracle(), "op10_quality_rules": OP10_SQL}
+ORACLES: dict[str, str] = {"op11_block_naming": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_reversed_search": OP13_SQL, "op2_minhash_dedup": OP2_SQL, "op6_url_cascade": urlfilter.oracle(), "op10_quality_rules": OP10_SQL}
