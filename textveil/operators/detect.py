@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,7 +188,26 @@ def detect(df: DataFrame, text: str = "text", spans: str = "spans", *, known: Da
         return detect(find(df, known, text=text, into="_known"), text, spans, extra=(*extra, lambda _: F.col("_known")), **options).drop("_known")
     own = {f"_extra_{i}": d(F.col(text)) for i, d in enumerate(extra)}
     staged = df.withColumns(own) if own else df
-    return staged.withColumn(spans, spans_of(F.col(text), found=[checked(F.col(text), F.col(name)) for name in own], **options)).drop(*own)
+    return staged.withColumn(spans, _built(text, tuple(own), options)).drop(*own)
+
+
+_BUILT: dict = {}
+
+
+def _built(text: str, extra: tuple[str, ...], options: dict) -> Column:
+    """The expression of spans_of. It has thousands of parts, each a call to the JVM, and is the same for every table, so it is made
+    once for the options that a program uses."""
+    make = lambda: spans_of(F.col(text), found=[checked(F.col(text), F.col(name)) for name in extra], **options)
+    plain = {k: v if isinstance(v, (bool, int, float, str)) else tuple(v) for k, v in options.items()}
+    key = (id(SparkContext._gateway), text, extra, tuple(sorted(plain.items(), key=lambda x: x[0])))
+    try:
+        if key not in _BUILT:
+            if len(_BUILT) >= 64:
+                _BUILT.clear()
+            _BUILT[key] = spans_of(F.col(text), found=[checked(F.col(text), F.col(name)) for name in extra], **plain)
+        return _BUILT[key]
+    except TypeError:  # options that can't be compared are not remembered
+        return make()
 
 
 def explode_spans(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:

@@ -23,6 +23,22 @@ def distinct_values(spans: DataFrame, match: str = "normalized") -> DataFrame:
     return spans.groupBy("entity_type").agg(F.count_distinct(match_key(F.col("value"), match)).alias("n_values"))
 
 
+#: Size of a sketch, 2^k registers of 8 bits at most: a standard error of 0.8 per cent.
+SKETCH_BITS = 14
+
+
+def value_sketches(spans: DataFrame, *keys: str, match: str = "normalized") -> DataFrame:
+    """(keys..., entity_type, sketch): a sketch of the distinct values of each type, to be kept with a run and merged with other runs'. It
+    holds hashes' leading zeros, not values. Null values don't count."""
+    return spans.groupBy(*keys, "entity_type").agg(F.hll_sketch_agg(match_key(F.col("value"), match), SKETCH_BITS).alias("sketch"))
+
+
+def sketched_values(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., entity_type, n_runs, n_values): about how many distinct values the runs behind the sketches saw together."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(*keys, "entity_type").agg(F.count(F.lit(1)).alias("n_runs"), merged.alias("n_values"))
+
+
 def types_found(spans: DataFrame, *keys: str) -> DataFrame:
     return spans.groupBy(*keys).agg(F.array_sort(F.collect_set("entity_type")).alias("types"))
 

@@ -63,7 +63,7 @@ SELECT entity_type, count(*) AS n FROM (
   SELECT 'EMAIL_ADDRESS' AS entity_type, unnest(regexp_extract_all(text, '{EMAIL_RE}')) AS v FROM documents
   UNION ALL SELECT 'IP_ADDRESS', unnest(regexp_extract_all(text, '{IP_RE}')) FROM documents) GROUP BY 1""")
 def entity_counts_by_type(spark, sf_dir):
-    found = detect.detect(documents(spark, sf_dir), entities=("EMAIL_ADDRESS", "IP_ADDRESS"))
+    found = detect.detect(chunk.chunks(documents(spark, sf_dir), "doc_id"), entities=("EMAIL_ADDRESS", "IP_ADDRESS"))
     return report.entity_counts(detect.explode_spans(found, "doc_id"))
 
 
@@ -603,6 +603,16 @@ def live_replies(spark, sf_dir):
     return spark.read.schema("conv_id long, turn long, status string").parquet(f"{folder}/out")
 
 
+@query("""SELECT 'PERSON' AS entity_type, 2 AS n_runs, true AS near FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer)""")
+def value_profile(spark, sf_dir):
+    """How many values two runs have seen in all, from their sketches alone, against the exact count."""
+    runs = [read_table(spark, sf_dir, "customer").select(F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("value")), order_mentions(spark, sf_dir).select("entity_type", "value")]
+    sketches = report.value_sketches(runs[0]).withColumn("run", F.lit(1)).union(report.value_sketches(runs[1]).withColumn("run", F.lit(2)))
+    exact = report.distinct_values(runs[0].union(runs[1]))
+    out = report.sketched_values(sketches).join(exact.withColumnRenamed("n_values", "n"), "entity_type")
+    return out.select("entity_type", F.col("n_runs").cast("int").alias("n_runs"), (F.abs(F.col("n_values") - F.col("n")) <= F.col("n") * 0.02).alias("near"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_values_by_type(spark, sf_dir)
 
