@@ -192,7 +192,8 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = 50, beam: int = B
     Queries are the rows whose vec_id is divisible by ``every``. Vectors that are null, empty, all zero, or hold null or
     non-finite components take no part; neither do null ids. Vectors of different lengths have no cosine: a query's
     candidates are those of its own length. Rows that repeat an id with an equal vector count once.
-    ``shard`` is the number of vectors a shard, about."""
+    ``shard`` is the number of vectors a shard, about. Equal scores go by the smaller vec_id. Where there are fewer candidates than
+    k, all are given; an empty table, or one without queries, gives an empty result; extra columns are not read."""
     d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     d = d.where(F.col("vec_id").isNotNull() & sound).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0).cast("float")))

@@ -291,7 +291,9 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, by_blank: bool = True) -> DataFrame:
-    """docs -> (doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, and keeps the digests only."""
+    """docs -> (doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, and keeps the digests
+    only. A row for each row of docs, repeated ones too. A null text counts as empty, which has no ids (digests of the empty string); texts are
+    encoded whole, whatever their length; an empty table gives an empty result; only doc_id and text are read."""
     sent = docs.sparkSession.sparkContext.broadcast(open(rank_file, "rb").read())
 
     def run(batches):

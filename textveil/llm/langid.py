@@ -225,8 +225,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, held_out, lang_pred, score; a row for each row of docs.
 
-    lang_pred is ``und`` with score 0 for null texts and those without a letter, and for all where there is no model. Only the
-    text is read."""
+    lang_pred is ``und`` with score 0 for null texts and those without a letter, and for all where there is no model. Of
+    languages of equal probability the first in the order of names is taken. Repeated rows and ids are judged row by row; texts are read
+    whole; an empty table gives an empty result. Only the text is read."""
 
     def run(batches):
         reader = remembered(("langid", zlib.crc32(model["params"]["V"].tobytes())), lambda: Reader(model)) if model else None

@@ -149,6 +149,9 @@ def said(spans, kinds=None):
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, the counts of base finds, base_sha256 and all spans; a row for each row of docs, repeated ones
+    too. Null and empty texts hold no secret (the digest is that of the empty string); texts are read whole; of finds at one place the
+    listed kinds' order decides; an empty table gives an empty result; only doc_id and text are read."""
     found = find_secrets(docs)
     n = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint) as n_{k}") for k in BASE]
     return found.select("doc_id", *n, F.sha2(said(F.col("spans"), BASE), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
