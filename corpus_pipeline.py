@@ -20,13 +20,18 @@ PACKING_WORDS = 300_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pattern grammar scores as toxic go (0.7 and more). Labels of the training share alone are read."""
+    """Documents that the pattern grammar scores as toxic go (0.7 and more). Labels of the training share alone are read.
+
+    Null and empty texts stay here, repeated rows are judged row by row, an empty table gives an empty one."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_civil(docs, model)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule, and those of hosts that fail as a whole, go."""
+    """Documents that fail a rule go, those of hosts that fail as a whole, and those that fail the stricter limit of a rule that their
+    host breaks more often than the corpus.
+
+    Null and empty texts have no words and so go; repeated rows are judged, and count for their host, row by row."""
     return quality.keep_good(docs)
 
 
@@ -58,7 +63,9 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4,096 tokens, packed into sequences."""
+    """Pieces of at most 4,096 tokens, packed into sequences.
+
+    A null text counts as empty, which is one piece (its end mark); repeated rows are packed each; an empty table gives no sequence."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), memory=PACKING_WORDS))
 
 
