@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from textveil.llm import blocknames, lexical, repair
 
@@ -63,6 +64,16 @@ def test_names_go_on_over_borders_of_tasks(spark):
     assert all(names[r.digest] == r.name for r in found)
 
 
+def test_blocks_that_agree_in_what_they_are_dealt_by(spark):
+    """Blocks with one beginning and, here, one hash: the naming sees it and goes by whole blocks."""
+    rng = random.Random(6)
+    texts = ["x" * 20 + rng.choice("abcd") for _ in range(400)] + ["y"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = blocknames.named(blocknames.blocks(docs), hashed=lambda c: F.lit(1)).select("row", "digest", "name").collect()
+    names = {r.digest: r.name for r in found}
+    assert len(found) == 430 and sorted(names.values()) == [1, 2, 3, 4, 5] and all(names[r.digest] == r.name for r in found)
+
+
 # -- conversation repair -----------------------------------------------------------------------------------------------
 def all_audits(codes, limit=3):
     """Least (cost, audit) by trying every sequence of edits with at most ``limit`` inserts in a row."""

@@ -9,6 +9,10 @@ Each naming deals rows by ranges of (block, document), so that a block that a th
 A task ranks its sorted rows; ranks are lifted by what the tasks before it hold, less one wherever a block goes on over a
 border. The text is moved once, at the first level; what later levels move halves from one to the next.
 
+The ranges' bounds are drawn on the driver from samples of what is sorted by. So that it gets no text, blocks are sorted by
+their first NEAR bytes, then by a hash, then in full. Equal blocks then still stand together, unless two different ones agree in both and
+share a border; tasks and borders look for that, and where it is so the naming is done again in the order of whole blocks.
+
 Edge cases. A null text counts as empty; empty texts are equal to each other, and hold one empty block. Repeated rows are
 rows of their own: of rows that agree in length and doc_id one stays. A null doc_id comes after all others in ties, and is
 then the keep_id. A text of any length is read whole. An empty table gives an empty result. Extra columns are not read.
@@ -16,11 +20,13 @@ then the keep_id. A text of any length is read whole. An empty table gives an em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +34,8 @@ from .common import cut, text_rows
 
 #: Bytes of a block.
 BLOCK = 4096
+#: Bytes of a block that are sorted by first: all of a pair of names.
+NEAR = 16
 #: Groups that hold at least this share of all rows are joined by broadcast: there can't be more than so many.
 HOT_SHARE = 1000
 #: What counts as white space.
@@ -48,47 +56,58 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def _ranks(batches):
-    """Ranks the sorted keys of a task from 1; its first and last keys go along on the first and last row."""
-    part, rank, last, held = TaskContext.get().partitionId(), 0, None, None
+    """Ranks the sorted keys of a task from 1; its first and last keys go along on the first and last row. A row clashes whose key is
+    new though what it was dealt by is not."""
+    part, rank, last, held = TaskContext.get().partitionId(), 0, (None, None, None), None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        key = batch.column("key")
-        new = np.ones(n, dtype=np.int64)
-        if n > 1:
-            new[1:] = pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        first = key[0].as_py()
-        new[0] = first != last
-        ranks = rank + np.cumsum(new)
-        rank, head, last = int(ranks[-1]), first if held is None else None, key[n - 1].as_py()
+        columns = [batch.column(c) for c in ("key", "near", "hash")]
+        fresh = np.ones((3, n), dtype=bool)
+        for k, c in enumerate(columns):
+            if n > 1:
+                fresh[k, 1:] = pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            fresh[k, 0] = c[0].as_py() != last[k]
+        ranks = rank + np.cumsum(fresh[0])
+        first, clash = columns[0][0].as_py(), fresh[0] & ~fresh[1] & ~fresh[2]
+        rank, head, last = int(ranks[-1]), first if held is None else None, tuple(c[n - 1].as_py() for c in columns)
         if held is not None:
             yield _out(*held, None)
-        held = (batch, ranks, part, head)
+        held = (batch, ranks, clash, part, head)
     if held is not None:
-        yield _out(*held, last)
+        yield _out(*held, last[0])
 
 
-def _out(batch: pa.RecordBatch, ranks: np.ndarray, part: int, head: bytes | None, tail: bytes | None) -> pa.RecordBatch:
+def _out(batch: pa.RecordBatch, ranks: np.ndarray, clash: np.ndarray, part: int, head: bytes | None, tail: bytes | None) -> pa.RecordBatch:
     n = batch.num_rows
     at = lambda value, i: pa.array([value if k == i else None for k in range(n)], pa.binary()) if value is not None else pa.nulls(n, pa.binary())
-    kept = [c for c in batch.schema.names if c != "key"]
-    columns = [batch.column(c) for c in kept] + [pa.array(ranks), pa.array(np.full(n, part, np.int32)), at(head, 0), at(tail, n - 1)]
-    return pa.RecordBatch.from_arrays(columns, [*kept, "rank", "part", "head", "tail"])
-
-
-def named(rows: DataFrame) -> DataFrame:
-    """rows (CARRIED, key BINARY) -> (CARRIED, name): the rank of the key among the distinct keys of all rows, from 1."""
-    ranged = rows.repartitionByRange("key", "row", "pos").sortWithinPartitions("key", "row", "pos")
+    kept = [c for c in batch.schema.names if c not in ("key", "near", "hash")]
+    columns = [batch.column(c) for c in kept] + [pa.array(ranks), pa.array(clash), pa.array(np.full(n, part, np.int32)), at(head, 0), at(tail, n - 1)]
+    return pa.RecordBatch.from_arrays(columns, [*kept, "rank", "clash", "part", "head", "tail"])
+
+
+def named(rows: DataFrame, whole: bool = False, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """rows (CARRIED, key BINARY) -> (CARRIED, name): the rank of the key among the distinct keys of all rows, from 1. Keys of more than
+    NEAR bytes are ordered by their first ones, their hash, then in full; or, with ``whole``, in full alone."""
+    near = lambda key: F.substring(key, F.lit(1), F.lit(NEAR))
+    keyed = rows.withColumns({"near": near(F.col("key")), "hash": hashed(F.col("key"))})
+    order = ["key"] if whole else ["near", "hash"]
+    ranged = keyed.repartitionByRange(*order, "row", "pos").sortWithinPartitions(*order, "key", "row", "pos")
     # checkpointed before anything reads the tasks' numbers, as a range partitioning computed anew may draw other bounds
-    local = cut(ranged.mapInArrow(_ranks, f"{CARRIED}, rank long, part int, head binary, tail binary"))
-    parts = cut(local.groupBy("part").agg(F.max("rank").alias("n"), F.max("head").alias("head"), F.max("tail").alias("tail")))
-    order = parts.select("part", F.lag("part").over(W.orderBy("part")).alias("before"))  # task numbers alone
+    local = cut(ranged.mapInArrow(_ranks, f"{CARRIED}, rank long, clash boolean, part int, head binary, tail binary"))
+    parts = cut(local.groupBy("part").agg(F.max("rank").alias("n"), F.max("clash").alias("clash"), F.max("head").alias("head"), F.max("tail").alias("tail")))
+    before = parts.select("part", F.lag("part").over(W.orderBy("part")).alias("before"))  # task numbers alone
     tails = parts.select(F.col("part").alias("before"), F.col("tail").alias("ended"))
-    borders = parts.join(order, "part").join(tails, "before", "left").select("part", parts["n"], F.coalesce(F.col("head") == F.col("ended"), F.lit(False)).cast("long").alias("goes_on"))
+    met = parts.join(before, "part").join(tails, "before", "left")
+    if not whole:
+        alike = (near(F.col("head")) == near(F.col("ended"))) & (hashed(F.col("head")) == hashed(F.col("ended"))) & (F.col("head") != F.col("ended"))
+        if met.agg(F.max(F.col("clash") | F.coalesce(alike, F.lit(False)))).first()[0]:
+            return named(rows, True)
+    borders = met.select("part", parts["n"], F.coalesce(F.col("head") == F.col("ended"), F.lit(False)).cast("long").alias("goes_on"))
     upto = W.orderBy("part")
     lift = borders.select("part", (F.coalesce(F.sum("n").over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.sum("goes_on").over(upto.rowsBetween(W.unboundedPreceding, 0))).alias("lift"))
-    columns = [c for c in local.columns if c not in ("rank", "part", "head", "tail")]
+    columns = [c for c in local.columns if c not in ("rank", "clash", "part", "head", "tail")]
     return local.join(F.broadcast(lift), "part").select(*columns, (F.col("rank") + F.col("lift")).alias("name"))  # a row for each task
 
 
@@ -104,7 +123,7 @@ def identities(docs: DataFrame, size: int = BLOCK) -> DataFrame:
         pairs = found.where("n > 1").groupBy("row", F.shiftright("pos", 1).alias("at")).agg(F.max("n").alias("n"), *[F.max(c).alias(c) for c in about[1:]], side(0).alias("left"), side(1).alias("right"))
         whole = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
         keyed = pairs.select("row", F.col("at").alias("pos"), F.ceil(F.col("n") / 2).cast("int").alias("n"), *about[1:], F.concat(whole("left"), whole("right")).alias("key"))
-        found = named(keyed)
+        found = named(keyed, True)  # keys are short
         done.append(found.where("n = 1").select(*about, F.lit(level).alias("level"), "name"))
     out = done[0]
     for more in done[1:]:
