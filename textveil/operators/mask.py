@@ -11,7 +11,10 @@ from ..functions.columns import fold, let, literal_pattern, match_key
 from ..functions.joins import HELD, meet
 from ..functions.lineage import cut
 from . import chunk, detect, review, vault
-from .search import corpus_leaks
+from .search import corpus_leaks, words_of
+
+#: Spellings that are tried one by one; where there are more, the text's words tell first which may stand in it.
+FEW = 8
 
 
 def substitute(text: Column, spans: Column, placeholders: Column) -> Column:
@@ -27,16 +30,31 @@ def substitute(text: Column, spans: Column, placeholders: Column) -> Column:
 
 
 def forms_of(entries: Column, seq: Column | None) -> Column:
-    """array<struct<placeholder, variant>> in minting order, then spelling order; only what was seen up to seq."""
-    visible = F.filter(F.coalesce(entries, F.lit([]).cast("array<struct<first_seq:int,first_start:int,entity_type:string,idx:bigint,placeholder:string,forms:array<struct<variant:string,seen:int>>>>")), lambda e: vault.is_visible(e, seq))
+    """array<struct<placeholder, variant, word, opens>> in minting order, then spelling order; only what was seen up to seq."""
+    visible = F.filter(F.coalesce(entries, F.lit([]).cast("array<struct<first_seq:int,first_start:int,entity_type:string,idx:bigint,placeholder:string,forms:array<struct<variant:string,seen:int,word:string,opens:boolean>>>>")), lambda e: vault.is_visible(e, seq))
 
     def own(e):
         some = e["forms"] if seq is None else F.filter(e["forms"], lambda f: F.coalesce(f["seen"] <= seq, F.lit(True)))
-        return F.transform(some, lambda f: F.struct(e["placeholder"].alias("placeholder"), f["variant"].alias("variant")))
+        return F.transform(some, lambda f: F.struct(e["placeholder"].alias("placeholder"), f["variant"].alias("variant"), f["word"].alias("word"), f["opens"].alias("opens")))
 
     return F.flatten(F.transform(visible, own))
 
 
+def near(text: Column, forms: Column, sweeping: bool = True) -> Column:
+    """Of forms_of's array what may hit in the text, in the same order: one look-up in the text's words instead of a search for each
+    spelling, so that a text costs the same whether its scope knows ten spellings or a thousand.
+
+    A spelling's word stands in every text that the spelling stands in. While sweeping, the text changes: words that placeholders
+    bring in are no spelling's ``word``, and where a likely spelling may part a word in two, all spellings stay."""
+
+    def pick(words: Column) -> Column:
+        some = F.filter(forms, lambda f: (f["word"] == "") | F.array_contains(words, f["word"]))
+        return let(some, lambda s: F.when(F.exists(s, lambda f: f["opens"]), forms).otherwise(s)) if sweeping else some
+
+    met = F.array_intersect(F.transform(forms, lambda f: f["word"]), F.coalesce(words_of(text), F.lit([]).cast("array<string>")))
+    return F.when(F.size(forms) <= FEW, forms).otherwise(let(met, pick))
+
+
 def sweep(text: Column, forms: Column) -> Column:
     """struct<text, sealed>: every known spelling replaced in turn, in any case; sealed names those that hit."""
     state = lambda t, sealed: F.struct(t.alias("text"), fold(t).alias("folded"), sealed.alias("sealed"))
@@ -96,7 +114,8 @@ def mask(
     rows = rows.withColumn("_names", F.transform("approved", lambda s: F.try_element_at("_by_key", key(s))))
     rows = rows.withColumn("_first", substitute(F.col(text), F.col("approved"), F.col("_names")))
     seq = F.col("seq") if sweep_scope == "causal" else None
-    rows = rows.withColumn("_forms", forms_of(F.col("entries"), seq)).withColumn("_swept", sweep(F.col("_first"), F.col("_forms")))
+    rows = rows.withColumn("_forms", forms_of(F.col("entries"), seq)).withColumn("_near", near(F.col("_first"), F.col("_forms")))
+    rows = rows.withColumn("_swept", sweep(F.col("_first"), F.col("_near")))
     rows = rows.withColumn("masked_text", F.col("_swept.text")).withColumn("sealed", F.coalesce("_swept.sealed", F.lit([]).cast("array<string>")))
     rows = rows.withColumn("leaks", looked(F.col(text), F.col("approved"), F.col("entries"), F.col("masked_text"), F.col("_forms"))).withColumn("entity_counts", counts(F.col("approved")))
     out = rows.select(*df.columns, "masked_text", "approved", "declined", "sealed", "leaks", "entity_counts")
@@ -109,7 +128,7 @@ def mask(
 def looked(text: Column, approved: Column, entries: Column, masked: Column, forms: Column) -> Column:
     """The leaks of a masked text, or null where they can't be known: spans without a vault, or a text without a masked one."""
     blind = (entries.isNull() & (F.coalesce(F.size(approved), F.lit(1)) > 0)) | (masked.isNull() & text.isNotNull())
-    return F.when(~blind, F.coalesce(leaks(masked, forms), F.lit([]).cast("array<string>")))
+    return F.when(~blind, F.coalesce(leaks(masked, near(masked, forms, sweeping=False)), F.lit([]).cast("array<string>")))
 
 
 def vault_names(minted: DataFrame, scope: list[str]) -> DataFrame:
@@ -202,7 +221,8 @@ def redact(df: DataFrame, vault_entries: DataFrame, scope: list[str], text: str,
     its scope, up to which values are known."""
     side = vault_entries.select(*scope, F.col("entries").alias("_entries"))
     forms = forms_of(F.col("_entries"), F.col(seq) if seq else None)
-    return meet(df, side, scope, how="left").withColumn(text, sweep(F.col(text), forms)["text"]).drop("_entries")
+    rows = meet(df, side, scope, how="left").withColumn("_forms", forms)
+    return rows.withColumn(text, sweep(F.col(text), near(F.col(text), F.col("_forms")))["text"]).drop("_entries", "_forms")
 
 
 def mask_corpus(

@@ -16,11 +16,20 @@ COMMON = 1000
 SHARE, BROADCAST_CHARS, SALTS = 500_000, 10_000_000, 32
 
 
+def _open_edge(value: Column, at: int) -> Column:
+    return F.regexp_like(F.substring(value, at, 1), F.lit(r"(?U)^[\w&&[^\p{L}\p{N}]]$"))
+
+
+def opens(value: Column) -> Column:
+    """Whether a match of the value's pattern may begin or end inside a word: an edge is a word character at which the pattern demands no
+    word's edge."""
+    return _open_edge(value, 1) | _open_edge(value, -1)
+
+
 def standing_words(value: Column) -> Column:
     """array<string>: words that stand by themselves, and next to each other, in every text in which the value's pattern matches. That
     is so for a run of word characters between others, and at an edge of the value if the pattern demands a word's edge there."""
-    open_edge = lambda c: F.regexp_like(c, F.lit(r"(?U)^[\w&&[^\p{L}\p{N}]]$")).cast("int")
-    left, right = open_edge(F.substring(value, 1, 1)), open_edge(F.substring(value, -1, 1))
+    left, right = _open_edge(value, 1).cast("int"), _open_edge(value, -1).cast("int")
     runs = F.split(fold(value), r"(?U)\W+")
     return F.filter(F.slice(runs, left + 1, F.greatest(F.lit(0), F.size(runs) - left - right)), lambda w: w != "")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import bare, fingerprint, match_key, placeholder
 from ..functions.joins import meet
 from ..functions.lineage import cut
+from .search import opens, standing_words, words_of
 
 SECRET = "not a secret: pass your own"
 
@@ -111,11 +112,22 @@ def carried(vault: DataFrame, mentions: DataFrame, scope: list[str], match: str
 
 
 def entries(vault: DataFrame, scope: list[str], forms: DataFrame) -> DataFrame:
-    """(scope..., entries): each scope's placeholders with all spellings, in minting order, as the sweep needs them."""
+    """(scope..., entries): each scope's placeholders with all spellings, in minting order, as the sweep needs them.
+
+    What the sweep has to know of a spelling is worked out here, once a scope and not once a text: ``word``, the longest word that
+    stands by itself wherever the spelling is met (empty where there is none, or where a placeholder of the scope holds it), and
+    ``opens``, whether a match of it may part a word in two."""
     keys = [*scope, "entity_type", "idx"]
-    spelled = forms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("variant_no", "variant", "first_seq"))).alias("v"))
-    row = F.struct("first_seq", "first_start", "entity_type", "idx", "placeholder", F.transform("v", lambda x: F.struct(x["variant"].alias("variant"), x["first_seq"].alias("seen"))).alias("forms"))
-    return meet(vault, spelled, scope, ["entity_type", "idx"]).groupBy(*scope).agg(F.array_sort(F.collect_list(row)).alias("entries"))
+    longest = F.array_max(F.transform(standing_words(F.col("variant")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    form = F.struct("variant_no", "variant", "first_seq", F.coalesce(longest, F.lit("")).alias("word"), F.coalesce(opens(F.col("variant")), F.lit(True)).alias("opens"))
+    spelled = forms.groupBy(*keys).agg(F.array_sort(F.collect_list(form)).alias("v"))
+    row = F.struct("first_seq", "first_start", "entity_type", "idx", "placeholder", F.transform("v", lambda x: F.struct(x["variant"].alias("variant"), x["first_seq"].alias("seen"), x["word"].alias("word"), x["opens"].alias("opens"))).alias("forms"))
+    known = meet(vault, spelled, scope, ["entity_type", "idx"]).groupBy(*scope).agg(F.array_sort(F.collect_list(row)).alias("entries"))
+    words = F.flatten(F.transform("entries", lambda e: F.transform(e["forms"], lambda f: f["word"])))
+    placed = F.array_intersect(words, F.flatten(F.transform("entries", lambda e: words_of(e["placeholder"]))))
+    own = lambda f: f.withField("word", F.when(F.array_contains("_placed", f["word"]), "").otherwise(f["word"]))
+    marked = F.transform("entries", lambda e: e.withField("forms", F.transform(e["forms"], own)))
+    return known.withColumn("_placed", placed).withColumn("entries", F.when(F.size("_placed") > 0, marked).otherwise(F.col("entries"))).drop("_placed")
 
 
 def is_visible(entry: Column, seq: Column | None) -> Column:

@@ -449,6 +449,17 @@ def redacted_failures(spark, sf_dir):
     return jobs.describe_failures(failed, minted, spelled).select("conv_id", "turn", "error")
 
 
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer)
+SELECT c_custkey AS doc_id, 'No answer to <PERSON_' || CASE WHEN k < 1000 THEN lpad(cast(k as varchar), 3, '0') ELSE cast(k as varchar) END || '>, sent by ' || c_name || '0' AS told FROM n""")
+def redacted_by_nation(spark, sf_dir):
+    """A third party's texts, each redacted with all names of its nation; a longer number is none of them."""
+    customers = read_table(spark, sf_dir, "customer")
+    found = customers.select("c_nationkey", F.col("c_custkey").cast("int").alias("seq"), F.lit(0).alias("start"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("value"))
+    minted = vault.mint(found, ["c_nationkey"], secret=SECRET)
+    told = customers.select("c_nationkey", F.col("c_custkey").alias("doc_id"), F.concat(F.lit("No answer to "), F.upper("c_name"), F.lit(", sent by "), "c_name", F.lit("0")).alias("told"))
+    return mask.redact(told, vault.entries(minted, ["c_nationkey"], vault.variants(found, minted, ["c_nationkey"])), ["c_nationkey"], "told").select("doc_id", "told")
+
+
 @query("""SELECT conv_id, cast(turn as int) AS turn, 'c' || conv_id || '@x.example.com and ' || CASE WHEN turn >= 2 THEN 'd' || conv_id || '@x.example.com' ELSE '<EMAIL_ADDRESS_002>' END AS restored FROM conversations""")
 def replies_as_of_turn(spark, sf_dir):
     turns = owned_turns(spark, sf_dir)
