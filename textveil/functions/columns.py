@@ -49,22 +49,31 @@ def running(items: Column, start: Column, kind: str, step) -> Column:
     return F.when(F.size(items) > 0, F.aggregate(parts, zero, part, lambda a: F.flatten(a["out"]))).otherwise(none)
 
 
-def places(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, v>> of all matches of a pattern that never matches the empty string. Lengths of the gaps and
-    the hits give the offsets; both are counted in code points."""
-    kind = "struct<s:int,e:int,v:string>"
+PLACES = "struct<s:int,e:int,v:string>"
+
+
+def hits_of(text: Column, pattern: str, then) -> Column:
+    """then(gaps, hits) of a pattern that never matches the empty string, null where it matches nowhere."""
+    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    return let(hits, lambda h: F.when(F.size(h) > 0, then(F.split(text, pattern, -1), h)))
+
+
+def located(gaps: Column, hits: Column) -> Column:
+    """array<struct<s, e, v>> of hits: lengths of the gaps and the hits give the offsets; both are counted in code points."""
 
     def step(at, x):
         s = (at + F.length(x["gap"])).cast("int")
         e = (s + F.length(x["hit"])).cast("int")
         return e, F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("v"))
 
-    def fold(gaps: Column, hits: Column) -> Column:
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return let(pairs, lambda x: running(x, F.lit(0), kind, step))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return let(pairs, lambda x: running(x, F.lit(0), PLACES, step))
 
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    return let(hits, lambda h: F.when(F.size(h) == 0, F.lit([]).cast(f"array<{kind}>")).otherwise(let(F.split(text, pattern, -1), lambda g: fold(g, h))))
+
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, v>> of all matches of a pattern that never matches the empty string; none in a null text."""
+    found = hits_of(text, pattern, lambda gaps, hits: let(gaps, lambda g: located(g, hits)))
+    return F.coalesce(found, F.lit([]).cast(f"array<{PLACES}>"))
 
 
 def digits(value: Column) -> Column:

@@ -9,36 +9,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.columns import digits, iban_valid, jmbg_valid, let, luhn_valid, no_spans, places, span
+from ..functions.columns import digits, hits_of, iban_valid, jmbg_valid, let, located, luhn_valid, no_spans, places, span
 
 #: Characters before a match that are searched for context words, what they add, and the default least score.
 WINDOW, BOOST, THRESHOLD = 40, 0.35, 0.4
 
 
-def boosted(text: Column, start: Column, score: Column, words: Iterable[str]) -> Column:
-    """The score, raised where a context word stands shortly before the match."""
-    near = F.lower(F.substring(text, F.greatest(F.lit(1), start - WINDOW + 1), F.least(start, F.lit(WINDOW))))
-    return F.when(F.regexp_like(near, F.lit("|".join(words))), F.least(F.lit(1.0), score + BOOST)).otherwise(score)
-
-
 def pattern_spans(text: Column, entry: tuple, mask_malformed: bool = False) -> Column:
     """Spans of one pattern entry; checksummed kinds keep what is valid (score 1), and malformed ones at their score if asked."""
-    kind, name, expression, score, must, validator = entry
-    valid = {"jmbg": jmbg_valid, "iban": iban_valid, "luhn": luhn_valid}.get(validator)
-
-    def rated(x: Column) -> Column:
-        rate = F.lit(float(score))
-        if name in P.CONTEXT:
-            rate = boosted(text, x["s"], rate, P.CONTEXT[name])
-        if valid:
-            rate = F.when(valid(x["v"]), F.lit(0.95 if validator == "luhn" else 1.0)).otherwise(rate if mask_malformed and validator != "luhn" else F.lit(-1.0))
-        return span(kind, x["s"], x["e"], rate, x["v"])
-
-    found = F.transform(places(text, expression), rated)
-    found = F.filter(found, lambda s: s["score"] >= 0) if valid else found
-    if name in P.GATES:
-        found = F.when(F.regexp_like(text, F.lit(P.GATES[name])), found).otherwise(no_spans())
-    return F.when(F.contains(text, F.lit(must)), found).otherwise(no_spans()) if must else found
+    return matched(text, [entry], mask_malformed)
+
+
+def matched(text: Column, entries: list[tuple], mask_malformed: bool = False) -> Column:
+    """Spans of all these pattern entries. Only the matching is written out for each: offsets, scores and checksums are one
+    expression over what matched, so that the plan grows by little with an entry."""
+    if not entries:
+        return no_spans()
+
+    def found(entry: tuple) -> Column:
+        kind, name, expression, score, must, validator = entry
+        facts = [F.lit(kind).alias("kind"), F.lit(float(score)).alias("score"), F.lit(validator or "").alias("check"), F.lit(list(P.CONTEXT.get(name, ()))).cast("array<string>").alias("words")]
+        out = hits_of(text, expression, lambda gaps, hits: F.struct(*facts, gaps.alias("gaps"), hits.alias("hits")))
+        if name in P.GATES:
+            out = F.when(F.regexp_like(text, F.lit(P.GATES[name])), out)
+        return F.when(F.contains(text, F.lit(must)), out) if must else out
+
+    # entries without a substring of their own all need a digit: most chunks skip them after one look
+    parts = [F.array(*[found(e) for e in entries if e[4]])]
+    if numeric := [found(e) for e in entries if not e[4]]:
+        parts.append(F.when(F.regexp_like(text, F.lit(r"\p{Nd}")), F.array(*numeric)).otherwise(F.array()))
+    spans = F.transform(F.array_compact(F.concat(*parts)), lambda m: F.transform(located(m["gaps"], m["hits"]), lambda x: rated(text, m, x, mask_malformed)))
+    return F.coalesce(F.filter(F.flatten(spans), lambda s: s["score"] >= 0), no_spans())
+
+
+def rated(text: Column, entry: Column, x: Column, mask_malformed: bool) -> Column:
+    """The span of one match: its entry's score, raised where a context word stands shortly before it, or what its checksum makes of
+    it (below 0: none)."""
+    near = F.lower(F.substring(text, F.greatest(F.lit(1), x["s"] - WINDOW + 1), F.least(x["s"], F.lit(WINDOW))))
+    rate = F.when((F.size(entry["words"]) > 0) & F.exists(entry["words"], lambda w: F.contains(near, w)), F.least(F.lit(1.0), entry["score"] + BOOST)).otherwise(entry["score"])
+    malformed = F.when(entry["check"] != "luhn", rate).otherwise(-1.0) if mask_malformed else F.lit(-1.0)
+    checked = F.when(entry["check"] == "", rate)
+    for name, valid, score in (("jmbg", jmbg_valid, 1.0), ("iban", iban_valid, 1.0), ("luhn", luhn_valid, 0.95)):
+        checked = checked.when(entry["check"] == name, F.when(valid(x["v"]), score).otherwise(malformed))
+    return span(entry["kind"], x["s"], x["e"], checked, x["v"])
 
 
 def fields(text: Column) -> Column:
@@ -141,12 +154,7 @@ def spans_of(
 
     def all_of(x: Column) -> Column:
         f = x["fields"]
-        arrays = [pattern_spans(text, e, mask_malformed) for e in entries if e[4]] + [field_spans(f), x["given"]]
-        # entries without a substring of their own all need a digit: most chunks skip them after one look
-        numeric = [pattern_spans(text, e, mask_malformed) for e in entries if not e[4]]
-        if numeric:
-            arrays.append(F.when(F.regexp_like(text, F.lit(r"\p{Nd}")), F.concat(*numeric)).otherwise(no_spans()))
-        return resolve(drop_labels(F.filter(F.concat(*arrays), lambda s: (s["score"] >= threshold) & s["entity_type"].isin(wanted)), f))
+        return resolve(drop_labels(F.filter(F.concat(matched(text, entries, mask_malformed), field_spans(f), x["given"]), lambda s: (s["score"] >= threshold) & s["entity_type"].isin(wanted)), f))
 
     return F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S")), let(F.struct(fields(text).alias("fields"), given.alias("given")), all_of)).otherwise(no_spans())
 
