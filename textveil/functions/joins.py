@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from .lineage import wide
+
 #: The name of a scope that is held as one struct: never null itself, and structs of equal fields are equal, null ones too.
 HELD = "_scope"
 
@@ -15,7 +17,7 @@ def meet(left: DataFrame, right: DataFrame, scope: Iterable[str], keys: Iterable
     """left joined with right on the scope's columns, of which nulls are equal, and on the keys. Shared columns are left's."""
     scope, keys = list(scope), list(keys)
     if set(scope) <= {HELD}:
-        return left.join(right, [*scope, *keys], how)
+        return left.join(wide(right), [*scope, *keys], how)
     side = right.withColumnsRenamed({c: f"_right_{c}" for c in (*scope, *keys)})
     equal = [left[c].eqNullSafe(side[f"_right_{c}"]) for c in scope] + [left[c] == side[f"_right_{c}"] for c in keys]
-    return left.join(side, reduce(lambda a, b: a & b, equal), how).drop(*[f"_right_{c}" for c in (*scope, *keys)])
+    return left.join(wide(side), reduce(lambda a, b: a & b, equal), how).drop(*[f"_right_{c}" for c in (*scope, *keys)])

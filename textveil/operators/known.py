@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPANS, let, literal_pattern, no_spans, span
-from ..functions.lineage import cut
+from ..functions.lineage import cut, wide
 from .search import candidates
 
 #: The score of a known value.
@@ -41,9 +41,9 @@ def find(df: DataFrame, values: DataFrame, *, text: str = "text", into: str = "k
     listed = values.select(F.col("entity_type").cast("string").alias("entity_type"), F.col("value").cast("string").alias("variant")).where("entity_type is not null").distinct()
     rows = cut(df.withColumn("_known_row", F.monotonically_increasing_id()))  # the numbers are fixed, and what made the texts runs once
     texts = rows.select("_known_row", F.col(text).alias("_text"))
-    met = texts.join(candidates(texts, listed, "_known_row", "_text"), "_known_row")
+    met = texts.join(wide(candidates(texts, listed, "_known_row", "_text")), "_known_row")
     held = F.filter("variants", lambda v: F.regexp_like("_text", literal_pattern(v, ignore_case)))
-    typed = met.select("_known_row", F.explode(held).alias("variant")).join(listed, "variant")
+    typed = met.select("_known_row", F.explode(held).alias("variant")).join(wide(listed), "variant")
     own = typed.groupBy("_known_row").agg(F.array_sort(F.collect_list(F.struct("variant", "entity_type"))).alias("_values"))
     spans = F.flatten(F.transform("_values", lambda v: places_of(F.col(text), v["variant"], v["entity_type"], score, ignore_case)))
-    return rows.join(own, "_known_row", "left").withColumn(into, F.coalesce(spans, no_spans()).cast(SPANS)).drop("_known_row", "_values")
+    return rows.join(wide(own), "_known_row", "left").withColumn(into, F.coalesce(spans, no_spans()).cast(SPANS)).drop("_known_row", "_values")

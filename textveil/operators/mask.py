@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fold, let, literal_pattern, match_key
 from ..functions.joins import HELD, meet
-from ..functions.lineage import cut
+from ..functions.lineage import cut, wide
 from . import chunk, detect, review, vault
 from .search import corpus_leaks, words_of
 
@@ -109,7 +109,7 @@ def mask(
     found = mentions_of(judged, [HELD])
     minted = cut(vault.mint(found, [HELD], match=match, secret=secret))
     spelled = cut(vault.variants(found, minted, [HELD], match))
-    rows = judged.join(vault.entries(minted, [HELD], spelled), HELD, "left").join(vault_names(minted, [HELD]), HELD, "left")
+    rows = judged.join(wide(vault.entries(minted, [HELD], spelled)), HELD, "left").join(wide(vault_names(minted, [HELD])), HELD, "left")
     key = lambda s: F.concat_ws("\u0001", s["entity_type"], match_key(s["value"], match))
     rows = rows.withColumn("_names", F.transform("approved", lambda s: F.try_element_at("_by_key", key(s))))
     rows = rows.withColumn("_first", substitute(F.col(text), F.col("approved"), F.col("_names")))
@@ -186,7 +186,7 @@ def mask_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ma
     whole = whole.withColumn("text", F.when(bare, F.col("_bare")).otherwise(joined("t"))).withColumn("masked_text", F.when(bare, F.col("_bare")).when(~F.exists("c", lambda x: x["m"].isNull()), joined("m")))
     whole = whole.select("_scope", *along, "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined"))
     whole = whole.withColumn("spans", F.coalesce("spans", detect.no_spans()))
-    out = whole.join(vault.entries(minted, ["_scope"], spelled), "_scope", "left")
+    out = whole.join(wide(vault.entries(minted, ["_scope"], spelled)), "_scope", "left")
     out = out.withColumn("leaks", looked(F.col("text"), F.col("spans"), F.col("entries"), F.col("masked_text"), forms_of(F.col("entries"), None)))
     return out.select("_scope", "text", "masked_text", "spans", F.coalesce("sealed", F.lit([]).cast("array<string>")).alias("sealed"), "leaks", F.coalesce("n_declined", F.lit(0)).alias("n_declined"), *[f"{c}.*" for c in along]), minted, spelled
 
@@ -264,25 +264,25 @@ def mask_corpus(
     value = lambda s: F.struct(s["entity_type"].alias("entity_type"), match_key(s["value"], match).alias("match_key"))
     said = rows.select("_row", F.explode(F.array_distinct(F.transform("approved", value))).alias("k")).select("_row", "k.*")
     pair = F.struct(F.concat_ws("\u0001", "entity_type", "match_key").alias("k"), F.col("placeholder").alias("v"))
-    names = said.join(minted.select("entity_type", "match_key", "placeholder"), ["entity_type", "match_key"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(pair)).alias("_by_key"))
+    names = said.join(wide(minted.select("entity_type", "match_key", "placeholder")), ["entity_type", "match_key"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(pair)).alias("_by_key"))
     key = lambda s: F.concat_ws("\u0001", s["entity_type"], match_key(s["value"], match))
-    first = rows.join(names, "_row", "left").withColumn("_first", substitute(F.col("text"), F.col("approved"), F.transform("approved", lambda s: F.try_element_at("_by_key", key(s)))))
+    first = rows.join(wide(names), "_row", "left").withColumn("_first", substitute(F.col("text"), F.col("approved"), F.transform("approved", lambda s: F.try_element_at("_by_key", key(s)))))
     first = cut(first.drop("_by_key"))
     order = F.struct("first_seq", "first_start", "entity_type", "idx").alias("o")
-    forms = spelled.join(minted.select("entity_type", "idx", "placeholder", order), ["entity_type", "idx"])
+    forms = spelled.join(wide(minted.select("entity_type", "idx", "placeholder", order)), ["entity_type", "idx"])
     if old_forms is None:
         forms = forms.withColumn("_old", F.lit(False))
     else:
         ids = ["entity_type", "idx", "variant"]
-        forms = forms.join(old_forms.select(*ids).distinct().withColumn("_old", F.lit(True)), ids, "left")
+        forms = forms.join(wide(old_forms.select(*ids).distinct().withColumn("_old", F.lit(True))), ids, "left")
     forms = forms.select("variant", "variant_no", "placeholder", "o", F.col("first_seq").alias("_seen"), F.coalesce("_old", F.lit(False)).alias("_old"))
-    met = corpus_leaks(first.select("_row", "_first"), spelled.select("variant"), "_row", "_first").join(forms, "variant")
+    met = corpus_leaks(first.select("_row", "_first"), spelled.select("variant"), "_row", "_first").join(wide(forms), "variant")
     if sweep_scope == "causal":
         met = met.where(F.col("_old") | (F.col("_seen") <= F.col("_row")))
     own = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("o", "variant_no", "placeholder", "variant"))).alias("_f"))
     swept = sweep(F.col("_first"), F.coalesce(F.transform("_f", lambda f: F.struct(f["placeholder"].alias("placeholder"), f["variant"].alias("variant"))), F.lit([]).cast("array<struct<placeholder:string,variant:string>>")))
     moved = F.transform("approved", lambda s: F.struct(s["entity_type"].alias("entity_type"), (s["start"] + F.col("chunk_start")).alias("start"), (s["end"] + F.col("chunk_start")).alias("end"), s["score"].alias("score"), s["value"].alias("value")))
-    done = first.join(own, "_row", "left").withColumn("_swept", swept)
+    done = first.join(wide(own), "_row", "left").withColumn("_swept", swept)
     piece = F.struct("seq", F.col("_swept.text").alias("m"), moved.alias("s"), F.col("_swept.sealed").alias("x"), F.size("declined").alias("d"), F.col("text").alias("t"))
     whole = done.groupBy("_doc").agg(F.first("_id").alias(doc_id), F.max("_bare").alias("_bare"), *[F.first(c, ignorenulls=True).alias(c) for c in along], F.array_sort(F.collect_list(F.when(F.col("seq").isNotNull(), piece))).alias("c"))
     joined = lambda k: F.array_join(F.transform("c", lambda x: x[k]), "")
@@ -290,5 +290,5 @@ def mask_corpus(
     whole = whole.withColumn("text", F.when(bare, F.col("_bare")).otherwise(joined("t"))).withColumn("masked_text", F.when(bare, F.col("_bare")).when(~F.exists("c", lambda x: x["m"].isNull()), joined("m")))
     whole = cut(whole.select("_doc", *along, doc_id, "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined")))
     left = corpus_leaks(whole.select("_doc", "masked_text"), spelled.select("variant"), "_doc", "masked_text").groupBy("_doc").agg(F.array_sort(F.collect_list("variant")).alias("leaks"))
-    out = whole.join(left, "_doc", "left")
+    out = whole.join(wide(left), "_doc", "left")
     return out.select(doc_id, "text", "masked_text", "spans", "sealed", F.coalesce("leaks", F.lit([]).cast("array<string>")).alias("leaks"), "n_declined", *[f"{c}.*" for c in along]), minted, spelled

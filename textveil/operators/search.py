@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fold, literal_pattern
-from ..functions.lineage import cut
+from ..functions.lineage import cut, wide
 
 #: A character that is neither white space nor a plain letter or digit.
 SIGN = r"(?U)([^\s\p{L}\p{Nd}])"
 #: Texts from which a word counts as common: values that have no rarer one are keyed by two adjacent words.
 COMMON = 1000
-#: Candidates that one share of a key's texts may make, and words that may be broadcast (their characters are counted first).
-SHARE, BROADCAST_CHARS, SALTS = 500_000, 10_000_000, 32
+#: Candidates that one share of a key's texts may make, words that may be broadcast (their characters are counted first), texts from
+#: which a word's texts are dealt to so many shares.
+SHARE, BROADCAST_CHARS, HOT, SALTS = 500_000, 10_000_000, 100_000, 32
 
 
 def _open_edge(value: Column, at: int) -> Column:
@@ -59,22 +60,25 @@ def text_keys(text: Column) -> Column:
 
 def _spoken(said: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """The rows of said (key, _w) whose word is in the vocabulary. A common word's rows never lie in one task: the vocabulary is
-    broadcast if its characters are few, else it goes to SALTS shares of each word's rows."""
+    broadcast if its characters are few; else a word of more than HOT rows has them dealt to SALTS shares, and it alone is repeated."""
     chars = vocabulary.agg(F.coalesce(F.sum(F.length("_w") + 16), F.lit(0))).first()[0]
     if chars <= BROADCAST_CHARS:
         return said.join(F.broadcast(vocabulary), "_w", "left_semi")
-    spread = vocabulary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return said.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(spread, ["_w", "_salt"], "left_semi").drop("_salt")
+    hot = F.broadcast(cut(said.groupBy("_w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("_w", F.lit(SALTS).alias("_n"))))  # a row for each HOT words said at most
+    shares = lambda df: df.join(hot, "_w", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    dealt = shares(said).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_n")).cast("int")).drop("_n")
+    lists = shares(vocabulary).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return dealt.join(wide(lists), ["_w", "_salt"], "left_semi").drop("_salt")
 
 
 def _met(said: DataFrame, keyed: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """(key, variant) of said (key, _w) and keyed (variant, _w). A word whose texts and values would make more candidates than a
     share holds has its texts dealt to as many shares as that asks for, and its values given to each."""
-    sizes = keyed.groupBy("_w").agg(F.count(F.lit(1)).alias("k")).join(counts, "_w").withColumn("_n", F.ceil(F.col("n") * F.col("k") / SHARE).cast("int"))
+    sizes = keyed.groupBy("_w").agg(F.count(F.lit(1)).alias("k")).join(wide(counts), "_w").withColumn("_n", F.ceil(F.col("n") * F.col("k") / SHARE).cast("int"))
     heavy = F.broadcast(cut(sizes.where("_n > 1").select("_w", "_n")))  # a row for each SHARE candidates at most
     texts = said.join(heavy, "_w", "left").withColumn("_salt", F.pmod(F.xxhash64(key), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
     lists = keyed.join(heavy, "_w", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
-    return texts.join(lists, ["_w", "_salt"]).select(key, "variant")
+    return texts.join(wide(lists), ["_w", "_salt"]).select(key, "variant")
 
 
 def candidates(texts: DataFrame, values: DataFrame, key: str, text: str = "text", common: int = COMMON) -> DataFrame:
@@ -87,17 +91,17 @@ def candidates(texts: DataFrame, values: DataFrame, key: str, text: str = "text"
     # the words that count are kept for both uses
     said = cut(_spoken(texts.select(key, F.explode(text_keys(F.col(text))).alias("_w")), words.select("_w").distinct(), key))
     counts = cut(said.groupBy("_w").agg(F.count(F.lit(1)).alias("n")))
-    rarest = lambda w, n: w.join(n, "_w", "left").groupBy("variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_w"))).alias("m")).select("variant", "m.n", "m._w")
+    rarest = lambda w, n: w.join(wide(n), "_w", "left").groupBy("variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_w"))).alias("m")).select("variant", "m.n", "m._w")
     keyed = cut(rarest(words, counts))
     plain, met = keyed, None
     pairs = keyed.where(F.col("n") > common).select("variant", F.explode(pairs_of(standing_words(F.col("variant")))).alias("_w"))
     if not pairs.isEmpty():
         pairs = cut(pairs)
         paired = pairs.select("variant").distinct()
-        plain = keyed.join(paired, "variant", "left_anti")
+        plain = keyed.join(wide(paired), "variant", "left_anti")
         # only texts with a common word of such a value are exploded again
-        able = said.join(F.broadcast(cut(keyed.join(paired, "variant", "left_semi").select("_w").distinct())), "_w", "left_semi").select(key).distinct()  # common words: at most all words said by COMMON
-        spoken = cut(_spoken(texts.join(able, key, "left_semi").select(key, F.explode(pairs_of(words_of(F.col(text)))).alias("_w")), pairs.select("_w").distinct(), key))
+        able = said.join(F.broadcast(cut(keyed.join(wide(paired), "variant", "left_semi").select("_w").distinct())), "_w", "left_semi").select(key).distinct()  # common words: at most all words said by COMMON
+        spoken = cut(_spoken(texts.join(wide(able), key, "left_semi").select(key, F.explode(pairs_of(words_of(F.col(text)))).alias("_w")), pairs.select("_w").distinct(), key))
         n_pairs = cut(spoken.groupBy("_w").agg(F.count(F.lit(1)).alias("n")))
         met = _met(spoken, rarest(pairs, n_pairs).where("n > 0").select("variant", "_w"), n_pairs, key)
     own = _met(said, plain.where("n > 0").select("variant", "_w"), counts, key)
@@ -108,6 +112,6 @@ def corpus_leaks(texts: DataFrame, values: DataFrame, key: str, text: str = "tex
     """(key, variant): texts that hold a value of a corpus-wide list (variant), in any case, as its pattern has it. Texts may share a
     key, or have none."""
     rows = cut(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_at", F.monotonically_increasing_id()))
-    met = rows.join(candidates(rows, values, "_at", "_text", common), "_at")
+    met = rows.join(wide(candidates(rows, values, "_at", "_text", common)), "_at")
     held = F.filter("variants", lambda v: F.regexp_like("_text", literal_pattern(v)))
     return met.select(F.col("_key").alias(key), F.explode(held).alias("variant")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import conversation, detect, mask, restore, vault
 from ..operators.chunk import MAX_CHARS
 from ..functions.joins import meet
-from ..functions.lineage import cut
+from ..functions.lineage import cut, wide
 from ..sources import publish, refuse_existing
 from ..sources.files import write_files
 
@@ -59,7 +59,7 @@ def round_trip(docs: DataFrame, **options) -> DataFrame:
     masked, minted, spelled = mask.mask_rows(docs, **options)
     back = restore.restore(masked.select("_scope", "text", "masked_text"), minted, ["_scope"], text="masked_text")
     many = vault.canonicalized(spelled, minted, ["_scope"]).groupBy("_scope").agg(F.count(F.lit(1)).alias("n_canonicalized"))
-    out = back.join(many, "_scope", "left").withColumn("n_canonicalized", F.coalesce("n_canonicalized", F.lit(0)))
+    out = back.join(wide(many), "_scope", "left").withColumn("n_canonicalized", F.coalesce("n_canonicalized", F.lit(0)))
     return out.select(F.col("_scope.id").alias("doc_id"), "masked_text", "restored", "n_canonicalized", restore.verdict(F.col("text"), F.col("restored"), F.col("n_canonicalized")).alias("verdict"))
 
 
