@@ -59,12 +59,15 @@ def fields(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kind, labels in P.FIELD_LABELS.items() for label in labels for x in (label, kind)])
 
     def parts(x: Column) -> Column:
-        part = lambda i: F.regexp_extract(x["v"], P.FIELD_PARTS, i)
-        l_start = x["s"] + F.length(part(1))
-        l_end = l_start + F.length(part(2))
-        start = l_end + F.length(part(3))
-        kind = F.try_element_at(known, F.lower(F.trim(part(2))))
-        return F.struct(kind.alias("entity_type"), l_start.alias("l_start"), l_end.alias("l_end"), start.alias("start"), (start + F.length(part(4))).alias("end"), part(4).alias("value"))
+        # each group is taken out of the line once
+        return let(F.struct(*[F.regexp_extract(x["v"], P.FIELD_PARTS, i).alias(f"p{i}") for i in (1, 2, 3, 4)]), lambda p: placed(x, p))
+
+    def placed(x: Column, p: Column) -> Column:
+        l_start = x["s"] + F.length(p["p1"])
+        l_end = l_start + F.length(p["p2"])
+        start = l_end + F.length(p["p3"])
+        kind = F.try_element_at(known, F.lower(F.trim(p["p2"])))
+        return F.struct(kind.alias("entity_type"), l_start.alias("l_start"), l_end.alias("l_end"), start.alias("start"), (start + F.length(p["p4"])).alias("end"), p["p4"].alias("value"))
 
     found = F.filter(F.transform(places(text, P.FIELD_LINE), parts), lambda f: f["entity_type"].isNotNull())
     kind = "array<struct<entity_type:string,l_start:int,l_end:int,start:int,end:int,value:string>>"
@@ -219,5 +222,6 @@ def _built(text: str, extra: tuple[str, ...], options: dict) -> Column:
 
 
 def explode_spans(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
-    """A row for each span, with the keys."""
-    return df.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.*")
+    """A row for each span, with the keys. (Spark puts a filter on the array's size below an inner explode, which would detect anew for
+    each mention of the array there; an outer one has none.)"""
+    return df.select(*keys, F.explode_outer(spans).alias("s")).where("s is not null").select(*keys, "s.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import patterns as P
-from ..functions.lineage import shared_folder
+from ..functions.lineage import shared_folder, spread, wide
 from ..operators import chunk, conversation, detect, known, mask, report, restore, review, vault
 from ..sources import read_table
 from ..streaming import live, mask_turns, sinks, use_rocksdb
@@ -38,8 +38,13 @@ def query(oracle: str | None = None):
     return put
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers, dealt out: their file is small for the texts that are made of its rows."""
+    return spread(read_table(spark, sf_dir, "customer"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.expr(RECORD).alias("text"))
+    return customers(spark, sf_dir).select(F.col("c_custkey").cast("long").alias("doc_id"), F.expr(RECORD).alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +96,7 @@ UNION ALL SELECT c_custkey, 'AKIA' || lpad(cast(c_custkey as varchar), 16, 'Z'),
 UNION ALL SELECT c_custkey, 'Bearer ' || lpad(cast(c_custkey as varchar), 22, 't'), 0.85 FROM customer""")
 def api_keys(spark, sf_dir):
     text = F.expr("'keys: sk-' || lpad(cast(c_custkey as string), 24, 'k') || ', AKIA' || lpad(cast(c_custkey as string), 16, 'Z') || ' and Bearer ' || lpad(cast(c_custkey as string), 22, 't')")
-    rows = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    rows = customers(spark, sf_dir).select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
     return detect.explode_spans(detect.detect(rows, entities=("API_KEY",)), "doc_id").select("doc_id", "value", "score")
 
 
@@ -222,8 +227,8 @@ def fingerprints(spark, sf_dir):
 def cross_run_link(spark, sf_dir):
     """Two runs, over the customers and over those that the orders name, agree by fingerprint alone."""
     mention = lambda seq, value: (seq.alias("seq"), F.lit(0).alias("start"), F.lit("PERSON").alias("entity_type"), value.alias("value"))
-    customers = read_table(spark, sf_dir, "customer").select(*mention(F.col("c_custkey"), F.col("c_name")))
-    left, right = vault.mint(customers, [], secret=SECRET), vault.mint(order_mentions(spark, sf_dir).drop("c_nationkey"), [], secret=SECRET)
+    named = read_table(spark, sf_dir, "customer").select(*mention(F.col("c_custkey"), F.col("c_name")))
+    left, right = vault.mint(named, [], secret=SECRET), vault.mint(order_mentions(spark, sf_dir).drop("c_nationkey"), [], secret=SECRET)
     return vault.cross_run_links(left, right).select("fingerprint")
 
 
@@ -260,7 +265,7 @@ def guard_split(spark, sf_dir):
     """Every fifth record gets its name back into the masked text, as a faulty step would; the guard holds it."""
     out, minted, spelled = mask.mask_documents(records(spark, sf_dir))
     names = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
-    rows = out.select("doc_id", "masked_text").join(names, "doc_id").join(vault.entries(minted, ["doc_id"], spelled), "doc_id", "left")
+    rows = out.select("doc_id", "masked_text").join(wide(names), "doc_id").join(wide(vault.entries(minted, ["doc_id"], spelled)), "doc_id", "left")
     rows = rows.withColumn("masked_text", F.when(F.col("doc_id") % 5 == 0, F.concat("masked_text", F.lit(" "), F.lower("c_name"))).otherwise(F.col("masked_text")))
     released, held = mask.guard(rows.withColumn("leaks", mask.leaks(F.col("masked_text"), mask.forms_of(F.col("entries"), None))))
     return released.select("doc_id", F.lit(True).alias("released")).union(held.select("doc_id", F.lit(False)))
@@ -423,7 +428,7 @@ TWO_MASKED = """'Full name: <PERSON_001>' || chr(10) || 'Client: ' || CASE WHEN
 def mask_two_chunks(spark, sf_dir):
     """Several values a type, spellings, chunks, missed mentions, decisions, labels without checksums, context words. The sweep goes by minting
     order, so the partner's later mention loses the part that is the first name."""
-    rows = read_table(spark, sf_dir, "customer")
+    rows = customers(spark, sf_dir)
     said = rows.where("c_custkey % 3 = 0").select(F.lit("PERSON").alias("entity_type"), F.concat(F.lit("partner "), F.lower("c_name")).alias("value_key"), F.lit("n").alias("answer"))
     docs = rows.select(F.col("c_custkey").cast("long").alias("doc_id"), F.expr(TWO_NAMES).alias("text"))
     out, _, _ = mask.mask_documents(docs, max_chars=500, decisions=said, confirm_below=0.9)
@@ -464,10 +469,10 @@ def redacted_failures(spark, sf_dir):
 SELECT c_custkey AS doc_id, 'No answer to <PERSON_' || CASE WHEN k < 1000 THEN lpad(cast(k as varchar), 3, '0') ELSE cast(k as varchar) END || '>, sent by ' || c_name || '0' AS told FROM n""")
 def redacted_by_nation(spark, sf_dir):
     """A third party's texts, each redacted with all names of its nation; a longer number is none of them."""
-    customers = read_table(spark, sf_dir, "customer")
-    found = customers.select("c_nationkey", F.col("c_custkey").cast("int").alias("seq"), F.lit(0).alias("start"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("value"))
+    rows = customers(spark, sf_dir)
+    found = rows.select("c_nationkey", F.col("c_custkey").cast("int").alias("seq"), F.lit(0).alias("start"), F.lit("PERSON").alias("entity_type"), F.col("c_name").alias("value"))
     minted = vault.mint(found, ["c_nationkey"], secret=SECRET)
-    told = customers.select("c_nationkey", F.col("c_custkey").alias("doc_id"), F.concat(F.lit("No answer to "), F.upper("c_name"), F.lit(", sent by "), "c_name", F.lit("0")).alias("told"))
+    told = rows.select("c_nationkey", F.col("c_custkey").alias("doc_id"), F.concat(F.lit("No answer to "), F.upper("c_name"), F.lit(", sent by "), "c_name", F.lit("0")).alias("told"))
     return mask.redact(told, vault.entries(minted, ["c_nationkey"], vault.variants(found, minted, ["c_nationkey"])), ["c_nationkey"], "told").select("doc_id", "told")
 
 
@@ -537,7 +542,7 @@ s AS (SELECT doc_id, text, unnest([struct_pack(s := 11, n := n), struct_pack(s :
 SELECT doc_id, p.s :: INTEGER AS "start", (p.s + p.n) :: INTEGER AS "end", substr(text, (p.s + 1) :: BIGINT, p.n :: BIGINT) AS value FROM s""")
 def known_names(spark, sf_dir):
     """The names of all customers, and of their partners, from a table, over all records, in any case; the longer one stays."""
-    rows = read_table(spark, sf_dir, "customer")
+    rows = customers(spark, sf_dir)
     values = rows.select(F.lit("PERSON").alias("entity_type"), F.explode(F.array("c_name", F.concat(F.lit("Partner "), "c_name"))).alias("value"))
     docs = rows.select(F.col("c_custkey").alias("doc_id"), F.expr(TWO_NAMES).alias("text"))
     found = known.find(docs, values, ignore_case=True)
@@ -567,10 +572,10 @@ SELECT doc_id, 'Full name: <PERSON_' || format('{{:03d}}', k) || '>' || chr(10)
 def mask_corpus_causal(spark, sf_dir):
     """One vault that grows from record to record: a name that an earlier record introduced is swept, one that only a later one
     does stays, and the leak search over all texts reports it."""
-    rows = read_table(spark, sf_dir, "customer")
+    rows = customers(spark, sf_dir)
     # each neighbour is the next key up or down, as keys have no gaps
     name = lambda alias, step: rows.select((F.col("c_custkey") + step).alias("c_custkey"), F.upper("c_name").alias(alias))
-    met = rows.join(name("before", 1), "c_custkey", "left").join(name("after", -1), "c_custkey", "left").fillna("nobody", ["before", "after"])
+    met = rows.join(wide(name("before", 1)), "c_custkey", "left").join(wide(name("after", -1)), "c_custkey", "left").fillna("nobody", ["before", "after"])
     docs = met.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Full name: "), "c_name", F.lit("\nmet "), "before", F.lit(" and "), "after").alias("text"))
     out, _, _ = mask.mask_corpus(docs, secret=SECRET, sweep_scope="causal")
     return out.select("doc_id", "masked_text", F.size("leaks").alias("n_leaks"))
