@@ -232,7 +232,13 @@ def cross_run_link(spark, sf_dir):
     return vault.cross_run_links(left, right).select("fingerprint")
 
 
-TEMPLATE = "'Full name: <PERSON_001>' || chr(10) || 'ID number: <NATIONAL_ID_001>' || chr(10) || 'Email: <EMAIL_ADDRESS_001>' || chr(10) || 'Note: filed by <EMPLOYEE_ID_001> for EUR ' || cast(c_custkey + 1 as varchar) || ',250.50 and ' || cast(c_nationkey + 1 as varchar) || ' dollars'"
+#: Whether a record's number is a card's: the strongest finding stays, and a card's check digit (0.95) is stronger than a label (0.8), though
+#: not than a national id's (1). Numbers of 13 digits that don't begin with 0 come with customers from 130,645 on.
+LUHN = f"list_sum(list_transform(range(1, 14), lambda i: CASE WHEN i % 2 = 1 THEN cast(({DIGITS})[i] as int) WHEN cast(({DIGITS})[i] as int) > 4 THEN cast(({DIGITS})[i] as int) * 2 - 9 ELSE cast(({DIGITS})[i] as int) * 2 END)) % 10"
+JMBG = f"11 - list_sum(list_transform(range(1, 13), lambda i: cast(({DIGITS})[i] as int) * ([7,6,5,4,3,2,7,6,5,4,3,2])[i])) % 11"
+IS_CARD = f"(({DIGITS})[1] BETWEEN '1' AND '6' AND {LUHN} = 0 AND (CASE WHEN {JMBG} < 10 THEN {JMBG} ELSE 0 END) <> cast(({DIGITS})[13] as int))"
+
+TEMPLATE = f"'Full name: <PERSON_001>' || chr(10) || 'ID number: <' || CASE WHEN {IS_CARD} THEN 'CREDIT_CARD' ELSE 'NATIONAL_ID' END || '_001>' || chr(10) || 'Email: <EMAIL_ADDRESS_001>' || chr(10) || 'Note: filed by <EMPLOYEE_ID_001> for EUR ' || cast(c_custkey + 1 as varchar) || ',250.50 and ' || cast(c_nationkey + 1 as varchar) || ' dollars'"
 
 
 @query(f"SELECT c_custkey AS doc_id, {TEMPLATE} AS masked_text, 0 AS n_leaks FROM customer")
