@@ -218,11 +218,30 @@ def unsafe_in(masked: DataFrame) -> Column:
 
 def redact(df: DataFrame, vault_entries: DataFrame, scope: list[str], text: str, seq: str | None = None) -> DataFrame:
     """df with every value that the scope's vault knows replaced in a third party's text. seq: a column with the row's place in
-    its scope, up to which values are known."""
+    its scope, up to which values are known.
+
+    Spellings and texts of a scope meet by word, as ``near`` would pick them, so no row carries its scope's whole vault; only texts in
+    which a spelling that may part a word is likely are swept with all of it."""
     side = vault_entries.select(*scope, F.col("entries").alias("_entries"))
-    forms = forms_of(F.col("_entries"), F.col(seq) if seq else None)
-    rows = meet(df, side, scope, how="left").withColumn("_forms", forms)
-    return rows.withColumn(text, sweep(F.col(text), near(F.col(text), F.col("_forms")))["text"]).drop("_entries", "_forms")
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    at = F.col(seq) if seq else None
+    form = lambda e, f: F.struct(e["first_seq"].alias("first_seq"), f["seen"].alias("seen"), e["placeholder"].alias("placeholder"), f["variant"].alias("variant"), f["word"].alias("word"), f["opens"].alias("opens"))
+    flat = side.select(*scope, F.posexplode(F.flatten(F.transform("_entries", lambda e: F.transform(e["forms"], lambda f: form(e, f))))).alias("_at", "_f"))
+    known = lambda f: vault.is_visible(f, at) & (F.lit(True) if at is None else F.coalesce(f["seen"] <= at, F.lit(True)))
+    said = rows.select("_row", *dict.fromkeys([*scope, *([seq] if seq else [])]), F.explode(F.array_distinct(words_of(F.col(text)))).alias("_word"))
+    met = meet(said, flat.where("_f.word <> ''").withColumn("_word", F.col("_f.word")), scope, ["_word"]).where(known(F.col("_f")))
+    own = met.groupBy("_row").agg(F.collect_list(F.struct("_at", "_f")).alias("_met"))
+    loose = flat.where("_f.word = ''").groupBy(*scope).agg(F.collect_list(F.struct("_at", "_f")).alias("_loose"))
+    held = meet(rows.join(wide(own), "_row", "left"), loose, scope, how="left")
+    some = F.flatten(F.array_compact(F.array("_met", F.filter("_loose", lambda x: known(x["_f"])))))
+    held = cut(held.withColumn("_forms", F.transform(F.array_sort(some), lambda x: x["_f"])).drop("_met", "_loose"))
+    parting = F.exists("_forms", lambda f: f["opens"])
+    out = held.where(~parting).withColumn(text, sweep(F.col(text), F.col("_forms"))["text"]).select(*df.columns)
+    rest = held.where(parting).drop("_forms")
+    if rest.isEmpty():
+        return out
+    rest = meet(rest, side, scope, how="left").withColumn("_forms", forms_of(F.col("_entries"), at))
+    return out.unionByName(rest.withColumn(text, sweep(F.col(text), near(F.col(text), F.col("_forms")))["text"]).select(*df.columns))
 
 
 def mask_corpus(
