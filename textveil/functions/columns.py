@@ -137,9 +137,10 @@ def fold(value: Column) -> Column:
     """What literal_pattern matches alike has equal folds, so a pattern that matches stands in the text's fold too. Lowering,
     raising and lowering again brings all forms of a letter together; what lowering makes of a dotted capital I, and of a sigma
     at a word's end, depends on its surroundings and is levelled. (That also parts the three steps, which the optimizer would
-    otherwise take for one.)"""
+    otherwise take for one.) Texts of plain ASCII are lowered alone, which gives the same."""
     level = lambda c: F.translate(c, "\u03c2\u0307", "\u03c3")
-    return level(F.lower(level(F.upper(level(F.lower(value))))))
+    whole = lambda v: level(F.lower(level(F.upper(level(F.lower(v))))))
+    return let(value, lambda v: F.when(F.octet_length(v) == F.length(v), F.lower(v)).otherwise(whole(v)))
 
 
 def bare(token: Column) -> Column:

@@ -129,8 +129,9 @@ def resolve(spans: Column) -> Column:
         )
 
     clash = lambda kept, c: F.exists(kept, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"]))
-    kept = F.aggregate(F.array_sort(spans, rank), no_spans(), lambda acc, c: F.when(clash(acc, c), acc).otherwise(F.concat(acc, F.array(c))))
-    return F.when(F.size(spans) < 2, spans).otherwise(F.array_sort(kept, lambda a, b: (a["start"] - b["start"]).cast("int")))
+    kept = lambda x: F.aggregate(F.array_sort(x, rank), no_spans(), lambda acc, c: F.when(clash(acc, c), acc).otherwise(F.concat(acc, F.array(c))))
+    in_order = lambda x: F.array_sort(kept(x), lambda a, b: (a["start"] - b["start"]).cast("int"))
+    return let(spans, lambda x: F.when(F.size(x) < 2, x).otherwise(in_order(x)))  # spans are found once, not for each mention here
 
 
 def spans_of(

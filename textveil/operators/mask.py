@@ -117,7 +117,7 @@ def mask(
     rows = rows.withColumn("_forms", forms_of(F.col("entries"), seq)).withColumn("_near", near(F.col("_first"), F.col("_forms")))
     rows = rows.withColumn("_swept", sweep(F.col("_first"), F.col("_near")))
     rows = rows.withColumn("masked_text", F.col("_swept.text")).withColumn("sealed", F.coalesce("_swept.sealed", F.lit([]).cast("array<string>")))
-    rows = rows.withColumn("leaks", looked(F.col(text), F.col("approved"), F.col("entries"), F.col("masked_text"), F.col("_forms"))).withColumn("entity_counts", counts(F.col("approved")))
+    rows = rows.withColumn("leaks", looked(F.col(text), F.col("approved"), F.col("entries"), F.col("masked_text"), near(F.col("masked_text"), F.col("_forms"), sweeping=False))).withColumn("entity_counts", counts(F.col("approved")))
     out = rows.select(*df.columns, "masked_text", "approved", "declined", "sealed", "leaks", "entity_counts")
     if scope == [HELD]:
         return out, minted, spelled
@@ -128,7 +128,7 @@ def mask(
 def looked(text: Column, approved: Column, entries: Column, masked: Column, forms: Column) -> Column:
     """The leaks of a masked text, or null where they can't be known: spans without a vault, or a text without a masked one."""
     blind = (entries.isNull() & (F.coalesce(F.size(approved), F.lit(1)) > 0)) | (masked.isNull() & text.isNotNull())
-    return F.when(~blind, F.coalesce(leaks(masked, near(masked, forms, sweeping=False)), F.lit([]).cast("array<string>")))
+    return F.when(~blind, F.coalesce(leaks(masked, forms), F.lit([]).cast("array<string>")))
 
 
 def vault_names(minted: DataFrame, scope: list[str]) -> DataFrame:
@@ -187,7 +187,8 @@ def mask_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ma
     whole = whole.select("_scope", *along, "text", "masked_text", F.flatten(F.transform("c", lambda x: x["s"])).alias("spans"), F.flatten(F.transform("c", lambda x: x["x"])).alias("sealed"), F.aggregate("c", F.lit(0), lambda a, x: a + x["d"]).alias("n_declined"))
     whole = whole.withColumn("spans", F.coalesce("spans", detect.no_spans()))
     out = whole.join(wide(vault.entries(minted, ["_scope"], spelled)), "_scope", "left")
-    out = out.withColumn("leaks", looked(F.col("text"), F.col("spans"), F.col("entries"), F.col("masked_text"), forms_of(F.col("entries"), None)))
+    out = out.withColumn("_forms", forms_of(F.col("entries"), None))
+    out = out.withColumn("leaks", looked(F.col("text"), F.col("spans"), F.col("entries"), F.col("masked_text"), near(F.col("masked_text"), F.col("_forms"), sweeping=False)))
     return out.select("_scope", "text", "masked_text", "spans", F.coalesce("sealed", F.lit([]).cast("array<string>")).alias("sealed"), "leaks", F.coalesce("n_declined", F.lit(0)).alias("n_declined"), *[f"{c}.*" for c in along]), minted, spelled
 
 
