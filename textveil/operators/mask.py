@@ -15,6 +15,8 @@ from .search import corpus_leaks, words_of
 
 #: Spellings that are tried one by one; where there are more, the text's words tell first which may stand in it.
 FEW = 8
+#: Spellings from which a scope's vault is met by word instead of standing in each of its rows.
+RICH = 1000
 
 
 def substitute(text: Column, spans: Column, placeholders: Column) -> Column:
@@ -95,7 +97,8 @@ def mask(
 
     Masked rows have all columns of df, and masked_text, approved, declined, sealed, leaks and entity_counts. sweep_scope:
     ``causal`` sweeps a row with values first seen in it or before; ``full`` with all of its scope. Rows without
-    spans stay as they are. Scopes are documents or conversations: one scope's vault must fit a row.
+    spans stay as they are. Scopes are documents or conversations: a scope's vault stands in its rows, but where it has more than
+    RICH spellings, as one of all rows without an id may, it meets them by word.
 
     A null in a scope column is a scope like any other: its rows share a vault. A row whose seq is null is swept with all of its
     scope, and what is found in it counts as first seen before all else. masked_text is null where a text could not be masked, and
@@ -105,26 +108,80 @@ def mask(
     if sweep_scope not in ("causal", "full"):
         raise ValueError(f"sweep_scope must be 'causal' or 'full', got {sweep_scope!r}")
     keyed = df if scope == [HELD] else df.withColumn(HELD, F.struct(*scope))
-    judged = cut(review.decide(keyed, decisions, spans=spans, confirm_below=confirm_below))  # detection runs once
+    judged = cut(review.decide(keyed, decisions, spans=spans, confirm_below=confirm_below).withColumn("_line", F.monotonically_increasing_id()))  # detection runs once
     found = mentions_of(judged, [HELD])
     minted = cut(vault.mint(found, [HELD], match=match, secret=secret))
     spelled = cut(vault.variants(found, minted, [HELD], match))
-    rows = judged.join(wide(vault.entries(minted, [HELD], spelled)), HELD, "left").join(wide(vault_names(minted, [HELD])), HELD, "left")
-    key = lambda s: F.concat_ws("\u0001", s["entity_type"], match_key(s["value"], match))
-    rows = rows.withColumn("_names", F.transform("approved", lambda s: F.try_element_at("_by_key", key(s))))
-    rows = rows.withColumn("_first", substitute(F.col(text), F.col("approved"), F.col("_names")))
     seq = F.col("seq") if sweep_scope == "causal" else None
-    rows = rows.withColumn("_forms", forms_of(F.col("entries"), seq)).withColumn("_near", near(F.col("_first"), F.col("_forms")))
-    rows = rows.withColumn("_swept", sweep(F.col("_first"), F.col("_near")))
-    rows = rows.withColumn("masked_text", F.col("_swept.text")).withColumn("sealed", F.coalesce("_swept.sealed", F.lit([]).cast("array<string>")))
-    rows = rows.withColumn("leaks", looked(F.col(text), F.col("approved"), F.col("entries"), F.col("masked_text"), near(F.col("masked_text"), F.col("_forms"), sweeping=False))).withColumn("entity_counts", counts(F.col("approved")))
-    out = rows.select(*df.columns, "masked_text", "approved", "declined", "sealed", "leaks", "entity_counts")
+    columns = [*df.columns, "masked_text", "approved", "declined", "sealed", "leaks", "entity_counts"]
+    rich = cut(spelled.groupBy(HELD).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RICH).select(HELD))
+    if rich.isEmpty():
+        out = masked_by_scope(judged, minted, spelled, text, match, seq).select(*columns)
+    else:
+        part = lambda how: [x.join(F.broadcast(rich), HELD, how) for x in (judged, minted, spelled)]  # a row for each RICH spellings at most
+        out = masked_by_scope(*part("left_anti"), text, match, seq).select(*columns).unionByName(masked_by_word(*part("left_semi"), text, match, seq).select(*columns))
     if scope == [HELD]:
         return out, minted, spelled
     plain = lambda t: t.select(f"{HELD}.*", *[c for c in t.columns if c != HELD])
     return out, plain(minted), plain(spelled)
 
 
+def finished(rows: DataFrame, text: str, entries: Column, forms: Column) -> DataFrame:
+    """rows (_swept) with masked_text, sealed, leaks of the spellings in forms, and entity_counts."""
+    rows = rows.withColumn("masked_text", F.col("_swept.text")).withColumn("sealed", F.coalesce("_swept.sealed", F.lit([]).cast("array<string>")))
+    return rows.withColumn("leaks", looked(F.col(text), F.col("approved"), entries, F.col("masked_text"), forms)).withColumn("entity_counts", counts(F.col("approved")))
+
+
+def key_of(s: Column, match: str) -> Column:
+    return F.concat_ws("\u0001", s["entity_type"], match_key(s["value"], match))
+
+
+def masked_by_scope(judged: DataFrame, minted: DataFrame, spelled: DataFrame, text: str, match: str, seq: Column | None) -> DataFrame:
+    """The masked rows of scopes with few spellings: each row gets its scope's vault as one array."""
+    rows = judged.join(wide(vault.entries(minted, [HELD], spelled)), HELD, "left").join(wide(vault_names(minted, [HELD])), HELD, "left")
+    rows = rows.withColumn("_names", F.transform("approved", lambda s: F.try_element_at("_by_key", key_of(s, match))))
+    rows = rows.withColumn("_first", substitute(F.col(text), F.col("approved"), F.col("_names")))
+    return swept_by_scope(rows, text, seq)
+
+
+def swept_by_scope(rows: DataFrame, text: str, seq: Column | None) -> DataFrame:
+    rows = rows.withColumn("_forms", forms_of(F.col("entries"), seq)).withColumn("_near", near(F.col("_first"), F.col("_forms")))
+    rows = rows.withColumn("_swept", sweep(F.col("_first"), F.col("_near")))
+    return finished(rows, text, F.col("entries"), near(F.col("masked_text"), F.col("_forms"), sweeping=False))
+
+
+def masked_by_word(judged: DataFrame, minted: DataFrame, spelled: DataFrame, text: str, match: str, seq: Column | None) -> DataFrame:
+    """The masked rows of scopes with many spellings: values meet the vault by their keys, and spellings meet the texts by word, as
+    ``near`` would pick them, so no row carries its scope's vault. Only rows in which a spelling that may part a word is likely are
+    swept with all of it."""
+    value = lambda s: F.struct(s["entity_type"].alias("entity_type"), match_key(s["value"], match).alias("match_key"))
+    said = judged.select("_line", HELD, F.explode(F.array_distinct(F.transform("approved", value))).alias("k")).select("_line", HELD, "k.*")
+    pair = F.struct(F.concat_ws("\u0001", "entity_type", "match_key").alias("k"), F.col("placeholder").alias("v"))
+    names = said.join(wide(minted.select(HELD, "entity_type", "match_key", "placeholder")), [HELD, "entity_type", "match_key"]).groupBy("_line").agg(F.map_from_entries(F.collect_list(pair)).alias("_by_key"))
+    first = judged.join(wide(names), "_line", "left").withColumn("_first", substitute(F.col(text), F.col("approved"), F.transform("approved", lambda s: F.try_element_at("_by_key", key_of(s, match)))))
+    flat = cut(vault.spellings(minted, spelled, [HELD]))
+    loose = flat.where("f.word = ''").groupBy(HELD).agg(F.collect_list("f").alias("_loose"))
+    known = lambda f: F.lit(True) if seq is None else F.coalesce(f["first_seq"] <= seq, F.lit(True)) & F.coalesce(f["seen"] <= seq, F.lit(True))
+
+    def likely(rows: DataFrame, of: str, into: str) -> DataFrame:
+        words = rows.select("_line", HELD, "seq", F.explode(F.array_distinct(words_of(F.col(of)))).alias("_word"))
+        met = words.join(wide(flat.where("f.word <> ''").withColumn("_word", F.col("f.word"))), [HELD, "_word"]).where(known(F.col("f")))
+        own = met.groupBy("_line").agg(F.collect_list("f").alias("_met"))
+        held = rows.join(wide(own), "_line", "left").join(wide(loose), HELD, "left")
+        some = F.flatten(F.array_compact(F.array("_met", F.filter("_loose", known))))
+        return held.withColumn(into, F.array_sort(some)).drop("_met", "_loose")
+
+    held = cut(likely(cut(first.drop("_by_key")), "_first", "_near"))
+    parting = F.exists("_near", lambda f: f["opens"])
+    swept = cut(held.where(~parting).withColumn("_swept", sweep(F.col("_first"), F.col("_near"))).withColumn("_masked", F.col("_swept.text")))
+    out = finished(likely(swept, "_masked", "_forms"), text, F.lit(True), F.col("_forms")).drop("_near", "_masked", "_forms")
+    rest = held.where(parting).drop("_near")
+    if rest.isEmpty():
+        return out
+    rest = swept_by_scope(rest.join(wide(vault.entries(minted, [HELD], spelled)), HELD, "left"), text, seq)
+    return out.unionByName(rest.select(*out.columns))
+
+
 def looked(text: Column, approved: Column, entries: Column, masked: Column, forms: Column) -> Column:
     """The leaks of a masked text, or null where they can't be known: spans without a vault, or a text without a masked one."""
     blind = (entries.isNull() & (F.coalesce(F.size(approved), F.lit(1)) > 0)) | (masked.isNull() & text.isNotNull())

@@ -130,5 +130,18 @@ def entries(vault: DataFrame, scope: list[str], forms: DataFrame) -> DataFrame:
     return known.withColumn("_placed", placed).withColumn("entries", F.when(F.size("_placed") > 0, marked).otherwise(F.col("entries"))).drop("_placed")
 
 
+def spellings(vault: DataFrame, forms: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope..., f): what ``entries`` has of each spelling as a row of its own, for scopes whose vault doesn't fit a row. f sorts in
+    minting order, then spelling order."""
+    longest = F.array_max(F.transform(standing_words(F.col("variant")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    rows = meet(forms.withColumnRenamed("first_seq", "seen"), vault.select(*scope, "entity_type", "idx", "placeholder", "first_seq", "first_start"), scope, ["entity_type", "idx"])
+    rows = rows.withColumn("_word", F.coalesce(longest, F.lit("")))
+    placed = vault.select(*scope, F.explode(words_of(F.col("placeholder"))).alias("_word")).distinct().withColumn("_placed", F.lit(True))
+    rows = meet(rows, placed, scope, ["_word"], "left")
+    word = F.when(F.col("_placed"), "").otherwise(F.col("_word")).alias("word")
+    f = F.struct("first_seq", "first_start", "entity_type", "idx", "variant_no", "variant", "seen", "placeholder", word, F.coalesce(opens(F.col("variant")), F.lit(True)).alias("opens"))
+    return rows.select(*scope, f.alias("f"))
+
+
 def is_visible(entry: Column, seq: Column | None) -> Column:
     return F.lit(True) if seq is None else F.coalesce(entry["first_seq"] <= seq, F.lit(True))
