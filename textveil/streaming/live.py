@@ -61,6 +61,7 @@ class Naming(StatefulProcessor):
             yield _named([(key[0], e.conv_id, e.turn, e.kind, e.text, [], [], [], [], False) for e in events])
             return
         last, minted, spelled = self.seen.get() if self.seen.exists() else (-1, 0, 0)
+        known, tally = {}, {}  # a value and a kind are asked of the state once a batch, each question being a trip to the JVM
         forms = {k: v for k, v in self.forms.iterator()} if any(e.kind == "turn" for e in events) else {}
         out = []
         for e in events:
@@ -68,14 +69,18 @@ class Naming(StatefulProcessor):
             if e.kind == "turn":
                 for s, k, folded in zip(e.spans, e.keys, e.folds):
                     slot = (s["entity_type"], k)
-                    if self.names.containsKey(slot):
-                        name, no = self.names.getValue(slot)
+                    if slot not in known and self.names.containsKey(slot):
+                        known[slot] = self.names.getValue(slot)
+                    if slot in known:
+                        name, no = known[slot]
                     else:
                         kind = (s["entity_type"],)
-                        n = (self.counts.getValue(kind)[0] if self.counts.containsKey(kind) else 0) + 1
-                        self.counts.updateValue(kind, (n,))
+                        if kind not in tally:
+                            tally[kind] = self.counts.getValue(kind)[0] if self.counts.containsKey(kind) else 0
+                        tally[kind] = n = tally[kind] + 1
                         name, no, minted = f"<{s['entity_type']}_{n:03d}>", minted, minted + 1
-                        self.names.updateValue(slot, (name, no))
+                        known[slot] = (name, no)
+                        self.names.updateValue(slot, known[slot])
                         token = (f"{s['entity_type'].upper()} {n}",)  # of types that differ in case alone, the first answers
                         if not self.values.containsKey(token):
                             self.values.updateValue(token, (s["value"], no))
@@ -93,6 +98,8 @@ class Naming(StatefulProcessor):
                 said = [{"k": t, "v": self.values.getValue((t,))[0]} for t in sorted(tokens)]
             out.append((key[0], e.conv_id, e.turn, e.kind, e.text, list(e.spans), own, likely, said, bool(e.kind == "turn" and e.turn <= last)))
             last = max(last, int(e.turn)) if e.kind == "turn" else last
+        for kind, n in tally.items():
+            self.counts.updateValue(kind, (n,))
         self.seen.update((last, minted, spelled))
         _wake(self.handle, timerValues, self.idle_ms)
         yield _named(out)
@@ -204,6 +211,8 @@ def named_events(events: DataFrame, match: str, idle_ms: int | None, **options)
     own = own.withColumn("malformed", F.coalesce(bad, F.lit(True)))
     # a malformed event's key is none that a conversation has; its text isn't looked at
     own = own.withColumn("_key", F.when(F.col("malformed"), F.concat(F.lit("malformed "), F.pmod(F.xxhash64("text", "turn"), F.lit(SPREAD)).cast("string"))).otherwise(F.col("conv_id").cast("string")))
+    # events go to their key's task before detection: a small file comes in one task, and the shuffle serves the keyed step as well
+    own = own.repartition("_key")
     asked = F.when(~F.col("malformed") & (F.col("kind") == "turn"), F.col("text"))
     found = detect.detect(own.withColumn("_asked", asked), "_asked", **options)
     found = found.withColumns({"keys": F.transform("spans", lambda s: match_key(s["value"], match)), "folds": F.transform("spans", lambda s: fold(s["value"])), "folded": fold(F.col("_asked"))})
