@@ -1,5 +1,6 @@
 """Work that is dealt before it is done, done once, or spared."""
 
+from textveil.operators import mask
 from textveil.streaming import live
 
 EVENTS = "conv_id long, turn long, kind string, text string"
@@ -61,3 +62,12 @@ def test_a_value_is_asked_of_the_state_once_a_batch():
     assert naming.names.asked == 2 and naming.counts.asked == 1
     assert batch([5, 6], "Cy", "bo", "Ann") == [["<PERSON_003>", "<PERSON_002>", "<PERSON_001>"]] * 2
     assert naming.counts.held == {("PERSON",): (3,)}
+
+
+def test_a_vault_alone_is_minted_without_masking(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Name: Ann Lee\nmail a@x.example.com"), (2, "Name: Bo Ray, ANN LEE"), (None, "Client: Cy Fox"), (3, None)], "doc_id long, text string")
+    _, minted, spelled = mask.mask_corpus(docs)
+    want = [sorted(map(str, t.collect())) for t in (minted, spelled)]
+    monkeypatch.setattr(mask, "corpus_leaks", None)  # no search is made
+    got = [sorted(map(str, t.collect())) for t in mask.mint_corpus(docs)]
+    assert got == want and len(got[0]) == 4

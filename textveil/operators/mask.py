@@ -302,6 +302,38 @@ def redact(df: DataFrame, vault_entries: DataFrame, scope: list[str], text: str,
     return out.unionByName(rest.withColumn(text, sweep(F.col(text), near(F.col(text), F.col("_forms")))["text"]).select(*df.columns))
 
 
+def mint_corpus(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    max_chars: int = chunk.MAX_CHARS,
+    options: dict | None = None,
+    match: str = "normalized",
+    secret: str = vault.SECRET,
+    decisions: DataFrame | None = None,
+    confirm_below: float = review.CONFIRM_BELOW,
+    known: tuple[DataFrame, DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(vault, variants) that mask_corpus gives for these documents, for callers who want no masked texts of them: nothing is swept
+    or searched for leaks."""
+    return named_in_corpus(docs, doc_id, text, max_chars, options, match, secret, decisions, confirm_below, known, ())[1:]
+
+
+def named_in_corpus(docs, doc_id, text, max_chars, options, match, secret, decisions, confirm_below, known, keep) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks with their spans, vault, variants): the part of mask_corpus that finds and numbers."""
+    kept = carried(keep, doc_id)
+    along = ["_kept"] * len(kept)
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), *kept).withColumn("_doc", F.monotonically_increasing_id()).withColumn("_bare", F.when(F.length("text") == 0, F.col("text")))
+    parts = on_first(chunk.chunks(keyed, "_doc", "_id", "_bare", *along, max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq"))
+    rows = cut(review.decide(detect.detect(parts, **(options or {})), decisions, confirm_below=confirm_below).withColumn("_row", F.struct("_id", "_doc", "seq")))
+    found = rows.select(F.col("_row").alias("seq"), F.explode("approved").alias("s")).select("seq", F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), F.col("s.value").alias("value"))
+    old_vault, old_forms = known or (None, None)
+    minted = cut(vault.mint(found, [], match=match, secret=secret, known=old_vault))
+    spelled = cut(vault.variants(found, minted, [], match, old_forms))
+    return rows, minted, spelled
+
+
 def mask_corpus(
     docs: DataFrame,
     *,
@@ -328,15 +360,10 @@ def mask_corpus(
     for in the whole masked texts at the end. Null and repeated ids, null and empty texts, ``keep`` are as in mask_documents."""
     if sweep_scope not in ("causal", "full"):
         raise ValueError(f"sweep_scope must be 'causal' or 'full', got {sweep_scope!r}")
-    kept = carried(keep, doc_id)
-    along = ["_kept"] * len(kept)
-    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), *kept).withColumn("_doc", F.monotonically_increasing_id()).withColumn("_bare", F.when(F.length("text") == 0, F.col("text")))
-    parts = on_first(chunk.chunks(keyed, "_doc", "_id", "_bare", *along, max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq"))
-    rows = cut(review.decide(detect.detect(parts, **(options or {})), decisions, confirm_below=confirm_below).withColumn("_row", F.struct("_id", "_doc", "seq")))
-    found = rows.select(F.col("_row").alias("seq"), F.explode("approved").alias("s")).select("seq", F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), F.col("s.value").alias("value"))
-    old_vault, old_forms = known or (None, None)
-    minted = cut(vault.mint(found, [], match=match, secret=secret, known=old_vault))
-    spelled = cut(vault.variants(found, minted, [], match, old_forms))
+    keep = list(keep)
+    along = ["_kept"] if keep else []
+    rows, minted, spelled = named_in_corpus(docs, doc_id, text, max_chars, options, match, secret, decisions, confirm_below, known, keep)
+    old_forms = known[1] if known else None
     # a row's distinct values meet the vault, and their placeholders come back to it as a map
     value = lambda s: F.struct(s["entity_type"].alias("entity_type"), match_key(s["value"], match).alias("match_key"))
     said = rows.select("_row", F.explode(F.array_distinct(F.transform("approved", value))).alias("k")).select("_row", "k.*")

@@ -452,7 +452,7 @@ def mask_corpus_known(spark, sf_dir):
     """One vault for all records: first for customers with orders, then reused for all."""
     docs = records(spark, sf_dir)
     ordered = docs.join(read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    _, minted, spelled = mask.mask_corpus(ordered, secret=SECRET)
+    minted, spelled = mask.mint_corpus(ordered, secret=SECRET)
     out, _, _ = mask.mask_corpus(docs, secret=SECRET, known=(minted, spelled))
     return out.select("doc_id", "masked_text", F.size("leaks").alias("n_leaks"))
 
