@@ -1,6 +1,9 @@
 """Work that is dealt before it is done, done once, or spared."""
 
-from textveil.operators import mask
+from pyspark.sql import functions as F
+
+from textveil.operators import detect, mask
+from textveil.plans import queries
 from textveil.streaming import live
 
 EVENTS = "conv_id long, turn long, kind string, text string"
@@ -64,6 +67,25 @@ def test_a_value_is_asked_of_the_state_once_a_batch():
     assert naming.counts.held == {("PERSON",): (3,)}
 
 
+def test_weak_patterns_are_looked_for_near_their_words_alone(spark):
+    texts = ["Passport no. A12345678 was shown", "A12345678 was shown", "DRIVER: A1234567", "the A1234567", "a license number AB1234567", "passport lost " + "x" * 60 + " A12345678"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string")
+    entries = [e for e in detect.P.PATTERNS if e[3] < detect.THRESHOLD]
+    keep = lambda c: F.filter(c, lambda s: s["score"] >= detect.THRESHOLD)
+    rows = df.select("k", keep(detect.matched(F.col("text"), entries)).alias("a"), keep(detect.matched(F.col("text"), entries, False, detect.THRESHOLD)).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and {r.k for r in rows if r.b} == {0, 2, 4}
+    gates = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString().lower().count("contains(lower(text")
+    assert gates(detect.spans_of(F.col("text"))) >= 3 and gates(detect.matched(F.col("text"), entries)) == 0
+
+
+def test_both_halves_of_the_guard_read_rows_made_once(spark, tmp_path):
+    spark.range(20).selectExpr("id as c_custkey", "'Customer#' || lpad(cast(id as string), 9, '0') as c_name", "cast(id % 25 as int) as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    out = queries.guard_split(spark, str(tmp_path))
+    assert "Scan parquet" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.released for r in out.collect()} == {i: i % 5 != 0 for i in range(20)}
+    assert mask.guard(spark.createDataFrame([("a", [])], "masked_text string, leaks array<string>"))[1].isEmpty()
+
+
 def test_a_vault_alone_is_minted_without_masking(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "Name: Ann Lee\nmail a@x.example.com"), (2, "Name: Bo Ray, ANN LEE"), (None, "Client: Cy Fox"), (3, None)], "doc_id long, text string")
     _, minted, spelled = mask.mask_corpus(docs)

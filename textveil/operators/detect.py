@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -20,9 +22,12 @@ def pattern_spans(text: Column, entry: tuple, mask_malformed: bool = False) -> C
     return matched(text, [entry], mask_malformed)
 
 
-def matched(text: Column, entries: list[tuple], mask_malformed: bool = False) -> Column:
+def matched(text: Column, entries: list[tuple], mask_malformed: bool = False, least: float = 0.0) -> Column:
     """Spans of all these pattern entries. Only the matching is written out for each: offsets, scores and checksums are one
-    expression over what matched, so that the plan grows by little with an entry."""
+    expression over what matched, so that the plan grows by little with an entry.
+
+    least: the score that the caller goes by. A weak entry, which reaches it by a context word alone, is looked for only in texts that
+    hold such a word; what it would match elsewhere is below."""
     if not entries:
         return no_spans()
 
@@ -32,6 +37,8 @@ def matched(text: Column, entries: list[tuple], mask_malformed: bool = False) ->
         out = hits_of(text, expression, lambda gaps, hits: F.struct(*facts, gaps.alias("gaps"), hits.alias("hits")))
         if name in P.GATES:
             out = F.when(F.regexp_like(text, F.lit(P.GATES[name])), out)
+        if score < least and not validator:
+            out = F.when(reduce(or_, [F.contains(F.lower(text), F.lit(w)) for w in P.CONTEXT.get(name, ())], F.lit(False)), out)
         return F.when(F.contains(text, F.lit(must)), out) if must else out
 
     # entries without a substring of their own all need a digit: most chunks skip them after one look
@@ -158,7 +165,7 @@ def spans_of(
 
     def all_of(x: Column) -> Column:
         f = x["fields"]
-        return resolve(drop_labels(F.filter(F.concat(matched(text, entries, mask_malformed), field_spans(f), x["given"]), lambda s: (s["score"] >= threshold) & s["entity_type"].isin(wanted)), f))
+        return resolve(drop_labels(F.filter(F.concat(matched(text, entries, mask_malformed, threshold), field_spans(f), x["given"]), lambda s: (s["score"] >= threshold) & s["entity_type"].isin(wanted)), f))
 
     return F.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S")), let(F.struct(fields(text).alias("fields"), given.alias("given")), all_of)).otherwise(no_spans())
 

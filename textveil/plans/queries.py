@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import patterns as P
-from ..functions.lineage import shared_folder, spread, wide
+from ..functions.lineage import cut, shared_folder, spread, wide
 from ..operators import chunk, conversation, detect, known, mask, report, restore, review, vault
 from ..sources import read_table
 from ..streaming import live, mask_turns, sinks, use_rocksdb
@@ -273,7 +273,8 @@ def guard_split(spark, sf_dir):
     names = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
     rows = out.select("doc_id", "masked_text").join(wide(names), "doc_id").join(wide(vault.entries(minted, ["doc_id"], spelled)), "doc_id", "left")
     rows = rows.withColumn("masked_text", F.when(F.col("doc_id") % 5 == 0, F.concat("masked_text", F.lit(" "), F.lower("c_name"))).otherwise(F.col("masked_text")))
-    released, held = mask.guard(rows.withColumn("leaks", mask.leaks(F.col("masked_text"), mask.forms_of(F.col("entries"), None))))
+    rows = rows.withColumn("leaks", mask.leaks(F.col("masked_text"), mask.forms_of(F.col("entries"), None)))
+    released, held = mask.guard(cut(rows.select("doc_id", "masked_text", "leaks")))  # both halves read it
     return released.select("doc_id", F.lit(True).alias("released")).union(held.select("doc_id", F.lit(False)))
 
 
