@@ -1,4 +1,4 @@
-"""Long documents in pieces that join back exactly: blank lines first, then sentence ends, then length."""
+"""Long documents in pieces that join back exactly: blank lines first, then sentence ends, then words or length."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ MAX_CHARS = 8000
 #: Marks a cut, followed by CUT_HERE. Where a text holds this character itself, OWN follows it until the text is cut.
 CUT = ""
 CUT_HERE, OWN = "b", "a"
-PARAGRAPH, SENTENCE = r"(\n[ \t]*\n)", r"(?U)([.!?]\s+)"
+PARAGRAPH, SENTENCE, WORD = r"(\n[ \t]*\n)", r"(?U)([.!?]\s+)", r"(?U)(\s)"
 
 
 def pieces(text: Column, separator: str) -> Column:
@@ -26,9 +26,9 @@ def by_length(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
-def atoms(text: Column, size: int) -> Column:
+def atoms(text: Column, size: int, whole_words: bool = False) -> Column:
     """The smallest pieces that are cut between."""
-    sentence = lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(by_length(s, size))
+    sentence = lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(pieces(s, WORD) if whole_words else by_length(s, size))
     paragraph = lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(F.flatten(F.transform(pieces(p, SENTENCE), sentence)))
     return F.flatten(F.transform(pieces(text, PARAGRAPH), paragraph))
 
@@ -45,9 +45,12 @@ def filled(lengths: Column, size: int) -> Column:
     return let(lengths, lambda n: running(n, zero, "int", step))  # evaluated once, not for each part of the fold
 
 
-def split(text: Column, max_chars: int = MAX_CHARS) -> Column:
+def split(text: Column, max_chars: int = MAX_CHARS, whole_words: bool = False) -> Column:
     """array<string> of pieces of at most max_chars that join to the text; none for null and empty texts. The work is linear in
-    the text: chunks are joined from slices of the array of atoms, never cut out by their place in the text."""
+    the text: chunks are joined from slices of the array of atoms, never cut out by their place in the text.
+
+    whole_words: a sentence longer than max_chars is cut between its words instead of every max_chars characters, so that no value
+    without blanks is cut in two, which neither piece would show; a longer word is a piece of its own that exceeds max_chars."""
     if max_chars < 1:
         raise ValueError(f"max_chars must be positive, got {max_chars}")
 
@@ -60,7 +63,7 @@ def split(text: Column, max_chars: int = MAX_CHARS) -> Column:
         return let(filled(F.transform(a, lambda x: F.length(x)), max_chars), joined)
 
     none = F.lit([]).cast("array<string>")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.length(text) <= max_chars, F.array(text)).otherwise(let(atoms(text, max_chars), packed))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.length(text) <= max_chars, F.array(text)).otherwise(let(atoms(text, max_chars, whole_words), packed))
 
 
 def placed(parts: Column) -> Column:
@@ -70,9 +73,9 @@ def placed(parts: Column) -> Column:
     return F.transform(let(parts, lambda p: running(p, F.lit(0), "struct<chunk_start:int,text:string>", step)), numbered)
 
 
-def chunks(df: DataFrame, *keys: str, text: str = "text", max_chars: int = MAX_CHARS, outer: bool = False) -> DataFrame:
+def chunks(df: DataFrame, *keys: str, text: str = "text", max_chars: int = MAX_CHARS, outer: bool = False, whole_words: bool = False) -> DataFrame:
     """(keys, chunk_no, chunk_start, text): a row for each chunk. outer: null and empty texts give a row of nulls."""
-    return df.select(*keys, (F.explode_outer if outer else F.explode)(placed(split(F.col(text), max_chars))).alias("c")).select(*keys, "c.*")
+    return df.select(*keys, (F.explode_outer if outer else F.explode)(placed(split(F.col(text), max_chars, whole_words))).alias("c")).select(*keys, "c.*")
 
 
 def rejoin(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

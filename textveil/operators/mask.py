@@ -231,7 +231,7 @@ def mask_rows(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ma
     along = ["_kept"] * len(kept)
     keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), *kept).withColumn("_doc_row", F.monotonically_increasing_id())
     keyed = keyed.select("_doc_row", *along, F.struct(F.col("_id").alias("id"), F.when(F.col("_id").isNull(), F.col("_doc_row")).alias("row")).alias("_scope"), "text", F.when(F.length("text") == 0, F.col("text")).alias("_bare"))
-    parts = on_first(chunk.chunks(keyed, "_doc_row", "_scope", "_bare", *along, max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq"))
+    parts = on_first(chunk.chunks(keyed, "_doc_row", "_scope", "_bare", *along, max_chars=max_chars, outer=True, whole_words=True).withColumnRenamed("chunk_no", "seq"))
     found = detect.detect(parts, **(options or {}))
     rows, minted, spelled = mask(found, ["_scope"], **more)
     moved = F.transform("approved", lambda s: F.struct(s["entity_type"].alias("entity_type"), (s["start"] + F.col("chunk_start")).alias("start"), (s["end"] + F.col("chunk_start")).alias("end"), s["score"].alias("score"), s["value"].alias("value")))
@@ -325,7 +325,7 @@ def named_in_corpus(docs, doc_id, text, max_chars, options, match, secret, decis
     kept = carried(keep, doc_id)
     along = ["_kept"] * len(kept)
     keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), *kept).withColumn("_doc", F.monotonically_increasing_id()).withColumn("_bare", F.when(F.length("text") == 0, F.col("text")))
-    parts = on_first(chunk.chunks(keyed, "_doc", "_id", "_bare", *along, max_chars=max_chars, outer=True).withColumnRenamed("chunk_no", "seq"))
+    parts = on_first(chunk.chunks(keyed, "_doc", "_id", "_bare", *along, max_chars=max_chars, outer=True, whole_words=True).withColumnRenamed("chunk_no", "seq"))
     rows = cut(review.decide(detect.detect(parts, **(options or {})), decisions, confirm_below=confirm_below).withColumn("_row", F.struct("_id", "_doc", "seq")))
     found = rows.select(F.col("_row").alias("seq"), F.explode("approved").alias("s")).select("seq", F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), F.col("s.value").alias("value"))
     old_vault, old_forms = known or (None, None)

@@ -68,14 +68,14 @@ SELECT entity_type, count(*) AS n FROM (
   SELECT 'EMAIL_ADDRESS' AS entity_type, unnest(regexp_extract_all(text, '{EMAIL_RE}')) AS v FROM documents
   UNION ALL SELECT 'IP_ADDRESS', unnest(regexp_extract_all(text, '{IP_RE}')) FROM documents) GROUP BY 1""")
 def entity_counts_by_type(spark, sf_dir):
-    found = detect.detect(chunk.chunks(documents(spark, sf_dir), "doc_id"), entities=("EMAIL_ADDRESS", "IP_ADDRESS"))
+    found = detect.detect(chunk.chunks(documents(spark, sf_dir), "doc_id", whole_words=True), entities=("EMAIL_ADDRESS", "IP_ADDRESS"))
     return report.entity_counts(detect.explode_spans(found, "doc_id"))
 
 
 @query()
 def private_values_by_type(spark, sf_dir):
     """All default types, overlaps resolved, chunk by chunk."""
-    parts = chunk.chunks(documents(spark, sf_dir), "doc_id")
+    parts = chunk.chunks(documents(spark, sf_dir), "doc_id", whole_words=True)
     return report.entity_counts(detect.explode_spans(detect.detect(parts), "doc_id"))
 
 
